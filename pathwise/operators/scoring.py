@@ -248,17 +248,21 @@ def ab_bucket(user, experiment: str = "reco_v3", split: int = 50) -> Column:
 
 def canonical_event_json(event_type="event_type", user="user_id", item="item_id",
                          session="session_id", ts="timestamp_utc", payload="payload") -> Column:
-    """Our canonical JSON of an event (keys sorted; NULLs written as null).
+    """Our canonical event JSON: keys sorted, all values strings, NULL kept.
 
-    ``payload`` is a JSON object string (already canonical) or NULL for {}.
+    The timestamp is written as ``yyyy-MM-ddTHH:mm:ss.ffffff`` (UTC) and the
+    payload as its (already canonical) JSON text.
     """
-    def q(c):
-        v = col(c).cast("string")
-        return F.when(v.isNull(), F.lit("null")).otherwise(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2))
-    pl = F.coalesce(col(payload), F.lit("{}"))
-    return F.concat(F.lit('{"event_type": '), q(event_type), F.lit(', "item_id": '), q(item),
-                    F.lit(', "payload": '), pl, F.lit(', "session_id": '), q(session),
-                    F.lit(', "timestamp_utc": '), q(ts), F.lit(', "user_id": '), q(user), F.lit("}"))
+    fields = {
+        "event_type": col(event_type).cast("string"),
+        "item_id": col(item).cast("string"),
+        "payload": F.coalesce(col(payload).cast("string"), F.lit("{}")),
+        "session_id": col(session).cast("string"),
+        "timestamp_utc": F.date_format(col(ts), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        "user_id": col(user).cast("string"),
+    }
+    return F.to_json(F.struct(*[v.alias(k) for k, v in sorted(fields.items())]),
+                     {"ignoreNullFields": "false"})
 
 
 def idempotency_key(explicit="idempotency_key", **kw) -> Column:
@@ -266,10 +270,13 @@ def idempotency_key(explicit="idempotency_key", **kw) -> Column:
     return F.coalesce(F.nullif(col(explicit), F.lit("")), F.sha2(canonical_event_json(**kw), 256))
 
 
-def request_fingerprint(namespace: str, cols: list[str]) -> Column:
-    """C26: 'namespace:' + md5 of the request's JSON with keys sorted."""
-    return F.concat(F.lit(f"{namespace}:"),
-                    F.md5(F.to_json(F.struct(*[col(c).alias(c) for c in sorted(cols)]))))
+def request_fingerprint(namespace: str, fields: dict) -> Column:
+    """C26: 'namespace:' + md5 of the request's JSON with keys sorted.
+
+    ``fields`` maps JSON key -> column; NULLs are kept as ``null``.
+    """
+    st = F.struct(*[col(v).alias(k) for k, v in sorted(fields.items())])
+    return F.concat(F.lit(f"{namespace}:"), F.md5(F.to_json(st, {"ignoreNullFields": "false"})))
 
 
 def short_form_profile(df: DataFrame) -> DataFrame:
