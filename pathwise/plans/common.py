@@ -36,3 +36,43 @@ def train_flag(key, seed: str = "42", train_pct: int = 80):
     """Deterministic hash split, True for the training share."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), 1, 8), 16, 10)
     return (h.cast("bigint") % 100) < train_pct
+
+
+def rated_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Feedback events with item = topic name; 'error' relabelled as a rating
+    event with rating 1 + event_id % 5 (the rating fixture)."""
+    e = tables.feedback_events(spark, sf)
+    t = tables.topics(spark, sf).select("topic_idx", F.col("topic").alias("item_id"))
+    err = F.col("event_type") == "error"
+    return (e.join(F.broadcast(t), "topic_idx", "left")
+            .select("event_id", "timestamp_utc", "user_id", "session_id", "value", "topic_idx", "item_id",
+                    F.when(err, "rating_submitted").otherwise(F.col("event_type")).alias("event_type"),
+                    F.when(err, F.col("event_id") % 5 + 1).alias("rating")))
+
+
+RATED_EVENTS_SQL = """ev AS (
+  SELECT e.event_id, e.timestamp_utc, e.user_id, e.session_id, e.value, e.topic_idx, t.topic AS item_id,
+         CASE WHEN e.event_type = 'error' THEN 'rating_submitted' ELSE e.event_type END AS event_type,
+         CASE WHEN e.event_type = 'error' THEN 1 + e.event_id % 5 END AS rating
+  FROM feedback_events e LEFT JOIN topics t ON e.topic_idx = t.topic_idx)"""
+
+
+def label_centroids(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean embedding per label (the 'user' vectors of the vector fixtures).
+
+    Averaged per (label, dimension) and re-assembled in dimension order; the
+    collected group is one vector (bounded by the dimension).
+    """
+    emb = tables.read_table(spark, sf, "embeddings")
+    long = emb.select("label", F.posexplode("embedding").alias("d", "x"))
+    m = long.groupBy("label", "d").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return m.groupBy("label").agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("__s")) \
+        .select("label", F.col("__s.x").alias("vec"))
+
+
+CENTROIDS_SQL = """cen AS (
+  SELECT label, list(x ORDER BY d) AS vec FROM (
+    SELECT label, d, avg(CAST(x AS DOUBLE)) AS x FROM (
+      SELECT label, generate_subscripts(embedding, 1) - 1 AS d, unnest(embedding) AS x FROM embeddings) a
+    GROUP BY label, d) b
+  GROUP BY label)"""
