@@ -139,12 +139,16 @@ def bandit_state(updates: DataFrame, arm: str = "arm", x: str = "x", reward: str
     """additive LinUCB state per arm: A = I + sum x x^T (81 sums), b = sum r x, n.
 
     Order-free, so it is one grouped aggregate with map-side partial sums.
-    Rewards are clipped to [0, 1.5].
+    Rewards are clipped to [0, 1.5].  Terms are summed as DECIMAL(30,12) so
+    the state is identical however the events are partitioned.
     """
     r = clip(F.col(reward), 0.0, 1.5)
-    aggs = [F.sum(F.col(x)[i] * F.col(x)[j]).alias(f"a{i}_{j}")
+
+    def dsum(e):
+        return F.sum(e.cast("decimal(30,12)")).cast("double")
+    aggs = [dsum(F.col(x)[i] * F.col(x)[j]).alias(f"a{i}_{j}")
             for i in range(CONTEXT_DIM) for j in range(CONTEXT_DIM)]
-    aggs += [F.sum(r * F.col(x)[i]).alias(f"b{i}") for i in range(CONTEXT_DIM)]
+    aggs += [dsum(r * F.col(x)[i]).alias(f"b{i}") for i in range(CONTEXT_DIM)]
     s = updates.groupBy(arm).agg(F.count(F.lit(1)).alias("n"), *aggs)
     a = F.array(*[F.col(f"a{i}_{j}") + (1.0 if i == j else 0.0)
                   for i in range(CONTEXT_DIM) for j in range(CONTEXT_DIM)])
