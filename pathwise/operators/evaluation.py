@@ -211,11 +211,15 @@ def metric_delta(current: DataFrame, previous: DataFrame, keys=("model", "metric
 
 def tuning_objective(grid_metrics: DataFrame) -> DataFrame:
     """F32: .30 hit + .20 ndcg + .15 map + .15 coverage + .15 cold + .05 struggling,
-    ranked by (hit, cold_start_hit, ndcg, map) descending."""
+    ranked by (hit, cold_start_hit, ndcg, map) descending, then grid id.  The
+    grid is small (one row per parameter setting), so the ranking window is
+    over a dictionary-sized input."""
     c = lambda n: F.coalesce(F.col(n), F.lit(0.0))
     s = (F.lit(0.30) * c("hit") + F.lit(0.20) * c("ndcg") + F.lit(0.15) * c("map")
          + F.lit(0.15) * c("coverage") + F.lit(0.15) * c("cold_start_hit") + F.lit(0.05) * c("struggling_hit"))
-    w = Window.orderBy(c("hit").desc(), c("cold_start_hit").desc(), c("ndcg").desc(), c("map").desc(),
+    # metric means equal to 12 decimals are ties (same lists averaged in another order)
+    t = lambda n: F.floor(c(n) * 1e12 + 0.5)
+    w = Window.orderBy(t("hit").desc(), t("cold_start_hit").desc(), t("ndcg").desc(), t("map").desc(),
                        F.col("grid_id"))
     return grid_metrics.withColumn("objective", s).withColumn("grid_rank", F.row_number().over(w).cast("int"))
 
