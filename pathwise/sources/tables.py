@@ -120,7 +120,11 @@ def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver ``events`` shaped as feedback events (one row per event)."""
-    ev = read_table(spark, sf_dir, "events")
+    return shape_feedback(read_table(spark, sf_dir, "events"))
+
+
+def shape_feedback(ev: DataFrame) -> DataFrame:
+    """Projection from the driver's event rows to feedback events (batch or stream)."""
     et = F.col("event_type")
     mapped = None
     for src, dst in EVENT_TYPE_MAP.items():
@@ -135,3 +139,12 @@ def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("user_id").cast("string"), F.lit(":"),
                  F.col("ts").cast("date").cast("string")).alias("session_id"),
         F.col("value"))
+
+
+def event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """The events table as a file stream (new parquet files are new events)."""
+    schema = read_table(spark, sf_dir, "events").schema
+    r = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
+    return r.parquet(os.path.join(sf_dir, "events*.parquet"))
