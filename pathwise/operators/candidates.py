@@ -180,7 +180,8 @@ def retrieval_ladder(ann: DataFrame, has_vector: DataFrame, cold: DataFrame, fal
     """
     ann_users = ann.select(key).distinct()
     t1 = ann.filter(F.col("rnk") <= top_k).withColumn("source", F.lit("ann"))
-    t2 = cold.join(has_vector.select(key), key, "left_anti").filter(F.col("rnk") <= top_k)
+    t2 = (cold.join(has_vector.select(key), key, "left_anti").filter(F.col("rnk") <= top_k)
+          .withColumn("source", F.lit("cold_start")))
     t3 = (fallback.join(has_vector.select(key), key, "left_semi").join(ann_users, key, "left_anti")
           .filter(F.col("rnk") <= top_k).withColumn("source", F.lit("fallback")))
     cols = [key, "topic", "rnk", "source"]
@@ -283,3 +284,44 @@ def negative_samples(positives: DataFrame, n_items: int, user: str = "user_id",
     w = Window.partitionBy(user, "__pos").orderBy("try")
     return (ok.withColumn("__r", F.row_number().over(w)).filter("__r = 1")
             .select(user, F.col("__pos").alias(item), "neg", F.col("try").cast("int").alias("try")))
+
+
+def implicit_interactions(learners: DataFrame, topics: DataFrame, key: str = "student_id") -> DataFrame:
+    """Implicit (user, item, weight, source) rows derived from performance.
+
+    mastery = clip((.35 quiz + .25 assign + .20 att + .20 prev)/100, 0, 1),
+    effort = clip(hours/8 + attempts/10, .2, 2), need = clip((70-quiz)/20 +
+    (65-att)/30 + (5-min(attempts,5))*.1, .2, 2.2).  Strength topics 1..4:
+    (.75 + mastery + .15 effort)/rank; weakness topics 1..4: (.90 + need)/rank;
+    quiz >= 75 adds 0.35 on strength topics 3..5.  Unknown subject -> the
+    catalogue's first topics.  Weights floored at 0.05.
+    """
+    from pathwise.functions.expressions import clip as _clip
+    q, a, s = F.col("quiz_score"), F.col("attendance"), F.col("assignment_score")
+    p, h, n = F.col("previous_score"), F.col("time_spent_hours"), F.col("attempts").cast("double")
+    base = learners.select(
+        key, "subject_strength", "subject_weakness", q.alias("__q"),
+        _clip((F.lit(0.35) * q + F.lit(0.25) * s + F.lit(0.20) * a + F.lit(0.20) * p) / 100.0, 0.0, 1.0).alias("__m"),
+        _clip(h / 8.0 + n / 10.0, 0.2, 2.0).alias("__e"),
+        _clip((F.lit(70.0) - q) / 20.0 + (F.lit(65.0) - a) / 30.0 + (F.lit(5.0) - F.least(n, F.lit(5.0))) * 0.1,
+              0.2, 2.2).alias("__need"))
+    lists = F.broadcast(topic_lists(topics))
+    cat = F.broadcast(catalogue(topics, 5))
+    j = (base.join(lists.select(F.col("subject").alias("__ss"), F.col("topic_list").alias("__sl")),
+                   F.col("subject_strength") == F.col("__ss"), "left")
+         .join(lists.select(F.col("subject").alias("__ws"), F.col("topic_list").alias("__wl")),
+               F.col("subject_weakness") == F.col("__ws"), "left")
+         .crossJoin(cat))
+    sl = F.coalesce(F.col("__sl"), F.col("catalogue"))
+    wl = F.coalesce(F.col("__wl"), F.col("catalogue"))
+    strength = j.select(key, "__m", "__e", F.posexplode(F.slice(sl, 1, 4)).alias("__p", "item_id")).select(
+        key, "item_id", ((F.lit(0.75) + F.col("__m") + F.col("__e") * 0.15) / (F.col("__p") + 1)).alias("interaction_weight"),
+        F.lit("strength").alias("source"))
+    weakness = j.select(key, "__need", F.posexplode(F.slice(wl, 1, 4)).alias("__p", "item_id")).select(
+        key, "item_id", ((F.lit(0.90) + F.col("__need")) / (F.col("__p") + 1)).alias("interaction_weight"),
+        F.lit("weakness").alias("source"))
+    ext = j.filter(F.col("__q") >= 75).select(key, F.explode(F.slice(sl, 3, 3)).alias("item_id")).select(
+        key, "item_id", F.lit(0.35).alias("interaction_weight"), F.lit("extension").alias("source"))
+    u = strength.unionByName(weakness).unionByName(ext)
+    return u.select(F.col(key).alias("user_id"), "item_id",
+                    F.greatest(F.col("interaction_weight"), F.lit(0.05)).alias("interaction_weight"), "source")

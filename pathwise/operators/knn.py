@@ -4,24 +4,22 @@ Feature space: numeric columns (NULL -> 0) plus one-hot categorical
 columns, all standardized with population std (zero std -> 1), as the
 learner-similarity model defines it.
 
-Exact search by blocking with proofs:
-
-* Points are bucketed by their categorical combination (``grp``) and a grid
-  cell over the first two standardized dimensions (width ``w``).
-* Round r looks, for every unresolved query, at the points in the cells
-  within Chebyshev radius r of its cell.  Any point outside that ring is
-  farther than ``r * w`` (a coordinate differs by more); any point of
-  another categorical combination is at least ``lb_cat`` away (two
-  standardized dummies differ by one).
-* A query is resolved when it has k candidates and its k-th distance is
-  below the bound of the round; resolved rows are written out, the rest
-  (checkpointed) go to the next round with a doubled radius.  Same-group
-  rounds run first, then cross-group rounds; the last round covers the
-  whole grid extent, so every query resolves exactly.
-
-Only the unresolved queries are replicated to ring cells; points are
-never replicated, and no query is ever paired with every point unless the
-proof needs it.
+Exact search with cluster pruning (a one-level ball tree built by Spark):
+
+1. k-means partitions the points into ``C`` clusters; each cluster keeps its
+   centre and radius R_c (largest member distance to the centre).
+2. Every query scores all C centres in NumPy (Arrow batches; the centre
+   table is a fitted parameter of bounded size, broadcast once) and takes
+   its nearest clusters until they hold k + 1 points.  Exact distances to
+   those points give an upper bound u_q on the query's k-th distance.
+3. No point of cluster c is closer than max(d(q, centre_c) - R_c, distance
+   from q to the cluster's bounding box) (triangle inequality / box
+   geometry), so the query searches exactly the remaining clusters with
+   that bound <= u_q.  The final top-k is exact (ties by
+   neighbour key) and no query is paired with a cluster it cannot use.
+
+Pairs are produced by an equi-join on the cluster id (a shuffle on the
+cluster; AQE splits a skewed cluster partition).
 """
 
 from __future__ import annotations
@@ -30,6 +28,8 @@ import math
 import os
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,83 +84,175 @@ def _dist(metric: str):
                                            F.lit(0.0), lambda s, v: s + v))
 
 
-def knn(points: DataFrame, k: int, key: str = "id", width: float = 0.5, lb_cat: float = math.inf,
-        metric: str = "euclidean", exclude_self: bool = True, queries: DataFrame | None = None) -> DataFrame:
+def _np_dist(metric: str):
+    if metric == "manhattan":
+        return lambda q, c: np.abs(q[:, None, :] - c[None, :, :]).sum(axis=2)
+    return lambda q, c: np.sqrt(np.maximum(
+        (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * q @ c.T, 0.0))
+
+
+def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", exclude_self: bool = True,
+        queries: DataFrame | None = None, clusters: int | None = None, seed: int = 42,
+        log: list | None = None) -> DataFrame:
     """Exact k nearest neighbours of every query among ``points``.
 
-    ``points``/``queries``: (key, grp, vec).  ``metric``: euclidean or
-    manhattan (both bounded below by a coordinate difference).  Ties are
-    broken by neighbour key.  Returns (key, neighbour, distance, rnk).
+    ``points``/``queries``: (key, vec array<double>).  ``metric``: euclidean
+    or manhattan (both metrics, so the triangle-inequality bound holds).
+    Returns (key, neighbour, distance, rnk).  ``clusters`` defaults to about
+    n/32 (at most 4096): the centre table stays small enough to broadcast.
     """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
     spark = points.sparkSession
     run = scratch_path(spark, f"knn/{uuid.uuid4().hex}")
     dist = _dist(metric)
-
-    def cells(df, x, y):
-        return (F.floor(F.col("vec")[0] / width).cast("long").alias(x),
-                F.floor(F.col("vec")[1] / width).cast("long").alias(y))
-
-    pts = points.select(F.col(key).alias("__p"), F.col("grp").alias("__pg"), F.col("vec").alias("__pv"),
-                        *cells(points, "__pcx", "__pcy")).persist()
-    ext = pts.agg(F.min("__pcx"), F.max("__pcx"), F.min("__pcy"), F.max("__pcy"), F.count(F.lit(1))).collect()[0]
-    n_points = ext[4]
-    if n_points == 0:
+    npd = _np_dist(metric)
+    pts = points.select(F.col(key).alias("__p"), F.col("vec").cast("array<double>").alias("__pv"))
+    n = pts.count()
+    if n == 0:
         return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rnk int")
-    span = max(ext[1] - ext[0], ext[3] - ext[2]) + 1
-    kk = min(k, n_points - 1) if exclude_self else min(k, n_points)
+    kk = min(k, n - 1) if exclude_self else min(k, n)
+    c_n = clusters or max(1, min(4096, n // 32))
+    import time as _t
+    t0 = _t.time()
+    # the partition only steers pruning (results are exact either way), so it
+    # is fitted on a bounded hash sample of the points
+    frac = min(1.0, 50_000 / n)
+    sample = pts.filter((F.xxhash64("__p") % 1_000_000).cast("double") < frac * 1_000_000) if frac < 1 else pts
+    km = KMeans(k=c_n, seed=seed, maxIter=5, initMode="random", featuresCol="__f", predictionCol="__c").fit(
+        sample.select(array_to_vector("__pv").alias("__f")))
+    centres = np.array([np.asarray(c, dtype=float) for c in km.clusterCenters()])
+    c_n = len(centres)
+    cen_df = spark.createDataFrame([(i, centres[i].tolist()) for i in range(c_n)], "__c int, __cv array<double>")
+    assigned = km.transform(pts.withColumn("__f", array_to_vector("__pv"))).select("__p", "__pv", F.col("__c").cast("int"))
+    member = assigned.join(F.broadcast(cen_df), "__c").select("__p", "__pv", "__c", dist(F.col("__pv"), F.col("__cv")).alias("__dc"))
+    ppath = os.path.join(run, "points")
+    member.write.mode("overwrite").parquet(ppath)
+    member = spark.read.parquet(ppath)
+    dim = centres.shape[1]
+    info = member.groupBy("__c").agg(
+        F.count(F.lit(1)).alias("size"), F.max("__dc").alias("radius"),
+        *[F.min(F.col("__pv")[i]).alias(f"lo{i}") for i in range(dim)],
+        *[F.max(F.col("__pv")[i]).alias(f"hi{i}") for i in range(dim)]).collect()
+    size = np.zeros(c_n, dtype=np.int64)
+    radius = np.zeros(c_n)
+    lo = np.full((c_n, dim), np.inf)
+    hi = np.full((c_n, dim), -np.inf)
+    for r in info:
+        c = r["__c"]
+        size[c], radius[c] = r["size"], r["radius"]
+        lo[c] = [r[f"lo{i}"] for i in range(dim)]
+        hi[c] = [r[f"hi{i}"] for i in range(dim)]
+    bc = spark.sparkContext.broadcast((centres, size, radius, lo, hi))
+    t1 = _t.time()
+    need = kk + (1 if exclude_self else 0)
+
     src = queries if queries is not None else points
-    q = src.select(F.col(key).alias("__q"), F.col("grp").alias("__qg"), F.col("vec").alias("__qv"),
-                   *cells(src, "cx", "cy"))
-
-    rounds = []
-    r = 1
-    while True:  # same-group rounds until the ring bound reaches the categorical bound
-        rounds.append((True, r))
-        if r * width >= lb_cat or r >= span:
-            break
-        r *= 2
-    if lb_cat != math.inf:
-        while True:  # cross-group rounds, continuing from the last radius
-            rounds.append((False, r))
-            if r >= span:
-                break
-            r *= 2
-
-    pending = q
-    outputs = []
-    for i, (same, r) in enumerate(rounds):
-        offs = F.explode(F.sequence(F.lit(-r), F.lit(r)))
-        qq = pending.select("*", offs.alias("__dx")).select("*", offs.alias("__dy"))
-        qq = qq.select("__q", "__qg", "__qv", (F.col("cx") + F.col("__dx")).alias("__cx"),
-                       (F.col("cy") + F.col("__dy")).alias("__cy"))
-        cond = (qq["__cx"] == pts["__pcx"]) & (qq["__cy"] == pts["__pcy"])
-        if same:
-            cond = cond & (qq["__qg"] == pts["__pg"])
-        pairs = qq.join(pts, cond)
-        if exclude_self:
-            pairs = pairs.filter(F.col("__q") != F.col("__p"))
-        pairs = pairs.select("__q", "__p", dist(F.col("__qv"), F.col("__pv")).alias("distance"))
-        w = Window.partitionBy("__q").orderBy("distance", "__p")
-        top = pairs.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= kk)
-        last_round = r >= span and (not same or lb_cat == math.inf)
-        if same:
-            bound = lb_cat if r >= span else min(r * width, lb_cat)
-        else:
-            bound = math.inf if r >= span else r * width
-        wq = Window.partitionBy("__q")  # same partitioning as the top-k window: no extra shuffle
-        top = top.withColumn("__n", F.count(F.lit(1)).over(wq)).withColumn("__dk", F.max("distance").over(wq))
-        proven = F.lit(True) if bound == math.inf else (F.col("__dk") < F.lit(bound))
-        res = top.filter((F.col("__n") >= kk) & proven).drop("__n", "__dk")
-        path = os.path.join(run, f"round{i}")
-        res.write.mode("overwrite").parquet(path)
-        outputs.append(path)
-        if last_round:
-            break
-        pending = pending.join(spark.read.parquet(path).select("__q").distinct(), "__q", "left_anti").checkpoint()
-        if pending.limit(1).count() == 0:
-            break
-    pts.unpersist()
-    res = spark.read.parquet(*outputs)
+    q = src.select(F.col(key).alias("__q"), F.col("vec").cast("array<double>").alias("__qv"))
+
+    def phase1(batches):
+        cen, sz, _rad, _lo, _hi = bc.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            qv = np.stack(pdf["__qv"].to_numpy())
+            d = npd(qv, cen)
+            order = np.argsort(d, axis=1, kind="stable")
+            cum = np.cumsum(sz[order], axis=1)
+            take = (cum - sz[order]) < need          # clusters until k+1 points are covered
+            qs, cs = [], []
+            for i, qk in enumerate(pdf["__q"].to_numpy()):
+                sel = order[i][take[i]]
+                qs.extend([qk] * len(sel))
+                cs.extend(sel.tolist())
+            yield pd.DataFrame({"__q": qs, "__c": np.asarray(cs, dtype=np.int32)})
+
+    def phase2(batches):
+        cen, sz, rad, blo, bhi = bc.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            qv = np.stack(pdf["__qv"].to_numpy())
+            lb = npd(qv, cen) - rad[None, :]                      # ball bound
+            box = np.empty_like(lb)                               # bounding-box bound
+            for s0 in range(0, len(qv), 128):
+                g = np.maximum(np.maximum(blo[None, :, :] - qv[s0:s0 + 128, None, :],
+                                          qv[s0:s0 + 128, None, :] - bhi[None, :, :]), 0.0)
+                box[s0:s0 + 128] = g.sum(axis=2) if metric == "manhattan" else np.sqrt((g * g).sum(axis=2))
+            lb = np.maximum(lb, box)
+            lb[:, sz == 0] = np.inf
+            u = pdf["__u"].to_numpy(dtype=float)
+            u = np.where(np.isnan(u), np.inf, u)
+            ok = lb <= u[:, None]
+            qs, cs = [], []
+            for i, qk in enumerate(pdf["__q"].to_numpy()):
+                sel = np.nonzero(ok[i])[0]
+                qs.extend([qk] * len(sel))
+                cs.extend(sel.tolist())
+            yield pd.DataFrame({"__q": qs, "__c": np.asarray(cs, dtype=np.int32)})
+
+
+    def block_topk(qc):
+        """Exact top-k per query over the (query, cluster) list, scored in blocks.
+
+        Blocks are (cluster, point chunk, query chunk) with at most ``block``
+        points and about ``block`` queries each, so no task ever holds a whole
+        hot cluster or all of its queries; each block emits only its top-k.
+        """
+        nq = qc.groupBy("__c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nqk"))
+        qn = (qc.join(F.broadcast(nq), "__c")
+              .withColumn("__qk", F.pmod(F.xxhash64("__q"), F.col("__nqk")).cast("int"))
+              .join(F.broadcast(pchunks), "__c")
+              .select("__q", "__c", "__qk", F.explode(F.sequence(F.lit(0), F.col("__npk") - 1)).alias("__pk"))
+              .join(q, "__q"))
+        pts_b = (member.join(F.broadcast(pchunks), "__c").join(F.broadcast(nq), "__c")
+                 .select("__p", "__pv", "__c", F.pmod(F.xxhash64("__p"), F.col("__npk")).cast("int").alias("__pk"),
+                         F.explode(F.sequence(F.lit(0), F.col("__nqk") - 1)).alias("__qk")))
+
+        def score(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
+            if qs.empty or ps.empty:
+                return pd.DataFrame({"__q": [], "__p": [], "distance": []})
+            qv = np.stack(qs["__qv"].to_numpy())
+            pv = np.stack(ps["__pv"].to_numpy())
+            diff = qv[:, None, :] - pv[None, :, :]
+            d = np.abs(diff).sum(axis=2) if metric == "manhattan" else np.sqrt((diff * diff).sum(axis=2))
+            pk = ps["__p"].to_numpy()
+            qk = qs["__q"].to_numpy()
+            if exclude_self:
+                d = np.where(qk[:, None] == pk[None, :], np.inf, d)
+            out_q, out_p, out_d = [], [], []
+            for i in range(len(qk)):
+                order = np.lexsort((pk, d[i]))[:kk]
+                order = order[np.isfinite(d[i][order])]
+                out_q.append(np.full(len(order), qk[i]))
+                out_p.append(pk[order])
+                out_d.append(d[i][order])
+            return pd.DataFrame({"__q": np.concatenate(out_q), "__p": np.concatenate(out_p),
+                                 "distance": np.concatenate(out_d)})
+
+        return (qn.groupBy("__c", "__pk", "__qk").cogroup(pts_b.groupBy("__c", "__pk", "__qk"))
+                .applyInPandas(score, "__q long, __p long, distance double"))
+
+    block = 256
+    pchunks = spark.createDataFrame([(int(c), int(max(1, math.ceil(size[c] / block)))) for c in range(c_n)],
+                                    "__c int, __npk int")
+    w = Window.partitionBy("__q").orderBy("distance", "__p")
+    qc1 = q.mapInPandas(phase1, "__q long, __c int")
+    top1 = block_topk(qc1).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= kk)
+    p1 = os.path.join(run, "phase1")
+    top1.write.mode("overwrite").parquet(p1)
+    top1 = spark.read.parquet(p1)
+    t2 = _t.time()
+    u = top1.groupBy("__q").agg(F.max("distance").alias("__u"), F.count(F.lit(1)).alias("__n"))
+    u = u.select("__q", F.when(F.col("__n") >= kk, F.col("__u")).alias("__u"))
+    qu = q.join(u, "__q", "left")
+    qc2 = qu.mapInPandas(phase2, "__q long, __c int").join(qc1, ["__q", "__c"], "left_anti")
+    cand = top1.select("__q", "__p", "distance").unionByName(block_topk(qc2))
+    res = cand.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= kk)
+    if log is not None:
+        log.append({"clusters": c_n, "phase1_pairs": qc1.count(), "phase2_pairs": qc2.count(),
+                    "fit_s": round(t1 - t0, 1), "phase1_s": round(t2 - t1, 1)})
     return res.select(F.col("__q").alias(key), F.col("__p").alias("neighbour"), "distance", "rnk")
 
 

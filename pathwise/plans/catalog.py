@@ -30,5 +30,5 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
 def load_all() -> None:
     """Import every query module so its registrations run."""
     from pathwise.plans import (  # noqa: F401
-        q_features, q_scoring, q_candidates, q_ranking, q_events, q_eval, q_streaming, q_knn, q_models,
+        q_features, q_scoring, q_candidates, q_ranking, q_events, q_eval, q_streaming, q_knn, q_models, q_sources, q_jobs,
     )

@@ -19,7 +19,7 @@ LT = ("learners", "topics")
 def neighbour_pairs(spark, sf, k: int = NEIGHBOURS, metric: str = "euclidean"):
     f = C.features(spark, sf)
     space, _dims, lb = KN.feature_space(f, "student_id", K.RICH_FEATURES, K.CAT_FEATURES)
-    return KN.knn(space, k, "student_id", lb_cat=lb, metric=metric)
+    return KN.knn(space, k, "student_id", metric=metric)
 
 
 def _num_terms():

@@ -60,11 +60,17 @@ def e01(spark, sf):
 
 
 # ------------------------------------------------------------------- E3
-HYBRID_SQL = f"""{PRIOR_SQL[:-1]}),
-{_seg_ctes()},
-cl AS (SELECT student_id, topic, CAST(pos AS INT) AS c_rank FROM prior WHERE pos <= 10),
-ul AS (SELECT student_id, topic, CAST(pos AS INT) AS u_rank FROM lb JOIN pool USING (band) WHERE pos <= 5),
-nc AS (SELECT student_id, COUNT(*) AS n FROM cl GROUP BY student_id),
+RERANK_TAIL = """rk AS (SELECT student_id, topic, ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY hybrid_score DESC, merged_rnk) AS pos FROM hs),
+p AS (SELECT *, split_part(topic, ' ', 1) AS pref FROM rk),
+f AS (SELECT *, CASE WHEN pos <= 2 OR pos = MIN(pos) OVER (PARTITION BY student_id, pref) THEN 0 ELSE 1 END AS pass FROM p),
+sel AS (SELECT student_id, topic, ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY pass, pos) AS o FROM f QUALIFY o <= 5),
+anc AS (SELECT student_id, topic FROM cl WHERE c_rank = 1),
+ins AS (SELECT a.student_id, a.topic, 0 AS o FROM anc a
+        WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.student_id = a.student_id AND s.topic = a.topic))
+SELECT student_id, topic, CAST(ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY o) AS INT) AS rerank_rnk
+FROM (SELECT * FROM sel UNION ALL SELECT * FROM ins) u QUALIFY rerank_rnk <= 5"""
+
+HYBRID_TAIL = """nc AS (SELECT student_id, COUNT(*) AS n FROM cl GROUP BY student_id),
 nu AS (SELECT student_id, COUNT(*) AS n FROM ul GROUP BY student_id),
 m AS (SELECT COALESCE(cl.student_id, ul.student_id) AS student_id, COALESCE(cl.topic, ul.topic) AS topic,
              cl.c_rank AS c0, ul.u_rank AS u0 FROM cl FULL OUTER JOIN ul ON cl.student_id = ul.student_id AND cl.topic = ul.topic),
@@ -81,6 +87,12 @@ hs AS (SELECT *, 0.52 * (1.0 / log2(GREATEST(c_rank, 1) + 1.0)) + 0.38 * (1.0 /
                              AND LEAST(GREATEST(quiz_score / 100.0, 0.0), 1.0) >= 0.7 THEN 0.08 ELSE 0.0 END AS hybrid_score
        FROM h)"""
 
+HYBRID_SQL = f"""{PRIOR_SQL[:-1]}),
+{_seg_ctes()},
+cl AS (SELECT student_id, topic, CAST(pos AS INT) AS c_rank FROM prior WHERE pos <= 10),
+ul AS (SELECT student_id, topic, CAST(pos AS INT) AS u_rank FROM lb JOIN pool USING (band) WHERE pos <= 5),
+{HYBRID_TAIL}"""
+
 
 def _hybrid(spark, sf):
     return R.hybrid_scores(_content(spark, sf), _segment(spark, sf), C.learners(spark, sf), "student_id")
@@ -94,15 +106,7 @@ def e03(spark, sf):
 
 # ------------------------------------------------------------------- E4
 @register("e04_diversity_rerank", f"""WITH {HYBRID_SQL},
-rk AS (SELECT student_id, topic, ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY hybrid_score DESC, merged_rnk) AS pos FROM hs),
-p AS (SELECT *, split_part(topic, ' ', 1) AS pref FROM rk),
-f AS (SELECT *, CASE WHEN pos <= 2 OR pos = MIN(pos) OVER (PARTITION BY student_id, pref) THEN 0 ELSE 1 END AS pass FROM p),
-sel AS (SELECT student_id, topic, ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY pass, pos) AS o FROM f QUALIFY o <= 5),
-anc AS (SELECT student_id, topic FROM cl WHERE c_rank = 1),
-ins AS (SELECT a.student_id, a.topic, 0 AS o FROM anc a
-        WHERE NOT EXISTS (SELECT 1 FROM sel s WHERE s.student_id = a.student_id AND s.topic = a.topic))
-SELECT student_id, topic, CAST(ROW_NUMBER() OVER (PARTITION BY student_id ORDER BY o) AS INT) AS rerank_rnk
-FROM (SELECT * FROM sel UNION ALL SELECT * FROM ins) u QUALIFY rerank_rnk <= 5""", LT)
+{RERANK_TAIL}""", LT)
 def e04(spark, sf):
     h = _hybrid(spark, sf)
     ranked = R.top_k(h, "student_id", [F.col("hybrid_score").desc(), F.col("merged_rnk")], 10_000, "pos")

@@ -78,6 +78,6 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with CTEs for the named fixture views (in order)."""
     ctes = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in names)
     body = sql.strip()
-    if body.upper().startswith("WITH "):
+    if body[:5].upper() in ("WITH ", "WITH\n"):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
