@@ -119,7 +119,7 @@ def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", e
     # the partition only steers pruning (results are exact either way), so it
     # is fitted on a bounded hash sample of the points
     frac = min(1.0, 50_000 / n)
-    sample = pts.filter((F.xxhash64("__p") % 1_000_000).cast("double") < frac * 1_000_000) if frac < 1 else pts
+    sample = pts.filter(F.pmod(F.xxhash64("__p"), F.lit(1_000_000)) < int(frac * 1_000_000)) if frac < 1 else pts
     km = KMeans(k=c_n, seed=seed, maxIter=5, initMode="random", featuresCol="__f", predictionCol="__c").fit(
         sample.select(array_to_vector("__pv").alias("__f")))
     centres = np.array([np.asarray(c, dtype=float) for c in km.clusterCenters()])
