@@ -93,13 +93,15 @@ def _np_dist(metric: str):
 
 def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", exclude_self: bool = True,
         queries: DataFrame | None = None, clusters: int | None = None, seed: int = 42,
-        log: list | None = None) -> DataFrame:
+        log: list | None = None, probe: int = 2) -> DataFrame:
     """Exact k nearest neighbours of every query among ``points``.
 
     ``points``/``queries``: (key, vec array<double>).  ``metric``: euclidean
     or manhattan (both metrics, so the triangle-inequality bound holds).
     Returns (key, neighbour, distance, rnk).  ``clusters`` defaults to about
-    n/32 (at most 4096): the centre table stays small enough to broadcast.
+    n/256 (at most 4096): the centre table stays small enough to broadcast.
+    Phase 1 probes the ``probe`` nearest clusters (at least enough for k+1
+    points) to get a tight first bound.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
@@ -113,7 +115,7 @@ def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", e
     if n == 0:
         return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rnk int")
     kk = min(k, n - 1) if exclude_self else min(k, n)
-    c_n = clusters or max(1, min(4096, n // 32))
+    c_n = clusters or max(1, min(4096, n // 256))
     import time as _t
     t0 = _t.time()
     # the partition only steers pruning (results are exact either way), so it
@@ -160,7 +162,7 @@ def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", e
             d = npd(qv, cen)
             order = np.argsort(d, axis=1, kind="stable")
             cum = np.cumsum(sz[order], axis=1)
-            take = (cum - sz[order]) < need          # clusters until k+1 points are covered
+            take = ((cum - sz[order]) < need) | (np.arange(order.shape[1])[None, :] < probe)
             qs, cs = [], []
             for i, qk in enumerate(pdf["__q"].to_numpy()):
                 sel = order[i][take[i]]

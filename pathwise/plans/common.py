@@ -9,17 +9,40 @@ from pathwise.operators.features import composite_score, engineer_features
 from pathwise.sources import tables
 
 
+_MATERIALIZED: dict = {}
+
+
+def materialized(spark: SparkSession, sf: str, name: str, build) -> DataFrame:
+    """Derive a binding table once per application and scale factor.
+
+    The table is written as parquet under the shared checkpoint folder and
+    read back, so later plans scan it with column pruning and filter
+    pushdown instead of re-running its joins (and lineage is cut).
+    """
+    import os
+    import uuid
+
+    from pathwise.session import scratch_path
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf), name)
+    path = _MATERIALIZED.get(key)
+    if path is None:
+        path = scratch_path(spark, f"tables/{name}-{uuid.uuid4().hex}")
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = path
+    return spark.read.parquet(path)
+
+
 def learners(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.learners(spark, sf)
+    return materialized(spark, sf, "learners", lambda: tables.learners(spark, sf))
 
 
 def features(spark: SparkSession, sf: str) -> DataFrame:
     """Learners with engineered features (B3-B11) and composite label."""
-    return composite_score(engineer_features(tables.learners(spark, sf)))
+    return composite_score(engineer_features(learners(spark, sf)))
 
 
 def topics(spark: SparkSession, sf: str) -> DataFrame:
-    return tables.topics(spark, sf)
+    return materialized(spark, sf, "topics", lambda: tables.topics(spark, sf))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
@@ -42,7 +65,7 @@ def rated_events(spark: SparkSession, sf: str) -> DataFrame:
     """Feedback events with item = topic name; 'error' relabelled as a rating
     event with rating 1 + event_id % 5 (the rating fixture)."""
     e = tables.feedback_events(spark, sf)
-    t = tables.topics(spark, sf).select("topic_idx", F.col("topic").alias("item_id"))
+    t = topics(spark, sf).select("topic_idx", F.col("topic").alias("item_id"))
     err = F.col("event_type") == "error"
     return (e.join(F.broadcast(t), "topic_idx", "left")
             .select("event_id", "timestamp_utc", "user_id", "session_id", "value", "topic_idx", "item_id",
