@@ -284,3 +284,24 @@ def sparse_blend(df: DataFrame, key: str, model_score: str, bigram_score: str) -
     mx = F.greatest(F.max(bigram_score).over(w), F.lit(1e-6))
     return (df.withColumn("blend_score", F.lit(0.75) * prob + F.lit(0.25) * (F.col(bigram_score) / mx))
             .drop("__e"))
+
+
+# ----------------------------------------------------------------- E12
+def learned_ranker(train: DataFrame, label: str, feature_cols: list[str], max_iter: int = 30, max_depth: int = 4):
+    """Pointwise learned ranker (gradient-boosted trees on per-candidate
+    features such as content rank, collaborative rank and quiz score).
+
+    The pairwise objective has no Spark ML counterpart; scores are pointwise
+    and ordered per request by :func:`rank_by_model`.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
+    va = VectorAssembler(inputCols=feature_cols, outputCol="features", handleInvalid="keep")
+    g = GBTRegressor(labelCol=label, featuresCol="features", maxIter=max_iter, maxDepth=max_depth, seed=42)
+    return Pipeline(stages=[va, g]).fit(train)
+
+
+def rank_by_model(model, cands: DataFrame, key: str, k: int, tie: str = "merged_rnk") -> DataFrame:
+    s = model.transform(cands).withColumnRenamed("prediction", "model_score").drop("features")
+    return top_k(s, key, [F.col("model_score").desc(), F.col(tie)], k, "model_rnk")

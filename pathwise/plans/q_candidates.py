@@ -253,3 +253,19 @@ def d21(spark, sf):
     pos = (C.events(spark, sf).filter(F.col("event_type") == "recommendation_clicked")
            .select("user_id", F.col("topic_idx").alias("item_idx")).distinct())
     return D.negative_samples(pos, 48, "user_id", "item_idx")
+
+
+@register("d11_retrieval_ladder")
+def d11(spark, sf):
+    from pathwise.streaming.feedback import online_user_vectors_batch
+    l, t = C.learners(spark, sf), C.topics(spark, sf)
+    ev = C.rated_events(spark, sf).withColumn("event_ts", F.col("timestamp_utc").cast("timestamp")) \
+        .withColumn("reward", S.event_reward("event_type", "rating"))
+    ev = ev.withColumn("item_vec", F.when(F.col("item_id").isNotNull(), S.hashed_vector("item_id"))
+                       .otherwise(F.array(F.lit(1.0), *[F.lit(0.0)] * 8)))
+    uvec = online_user_vectors_batch(ev).select(F.col("user_id").alias("student_id"), F.col("vector").alias("vec"))
+    tv = t.select("topic", S.hashed_vector("topic").alias("vec"))
+    ann = D.cosine_top_k(uvec, tv, 15, "student_id", "topic").select("student_id", "topic", "rnk")
+    cold = D.cold_start(l, t, 15).select("student_id", "topic", "rnk")
+    content = D.content_candidates(l, t, 15).select("student_id", "topic", "rnk")
+    return D.retrieval_ladder(ann, uvec.select("student_id"), cold, content, "student_id", 15)

@@ -284,3 +284,23 @@ def e13(spark, sf):
     on = e07(spark, sf).select("student_id", "topic", F.col("online_score").cast("double").alias("model"))
     return R.sparse_blend(seq.join(on, ["student_id", "topic"]), "student_id", "model", "bigram").select(
         "student_id", "topic", "blend_score")
+
+
+@register("e12_learned_ranker")
+def e12(spark, sf):
+    from pathwise.operators.evaluation import difficulty_relevance
+    h = _hybrid(spark, sf).join(C.learners(spark, sf).select("student_id", "quiz_score"), "student_id")
+    rel = difficulty_relevance(C.learners(spark, sf), C.topics(spark, sf)).withColumn("label", F.lit(1.0))
+    d = EV.hash_split(h.join(rel, ["student_id", "topic"], "left").fillna(0.0, ["label"]), "student_id")
+    model = R.learned_ranker(d.filter("is_train"), "label", ["c_rank", "u_rank", "quiz_score"])
+    return R.rank_by_model(model, d.filter("NOT is_train"), "student_id", 5).select(
+        "student_id", "topic", "model_score", "model_rnk")
+
+
+@register("e09_adaptive_blend")
+def e09(spark, sf):
+    seq = e06(spark, sf).withColumn("sequence_score", F.col("sequence_score") / 1e6)
+    on = e07(spark, sf).select("student_id", "topic", (F.col("online_score") / 1e6).alias("online_score"))
+    ban = e05(spark, sf).select("student_id", "topic", "bandit_score")
+    j = seq.join(on, ["student_id", "topic"]).join(ban, ["student_id", "topic"])
+    return R.adaptive_blend(j, "student_id", 5).select("student_id", "topic", "adaptive_score", "adaptive_rnk")
