@@ -97,7 +97,7 @@ def d09(spark, sf):
 
 
 @register("d10_user_item_scores", f"""WITH {C.CENTROIDS_SQL},
-s AS (SELECT label, vec_id, list_dot_product(c.vec, CAST(e.embedding AS DOUBLE[])) + 0.05 * (1.0 / (1 + vec_id)) AS score
+s AS (SELECT c.label, e.vec_id, list_dot_product(c.vec, CAST(e.embedding AS DOUBLE[])) + 0.05 * (1.0 / (1 + e.vec_id)) AS score
       FROM cen c, embeddings e)
 SELECT label, vec_id, {sq('score')} AS score,
        CAST(ROW_NUMBER() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS INT) AS rnk FROM s""")
