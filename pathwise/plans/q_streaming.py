@@ -49,8 +49,10 @@ def g01(spark, sf):
     s = raw.unionByName(raw.filter(F.col("event_type") == "recommendation_clicked"))
     s = s.withColumn("idempotency_key", S.idempotency_key(
         F.lit(None).cast("string"), item=F.col("topic_idx").cast("string"), payload=F.lit("{}")))
-    s = s.withColumn("event_ts", F.col("timestamp_utc").cast("timestamp"))
-    log = G.run_append_log(spark, G.idempotent_ingest(s), G.new_run_dir(spark, "g01"), "idempotency_key")
+    s = s.withColumn("event_ts", F.col("timestamp_utc").cast("timestamp")).withColumn(
+        "event_date", F.to_date("timestamp_utc"))
+    log = G.run_append_log(spark, G.idempotent_ingest(s), G.new_run_dir(spark, "g01"), "idempotency_key",
+                           partition_col="event_date")
     return log.select("idempotency_key", "event_id")
 
 

@@ -51,11 +51,15 @@ def run_complete(spark: SparkSession, agg: DataFrame, run_dir: str) -> DataFrame
     return spark.read.parquet(out)
 
 
-def run_append_log(spark: SparkSession, stream: DataFrame, run_dir: str, key: str | None = None) -> DataFrame:
+def run_append_log(spark: SparkSession, stream: DataFrame, run_dir: str, key: str | None = None,
+                   partition_col: str | None = None) -> DataFrame:
     """Run an append stream to completion into a log table.
 
     With ``key``, rows whose key is already in the log are dropped first
     (durable dedup beyond the watermark; a replayed batch writes nothing new).
+    With ``partition_col`` (e.g. the event date, which is part of the
+    idempotency key's material) the log is partitioned by it and each batch
+    probes only the partitions of the values it contains.
     """
     out = os.path.join(run_dir, "log")
 
@@ -64,8 +68,17 @@ def run_append_log(spark: SparkSession, stream: DataFrame, run_dir: str, key: st
         if key is not None:
             b = b.dropDuplicates([key])
             if _exists(spark, out):
-                b = b.join(spark.read.parquet(out).select(key), key, "left_anti")
-        b.write.mode("append").parquet(out)
+                log = spark.read.parquet(out)
+                if partition_col is not None:
+                    vals = [r[0] for r in b.select(partition_col).distinct().collect()]  # few per batch
+                    log = log.filter(F.col(partition_col).isin(vals))
+                    b = b.join(log.select(partition_col, key), [partition_col, key], "left_anti")
+                else:
+                    b = b.join(log.select(key), key, "left_anti")
+        w = b.write.mode("append")
+        if partition_col is not None:
+            w = w.partitionBy(partition_col)
+        w.parquet(out)
 
     q = (stream.writeStream.outputMode("append").foreachBatch(sink)
          .option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
