@@ -99,7 +99,7 @@ def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", e
     ``points``/``queries``: (key, vec array<double>).  ``metric``: euclidean
     or manhattan (both metrics, so the triangle-inequality bound holds).
     Returns (key, neighbour, distance, rnk).  ``clusters`` defaults to about
-    n/256 (at most 4096): the centre table stays small enough to broadcast.
+    n/512 (at most 4096): the centre table stays small enough to broadcast.
     Phase 1 probes the ``probe`` nearest clusters (at least enough for k+1
     points) to get a tight first bound.
     """
@@ -115,7 +115,7 @@ def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", e
     if n == 0:
         return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rnk int")
     kk = min(k, n - 1) if exclude_self else min(k, n)
-    c_n = clusters or max(1, min(4096, n // 256))
+    c_n = clusters or max(1, min(4096, n // 512))
     import time as _t
     t0 = _t.time()
     # the partition only steers pruning (results are exact either way), so it
@@ -236,7 +236,7 @@ def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", e
         return (qn.groupBy("__c", "__pk", "__qk").cogroup(pts_b.groupBy("__c", "__pk", "__qk"))
                 .applyInPandas(score, "__q long, __p long, distance double"))
 
-    block = 256
+    block = 512
     pchunks = spark.createDataFrame([(int(c), int(max(1, math.ceil(size[c] / block)))) for c in range(c_n)],
                                     "__c int, __npk int")
     w = Window.partitionBy("__q").orderBy("distance", "__p")
