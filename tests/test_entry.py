@@ -11,4 +11,3 @@ def test_registry_consistency():
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q)
     assert all(callable(f) for f in q.values())
-    assert not any(n.startswith("op") for n in q)
