@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from pathwise.llm import mixing, sharding  # noqa: F401
+from pathwise.llm import chat, mixing, quality, sharding, topk  # noqa: F401
 from pathwise.llm.registry import ORACLES, QUERIES  # noqa: F401
