@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
 import pandas as pd
@@ -148,9 +149,13 @@ def find_secrets(text: str) -> list[tuple[int, int, str, int]]:
     if b"x" * 24 in raw.translate(HEX_RUN):
         found += [(m.start(), m.end(), "hex", m.start()) for m in HEX.finditer(text)]
     if (b"=" in raw or b":" in raw) and any(w in low for w in FRAGMENTS):
-        base = sorted((s, e) for s, e, _, _ in found)
+        starts, reach = [], []  # base spans by start, with the furthest end so far
+        for s, e in sorted((s, e) for s, e, _, _ in found):
+            starts.append(s)
+            reach.append(max(e, reach[-1] if reach else 0))
         for s, e in literal_spans(text):
-            if not any(a <= s and e <= b for a, b in base):
+            before = bisect_right(starts, s)
+            if not before or reach[before - 1] < e:  # not inside a base span
                 found.append((s, e, "literal", s))
     return sorted(set(found), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
