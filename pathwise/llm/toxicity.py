@@ -30,12 +30,11 @@ from pathwise.llm.common import table
 from pathwise.llm.registry import register
 
 SAMPLE = 16_000
-WORDS = 256
+WORDS = 192
 FOLDS = 3
 MIN_CHI2 = 30.0
 MIN_ROWS = 5
-RIDGE = 1e-2
-THRESHOLD = 0.5
+RIDGE = 0.1
 #: Categories in chain order: name -> (label column, the label's value that counts as positive).
 CHAIN = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
 
@@ -75,6 +74,7 @@ class Model:
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray  # ratios, earlier categories, words, intercept
+    threshold: float = 0.5
 
     def design(self, hashes, rows, stats, earlier) -> np.ndarray:
         dense = (np.column_stack([stats, logit(earlier)]) - self.mean) / self.scale
@@ -102,13 +102,11 @@ def presence(hashes, rows, n: int, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose_words(hashes, rows, y: np.ndarray, limit: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the words whose presence tells ``y`` apart best."""
-    pairs = np.unique(np.column_stack([hashes, rows.astype(np.uint64)]), axis=0) if len(hashes) else np.zeros((0, 2), np.uint64)
-    vocabulary, at = np.unique(pairs[:, 0], return_inverse=True)
+def choose_words(vocabulary, codes, rows, y: np.ndarray, limit: int = WORDS) -> np.ndarray:
+    """Sorted hashes of the words whose presence tells ``y`` apart best; a word stands once in a row."""
     n, positive = len(y), y.sum()
-    df = np.bincount(at, minlength=len(vocabulary))
-    both = np.bincount(at, weights=y[pairs[:, 1].astype(np.int64)], minlength=len(vocabulary))
+    df = np.bincount(codes, minlength=len(vocabulary))
+    both = np.bincount(codes, weights=y[rows], minlength=len(vocabulary))
     expected = df * positive / max(n, 1)
     spread = expected * (1 - positive / max(n, 1)) * (1 - df / max(n, 1))
     chi2 = np.where(spread > 0, (both - expected) ** 2 / np.where(spread > 0, spread, 1), 0)
@@ -117,6 +115,14 @@ def choose_words(hashes, rows, y: np.ndarray, limit: int = WORDS) -> np.ndarray:
     return np.sort(vocabulary[best])
 
 
+def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
+    """The cut of a fixed grid with the best F1, the middle one of equals."""
+    grid = np.arange(1, 20) / 20
+    f1 = np.asarray([2 * y[p >= t].sum() / max(1e-9, (p >= t).sum() + y.sum()) for t in grid])
+    ties = grid[f1 >= f1.max() - 1e-12]
+    return float(ties[len(ties) // 2]) if y.sum() else 0.5
+
+
 def fit_link(hashes, rows, stats, earlier, y, vocabulary) -> Model:
     """Ridge-penalised logistic regression by Newton steps."""
     dense = np.column_stack([stats, logit(earlier)])
@@ -128,7 +134,7 @@ def fit_link(hashes, rows, stats, earlier, y, vocabulary) -> Model:
     if not 0 < y.sum() < len(y):
         return model
     x = model.design(hashes, rows, stats, earlier)
-    penalty = np.full(x.shape[1], RIDGE * len(y) / 100)
+    penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 0
     for _ in range(12):
         p = sigmoid(x @ model.weights)
@@ -136,7 +142,7 @@ def fit_link(hashes, rows, stats, earlier, y, vocabulary) -> Model:
         curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(curve, gradient)
         model.weights = model.weights + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
-        if np.abs(step).max() < 1e-4:
+        if np.abs(step).max() < 1e-3:
             break
     return model
 
@@ -149,19 +155,26 @@ def _subset(hashes, rows, stats, earlier, keep):
 
 
 def fit_chain(hashes, rows, stats, labels: np.ndarray, fold: np.ndarray) -> list[Model]:
-    """One model per column of ``labels`` (NaN: not labelled), in order."""
+    """One model per column of ``labels`` (NaN: not labelled), in order; ``hashes`` are distinct within a row.
+
+    A category's threshold is the best one for its out-of-fold predictions.
+    """
+    vocabulary, codes = np.unique(hashes, return_inverse=True)
     models, earlier = [], np.zeros((len(stats), 0))
+
+    def link(keep, y):
+        part = _subset(hashes, rows, stats, earlier, keep)
+        return fit_link(*part, y[keep], choose_words(vocabulary, codes[keep[rows]], part[1], y[keep]))
+
     for j in range(labels.shape[1]):
         y = labels[:, j]
         known = ~np.isnan(y)
         held = np.zeros(len(stats))
         for f in range(FOLDS):
-            train, test = known & (fold != f), fold == f
-            part = _subset(hashes, rows, stats, earlier, train)
-            link = fit_link(*part, y[train], choose_words(part[0], part[1], y[train]))
-            held[test] = link.predict(*_subset(hashes, rows, stats, earlier, test))
-        part = _subset(hashes, rows, stats, earlier, known)
-        models.append(fit_link(*part, y[known], choose_words(part[0], part[1], y[known])))
+            test = fold == f
+            held[test] = link(known & ~test, y).predict(*_subset(hashes, rows, stats, earlier, test))
+        models.append(link(known, y))
+        models[-1].threshold = best_threshold(held[known], y[known])
         earlier = np.column_stack([earlier, held])
     return models
 
@@ -217,19 +230,20 @@ def probabilities(text, models: list[Model]):
     return F.pandas_udf(run, "array<double>")(text)
 
 
-def score(docs: DataFrame, models: list[Model], chain: dict = CHAIN, threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, models: list[Model], chain: dict = CHAIN) -> DataFrame:
     """``doc_id``, a ``p_<category>`` each, ``toxic`` and ``kept`` for every document."""
     rows = docs.select("doc_id", probabilities(F.col("text"), models).alias("p"))
     names = list(chain)
-    toxic = F.col("p")[names.index("toxic")] >= threshold
+    at = names.index("toxic")
+    toxic = F.col("p")[at] >= models[at].threshold
     return rows.select("doc_id", *[F.col("p")[j].alias(f"p_{c}") for j, c in enumerate(names)], toxic.alias("toxic"),
                        (~toxic).alias("kept"))
 
 
-def keep_clean(docs: DataFrame, models: list[Model], chain: dict = CHAIN, threshold: float = THRESHOLD) -> DataFrame:
+def keep_clean(docs: DataFrame, models: list[Model], chain: dict = CHAIN) -> DataFrame:
     """The documents, all columns, without those predicted toxic."""
     at = list(chain).index("toxic")
-    return docs.filter(probabilities(F.col("text"), models)[at] < threshold)
+    return docs.filter(probabilities(F.col("text"), models)[at] < models[at].threshold)
 
 
 @register("op9_toxicity_chain")
