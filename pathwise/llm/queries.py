@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from pathwise.llm import chat, langid, mixing, packing, quality, secrets, sharding, topk, toxicity  # noqa: F401
+from pathwise.llm import chat, langid, mixing, ngram_join, packing, quality, secrets, sharding, topk, toxicity  # noqa: F401
 from pathwise.llm.registry import ORACLES, QUERIES  # noqa: F401
