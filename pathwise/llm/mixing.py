@@ -53,34 +53,54 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
 
 
 def sized_documents(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``doc_id, src_null, src, size, key, bucket``: what the mix needs of a document."""
+    """``doc`` (all columns of a row, so none can clash), ``doc_id`` and what the mix needs:
+    ``__null, __src, __size, __key, __bucket``."""
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return (docs.select("doc_id", F.col("source").isNull().cast("int").alias("src_null"),
-                        F.coalesce("source", F.lit("")).alias("src"), word_count(F.col("text")).alias("size"),
-                        key.alias("key"))
-            .withColumn("bucket", F.substring("key", 1, 3)))
+    return docs.select(
+        F.struct(*docs.columns).alias("doc"), "doc_id", F.col("source").isNull().cast("int").alias("__null"),
+        F.coalesce("source", F.lit("")).alias("__src"), word_count(F.col("text")).alias("__size"), key.alias("__key"),
+        F.substring(key, 1, 3).alias("__bucket"))
+
+
+def _cut(rows: DataFrame, sizes: DataFrame, weights, share: float, cap: int) -> DataFrame:
+    """Add ``__source_size, __target, __epochs`` and ``__part``, the words taken beyond whole epochs, to ``rows``."""
+    keys = ["__null", "__src"]
+    targets = source_targets(sizes.select(F.col("__null").alias("src_null"), F.col("__src").alias("src"),
+                                          F.col("__size").alias("size")), weights, share, cap)
+    targets = targets.toDF(*keys, "__source_size", "__target")
+    epochs = F.when(F.col("__source_size") > 0, F.floor(F.col("__target") / F.col("__source_size"))).otherwise(F.lit(0))
+    targets = (targets.withColumn("__epochs", epochs.cast("long"))
+               .withColumn("__budget", F.floor("__target").cast("long") - F.col("__epochs") * F.col("__source_size")))
+    ordered = exclusive_prefix(rows, keys, "__bucket", ["__key", "doc_id", "__size"], "__size", "__before")
+    return ordered.join(targets, keys).withColumn(
+        "__part", F.greatest(F.lit(0), F.least(F.col("__size"), F.col("__budget") - F.col("__before"))))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
-    """``doc_id, size, source_size, target, taken, copies`` for every document.
+    """``doc_id, size, source_size, target, taken`` for every document.
 
-    ``taken`` counts the words the mix takes of the document over all epochs, so a
-    source's sum is the whole part of its target; ``copies`` is the same in whole
-    documents (the one at the cut counts if at least half of it is taken).
+    ``taken`` counts the words the mix takes of the document over all epochs; a source's sum is the
+    whole part of its target.
     """
-    sizes = written(sized_documents(docs, seed), "mix-sizes")
-    ordered = exclusive_prefix(sizes, ["src_null", "src"], "bucket", ["key", "doc_id", "size"], "size", "before")
-    targets = source_targets(sizes, weights, share, cap)
-    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    targets = (targets.withColumn("epochs", epochs.cast("long"))
-               .withColumn("budget", F.floor("target").cast("long") - F.col("epochs") * F.col("source_size")))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("before")))
-    return (ordered.join(targets, ["src_null", "src"])
-            .withColumn("part", part)
-            .select("doc_id", "size", "source_size", "target",
-                    (F.col("epochs") * F.col("size") + F.col("part")).cast("long").alias("taken"),
-                    (F.col("epochs") + ((F.col("part") * 2 >= F.col("size")) & (F.col("size") > 0)).cast("long"))
-                    .alias("copies")))
+    sizes = written(sized_documents(docs, seed).drop("doc"), "mix-sizes")
+    return _cut(sizes, sizes, weights, share, cap).select(
+        "doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"),
+        F.col("__target").alias("target"),
+        (F.col("__epochs") * F.col("__size") + F.col("__part")).cast("long").alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
+    """The mix in whole documents, all columns: every document as often as it is taken.
+
+    The document at a source's cut counts if at least half of it is taken; one without words goes along
+    with its place in the order.
+    """
+    sized = sized_documents(docs, seed)
+    narrow = written(sized.select("__null", "__src", "__size"), "mix-sizes")
+    last = F.when(F.col("__size") > 0, F.col("__part") * 2 >= F.col("__size")).otherwise(F.col("__before") < F.col("__budget"))
+    return (_cut(sized, narrow, weights, share, cap)
+            .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), (F.col("__epochs") + last.cast("long")).cast("int"))))
+            .select("doc.*"))
 
 
 OP3_SQL = r"""
@@ -117,4 +137,4 @@ FROM ordered JOIN cut USING (src_null, src)
 @register("op3_mix_sources", OP3_SQL)
 def op3_mix_sources(spark, sf_dir: str) -> DataFrame:
     """Operator 3 over all documents."""
-    return mix(table(spark, sf_dir, "documents")).drop("copies")
+    return mix(table(spark, sf_dir, "documents"))

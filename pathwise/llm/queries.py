@@ -1,6 +1,9 @@
-"""All queries of the numbered operators: importing this module registers them."""
+"""All queries of the numbered operators and the pipeline: importing this module registers them."""
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pathwise.llm import chat, langid, mixing, ngram_join, packing, quality, secrets, sharding, topk, toxicity  # noqa: F401
-from pathwise.llm.registry import ORACLES, QUERIES  # noqa: F401
+from pathwise.llm.registry import ORACLES, QUERIES, register  # noqa: F401
+
+register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
