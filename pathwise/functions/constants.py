@@ -27,7 +27,6 @@ NUMERIC_FEATURES = [
 LEAKAGE_PATTERNS = ["target", "label", "future", "post", "final_score"]
 
 # --- fixed values: neighbour features ---------------------------------------
-KNN_FEATURES = ["quiz_score", "engagement_score", "consistency_score", "attempts"]
 RICH_FEATURES = [
     "quiz_score", "engagement_score", "consistency_score", "attempts",
     "previous_score", "time_spent_hours", "attendance", "assignment_score",

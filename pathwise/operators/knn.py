@@ -1,35 +1,26 @@
-"""Exact k-nearest-neighbour join without all pairs.
+"""Exact k-nearest-neighbour join in blocks.
 
 Feature space: numeric columns (NULL -> 0) plus one-hot categorical
 columns, all standardized with population std (zero std -> 1), as the
 learner-similarity model defines it.
 
-Exact search with cluster pruning (a one-level ball tree built by Spark):
-
-1. k-means partitions the points into ``C`` clusters; each cluster keeps its
-   centre and radius R_c (largest member distance to the centre).
-2. Every query scores all C centres in NumPy (Arrow batches; the centre
-   table is a fitted parameter of bounded size, broadcast once) and takes
-   its nearest clusters until they hold k + 1 points.  Exact distances to
-   those points give an upper bound u_q on the query's k-th distance.
-3. No point of cluster c is closer than max(d(q, centre_c) - R_c, distance
-   from q to the cluster's bounding box) (triangle inequality / box
-   geometry), so the query searches exactly the remaining clusters with
-   that bound <= u_q.  The final top-k is exact (ties by
-   neighbour key) and no query is paired with a cluster it cannot use.
-
-Pairs are produced by an equi-join on the cluster id (a shuffle on the
-cluster; AQE splits a skewed cluster partition).
+Points and queries are packed into blocks of bounded size where they lie.
+Every block of queries meets every block of points by an equi-join on point-block
+groups; a block pair is scored as one matrix product, the few pairs near a
+query's k-th distance are measured again term by term, and only each query's k best leave the
+task.  Results are exact (ties by neighbour key).  The work grows with
+queries x points: for all neighbours of a large table use the approximate join
+``candidates.lsh_neighbours``, and give this one a bounded query set.
 """
 
 from __future__ import annotations
 
-import math
 import os
 import uuid
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +31,7 @@ def feature_space(df: DataFrame, key: str, numeric: list[str], categorical: list
     """Standardized dense vectors ``(key, vec, grp)`` plus the dummy spec.
 
     Categories per column are fitted (a small dictionary collected to the
-    driver, like any fitted parameter); returns (frame, dims, lb_cat).
+    driver, like any fitted parameter); returns (frame, dims).
     """
     cats = {}
     if categorical:
@@ -68,194 +59,112 @@ def feature_space(df: DataFrame, key: str, numeric: list[str], categorical: list
     sd = [s if s != 0 else 1.0 for s in sd]
     vec = F.array(*[(F.col(f"`{d}`") - F.lit(mu[i])) / F.lit(sd[i]) for i, d in enumerate(dims)])
     out = raw.select(F.col(key), "grp", vec.alias("vec"))
-    # smallest possible contribution of one categorical mismatch: two dummies differ by 1
-    lb_cat = math.inf
-    for c in categorical:
-        inv = sorted(1.0 / (sd[dims.index(f"{c}={v}")] ** 2) for v in cats.get(c, []))
-        if len(inv) >= 2:
-            lb_cat = min(lb_cat, math.sqrt(inv[0] + inv[1]))
-    return out, dims, lb_cat
+    return out, dims
+
+
+METRICS = ("euclidean", "manhattan", "cosine")
+BLOCK_ROWS = 2048
+GROUP_BLOCKS = 8
+
+
+def _blocks(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """Pack ``(key, vec)`` into ``block, ids, mat`` rows of at most ``rows`` vectors, without a shuffle."""
 
+    def run(frames):
+        part, seq, ids, vecs = TaskContext.get().partitionId(), 0, [], []
 
-def _dist(metric: str):
+        def packed():
+            return pd.DataFrame({"block": [part * (1 << 32) + seq], "ids": [np.asarray(ids, dtype="<i8").tobytes()],
+                                 "mat": [np.stack(vecs).astype("<f8").tobytes()]})
+
+        for frame in frames:
+            for i, v in zip(frame["id"], frame["vec"]):
+                ids.append(i)
+                vecs.append(np.asarray(v, dtype=float))
+                if len(ids) == rows:
+                    yield packed()
+                    seq, ids, vecs = seq + 1, [], []
+        if ids:
+            yield packed()
+
+    src = df.filter(F.col(key).isNotNull() & F.col("vec").isNotNull())
+    return src.select(F.col(key).cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).mapInPandas(
+        run, "block long, ids binary, mat binary")
+
+
+def _measure(metric: str, q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Distances of matching rows."""
     if metric == "manhattan":
-        return lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, v: s + v)
-    return lambda a, b: F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)),
-                                           F.lit(0.0), lambda s, v: s + v))
+        return np.abs(q - p).sum(axis=-1)
+    if metric == "cosine":
+        return 1.0 - (q * p).sum(axis=-1)
+    return np.sqrt(((q - p) ** 2).sum(axis=-1))
 
 
-def _np_dist(metric: str):
+def _best_pairs(metric: str, qk, q, pk, p, k: int, exclude_self: bool):
+    """(query row, point row, distance) of each query's ``k`` nearest, ties by point key."""
+    if metric == "cosine":
+        q, p = (m / np.where((s := np.linalg.norm(m, axis=1, keepdims=True)) > 0, s, 1.0) for m in (q, p))
+    rough = np.empty((len(q), len(p)))
     if metric == "manhattan":
-        return lambda q, c: np.abs(q[:, None, :] - c[None, :, :]).sum(axis=2)
-    return lambda q, c: np.sqrt(np.maximum(
-        (q * q).sum(1)[:, None] + (c * c).sum(1)[None, :] - 2.0 * q @ c.T, 0.0))
+        for a in range(0, len(q), 32):
+            rough[a:a + 32] = np.abs(q[a:a + 32, None, :] - p[None, :, :]).sum(axis=2)
+    elif metric == "cosine":
+        rough = 1.0 - q @ p.T
+    else:
+        rough = (q * q).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2.0 * (q @ p.T)
+    if exclude_self:
+        rough[qk[:, None] == pk[None, :]] = np.inf
+    # everything within rounding error of the k-th value is measured again exactly
+    limit = np.partition(rough, k - 1, axis=1)[:, k - 1] if k < len(p) else np.full(len(q), np.inf)
+    slack = 1e-9 * (1.0 + np.abs(np.where(np.isfinite(limit), limit, 0.0)))
+    at, to = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
+    d = _measure(metric, q[at], p[to])
+    order = np.lexsort((pk[to], d, at))
+    at, to, d = at[order], to[order], d[order]
+    first = np.searchsorted(at, at, side="left")
+    keep = np.arange(len(at)) - first < k
+    return at[keep], to[keep], d[keep]
 
 
 def knn(points: DataFrame, k: int, key: str = "id", metric: str = "euclidean", exclude_self: bool = True,
-        queries: DataFrame | None = None, clusters: int | None = None, seed: int = 42,
-        log: list | None = None, probe: int = 2) -> DataFrame:
+        queries: DataFrame | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact k nearest neighbours of every query among ``points``.
 
-    ``points``/``queries``: (key, vec array<double>).  ``metric``: euclidean
-    or manhattan (both metrics, so the triangle-inequality bound holds).
-    Returns (key, neighbour, distance, rnk).  ``clusters`` defaults to about
-    n/512 (at most 4096): the centre table stays small enough to broadcast.
-    Phase 1 probes the ``probe`` nearest clusters (at least enough for k+1
-    points) to get a tight first bound.
+    ``points``/``queries``: (key, vec array<double>).  Returns (key, neighbour, distance, rnk); fewer
+    than ``k`` points give fewer rows.  ``block_rows`` bounds a task's memory (block_rows^2 distances).
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    if metric not in METRICS:
+        raise ValueError(f"metric {metric!r} is not one of {METRICS}")
     spark = points.sparkSession
-    run = scratch_path(spark, f"knn/{uuid.uuid4().hex}")
-    dist = _dist(metric)
-    npd = _np_dist(metric)
-    pts = points.select(F.col(key).alias("__p"), F.col("vec").cast("array<double>").alias("__pv"))
-    n = pts.count()
-    if n == 0:
-        return spark.createDataFrame([], f"{key} long, neighbour long, distance double, rnk int")
-    kk = min(k, n - 1) if exclude_self else min(k, n)
-    c_n = clusters or max(1, min(4096, n // 512))
-    import time as _t
-    t0 = _t.time()
-    # the partition only steers pruning (results are exact either way), so it
-    # is fitted on a bounded hash sample of the points
-    frac = min(1.0, 50_000 / n)
-    sample = pts.filter(F.pmod(F.xxhash64("__p"), F.lit(1_000_000)) < int(frac * 1_000_000)) if frac < 1 else pts
-    km = KMeans(k=c_n, seed=seed, maxIter=5, initMode="random", featuresCol="__f", predictionCol="__c").fit(
-        sample.select(array_to_vector("__pv").alias("__f")))
-    centres = np.array([np.asarray(c, dtype=float) for c in km.clusterCenters()])
-    c_n = len(centres)
-    cen_df = spark.createDataFrame([(i, centres[i].tolist()) for i in range(c_n)], "__c int, __cv array<double>")
-    assigned = km.transform(pts.withColumn("__f", array_to_vector("__pv"))).select("__p", "__pv", F.col("__c").cast("int"))
-    member = assigned.join(F.broadcast(cen_df), "__c").select("__p", "__pv", "__c", dist(F.col("__pv"), F.col("__cv")).alias("__dc"))
-    ppath = os.path.join(run, "points")
-    member.write.mode("overwrite").parquet(ppath)
-    member = spark.read.parquet(ppath)
-    dim = centres.shape[1]
-    info = member.groupBy("__c").agg(
-        F.count(F.lit(1)).alias("size"), F.max("__dc").alias("radius"),
-        *[F.min(F.col("__pv")[i]).alias(f"lo{i}") for i in range(dim)],
-        *[F.max(F.col("__pv")[i]).alias(f"hi{i}") for i in range(dim)]).collect()
-    size = np.zeros(c_n, dtype=np.int64)
-    radius = np.zeros(c_n)
-    lo = np.full((c_n, dim), np.inf)
-    hi = np.full((c_n, dim), -np.inf)
-    for r in info:
-        c = r["__c"]
-        size[c], radius[c] = r["size"], r["radius"]
-        lo[c] = [r[f"lo{i}"] for i in range(dim)]
-        hi[c] = [r[f"hi{i}"] for i in range(dim)]
-    bc = spark.sparkContext.broadcast((centres, size, radius, lo, hi))
-    t1 = _t.time()
-    need = kk + (1 if exclude_self else 0)
-
-    src = queries if queries is not None else points
-    q = src.select(F.col(key).alias("__q"), F.col("vec").cast("array<double>").alias("__qv"))
-
-    def phase1(batches):
-        cen, sz, _rad, _lo, _hi = bc.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            qv = np.stack(pdf["__qv"].to_numpy())
-            d = npd(qv, cen)
-            order = np.argsort(d, axis=1, kind="stable")
-            cum = np.cumsum(sz[order], axis=1)
-            take = ((cum - sz[order]) < need) | (np.arange(order.shape[1])[None, :] < probe)
-            qs, cs = [], []
-            for i, qk in enumerate(pdf["__q"].to_numpy()):
-                sel = order[i][take[i]]
-                qs.extend([qk] * len(sel))
-                cs.extend(sel.tolist())
-            yield pd.DataFrame({"__q": qs, "__c": np.asarray(cs, dtype=np.int32)})
-
-    def phase2(batches):
-        cen, sz, rad, blo, bhi = bc.value
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            qv = np.stack(pdf["__qv"].to_numpy())
-            lb = npd(qv, cen) - rad[None, :]                      # ball bound
-            box = np.empty_like(lb)                               # bounding-box bound
-            for s0 in range(0, len(qv), 128):
-                g = np.maximum(np.maximum(blo[None, :, :] - qv[s0:s0 + 128, None, :],
-                                          qv[s0:s0 + 128, None, :] - bhi[None, :, :]), 0.0)
-                box[s0:s0 + 128] = g.sum(axis=2) if metric == "manhattan" else np.sqrt((g * g).sum(axis=2))
-            lb = np.maximum(lb, box)
-            lb[:, sz == 0] = np.inf
-            u = pdf["__u"].to_numpy(dtype=float)
-            u = np.where(np.isnan(u), np.inf, u)
-            ok = lb <= u[:, None]
-            qs, cs = [], []
-            for i, qk in enumerate(pdf["__q"].to_numpy()):
-                sel = np.nonzero(ok[i])[0]
-                qs.extend([qk] * len(sel))
-                cs.extend(sel.tolist())
-            yield pd.DataFrame({"__q": qs, "__c": np.asarray(cs, dtype=np.int32)})
-
-
-    def block_topk(qc):
-        """Exact top-k per query over the (query, cluster) list, scored in blocks.
-
-        Blocks are (cluster, point chunk, query chunk) with at most ``block``
-        points and about ``block`` queries each, so no task ever holds a whole
-        hot cluster or all of its queries; each block emits only its top-k.
-        """
-        nq = qc.groupBy("__c").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("__nqk"))
-        qn = (qc.join(F.broadcast(nq), "__c")
-              .withColumn("__qk", F.pmod(F.xxhash64("__q"), F.col("__nqk")).cast("int"))
-              .join(F.broadcast(pchunks), "__c")
-              .select("__q", "__c", "__qk", F.explode(F.sequence(F.lit(0), F.col("__npk") - 1)).alias("__pk"))
-              .join(q, "__q"))
-        pts_b = (member.join(F.broadcast(pchunks), "__c").join(F.broadcast(nq), "__c")
-                 .select("__p", "__pv", "__c", F.pmod(F.xxhash64("__p"), F.col("__npk")).cast("int").alias("__pk"),
-                         F.explode(F.sequence(F.lit(0), F.col("__nqk") - 1)).alias("__qk")))
-
-        def score(qs: pd.DataFrame, ps: pd.DataFrame) -> pd.DataFrame:
-            if qs.empty or ps.empty:
-                return pd.DataFrame({"__q": [], "__p": [], "distance": []})
-            qv = np.stack(qs["__qv"].to_numpy())
-            pv = np.stack(ps["__pv"].to_numpy())
-            diff = qv[:, None, :] - pv[None, :, :]
-            d = np.abs(diff).sum(axis=2) if metric == "manhattan" else np.sqrt((diff * diff).sum(axis=2))
-            pk = ps["__p"].to_numpy()
-            qk = qs["__q"].to_numpy()
-            if exclude_self:
-                d = np.where(qk[:, None] == pk[None, :], np.inf, d)
-            out_q, out_p, out_d = [], [], []
-            for i in range(len(qk)):
-                order = np.lexsort((pk, d[i]))[:kk]
-                order = order[np.isfinite(d[i][order])]
-                out_q.append(np.full(len(order), qk[i]))
-                out_p.append(pk[order])
-                out_d.append(d[i][order])
-            return pd.DataFrame({"__q": np.concatenate(out_q), "__p": np.concatenate(out_p),
-                                 "distance": np.concatenate(out_d)})
-
-        return (qn.groupBy("__c", "__pk", "__qk").cogroup(pts_b.groupBy("__c", "__pk", "__qk"))
-                .applyInPandas(score, "__q long, __p long, distance double"))
-
-    block = 512
-    pchunks = spark.createDataFrame([(int(c), int(max(1, math.ceil(size[c] / block)))) for c in range(c_n)],
-                                    "__c int, __npk int")
+    run_dir = scratch_path(spark, f"knn/{uuid.uuid4().hex}")
+
+    def written(df, name):
+        path = os.path.join(run_dir, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    p_blocks = written(_blocks(points, key, block_rows), "points")
+    q_blocks = p_blocks if queries is None else written(_blocks(queries, key, block_rows), "queries")
+    groups = max(1, -(-p_blocks.count() // GROUP_BLOCKS))
+    right = p_blocks.withColumn("grp", F.pmod(F.xxhash64("block"), F.lit(groups)))
+    left = (q_blocks.toDF("q_block", "q_ids", "q_mat")
+            .withColumn("grp", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long")))))
+
+    def score(frames):
+        for frame in frames:
+            for r in frame.itertuples(index=False):
+                qk, pk = np.frombuffer(r.q_ids, dtype="<i8"), np.frombuffer(r.ids, dtype="<i8")
+                q = np.frombuffer(r.q_mat, dtype="<f8").reshape(len(qk), -1)
+                p = np.frombuffer(r.mat, dtype="<f8").reshape(len(pk), -1)
+                at, to, d = _best_pairs(metric, qk, q, pk, p, k, exclude_self)
+                yield pd.DataFrame({"__q": qk[at], "__p": pk[to], "distance": d})
+
+    pairs = left.join(right, "grp").repartition("q_block", "block").select("q_ids", "q_mat", "ids", "mat")
+    found = pairs.mapInPandas(score, "__q long, __p long, distance double")
     w = Window.partitionBy("__q").orderBy("distance", "__p")
-    qc1 = q.mapInPandas(phase1, "__q long, __c int")
-    top1 = block_topk(qc1).withColumn("rnk", F.row_number().over(w)).filter(F.col("rnk") <= kk)
-    p1 = os.path.join(run, "phase1")
-    top1.write.mode("overwrite").parquet(p1)
-    top1 = spark.read.parquet(p1)
-    t2 = _t.time()
-    u = top1.groupBy("__q").agg(F.max("distance").alias("__u"), F.count(F.lit(1)).alias("__n"))
-    u = u.select("__q", F.when(F.col("__n") >= kk, F.col("__u")).alias("__u"))
-    qu = q.join(u, "__q", "left")
-    qc2 = qu.mapInPandas(phase2, "__q long, __c int").join(qc1, ["__q", "__c"], "left_anti")
-    cand = top1.select("__q", "__p", "distance").unionByName(block_topk(qc2))
-    res = cand.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= kk)
-    if log is not None:
-        log.append({"clusters": c_n, "phase1_pairs": qc1.count(), "phase2_pairs": qc2.count(),
-                    "fit_s": round(t1 - t0, 1), "phase1_s": round(t2 - t1, 1)})
-    return res.select(F.col("__q").alias(key), F.col("__p").alias("neighbour"), "distance", "rnk")
+    return (found.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= k)
+            .select(F.col("__q").alias(key), F.col("__p").alias("neighbour"), "distance", "rnk"))
 
 
 def loo_statistics(df: DataFrame, cols: list[str], key: str) -> DataFrame:

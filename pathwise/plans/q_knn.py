@@ -18,7 +18,7 @@ LT = ("learners", "topics")
 
 def neighbour_pairs(spark, sf, k: int = NEIGHBOURS, metric: str = "euclidean"):
     f = C.features(spark, sf)
-    space, _dims, _lb = KN.feature_space(f, "student_id", K.RICH_FEATURES, K.CAT_FEATURES)
+    space, _dims = KN.feature_space(f, "student_id", K.RICH_FEATURES, K.CAT_FEATURES)
     return KN.knn(space, k, "student_id", metric=metric)
 
 
