@@ -71,15 +71,3 @@ def dot(a, b) -> Column:
 def l2(a) -> Column:
     return F.sqrt(F.aggregate(F.transform(col(a), lambda x: x * x),
                               F.lit(0.0).cast("double"), lambda acc, v: acc + v))
-
-
-def checked_broadcast(df, max_rows: int = 100_000):
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
-
-    Counting is one cheap job over a dictionary-sized input; beyond the bound
-    the plain DataFrame is returned and the join shuffles (AQE may still
-    switch to a broadcast from runtime statistics).
-    """
-    from pyspark.sql import functions as _F
-    n = df.limit(max_rows + 1).count()
-    return _F.broadcast(df) if n <= max_rows else df

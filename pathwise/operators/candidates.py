@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwise.functions.expressions import checked_broadcast, col, dot, l2
+from pathwise.functions.expressions import col, dot, l2
 
 
 # ------------------------------------------------------------ dictionaries
@@ -104,16 +104,16 @@ def normalize(df: DataFrame, vec: str, out: str = "unit") -> DataFrame:
 
 
 def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, qkey: str, ikey: str,
-                 qvec: str = "vec", ivec: str = "vec", max_broadcast: int = 100_000) -> DataFrame:
+                 qvec: str = "vec", ivec: str = "vec") -> DataFrame:
     """Exact cosine top-k per query (inner product of unit vectors).
 
-    The query side is broadcast behind a size check; each item row scores
-    the queries in place and ``row_number`` over the query keeps k
-    (Spark's WindowGroupLimit prunes before the shuffle's sort).
+    Every query meets every item; which side travels is Spark's choice by their sizes.
+    ``row_number`` over the query keeps k (Spark's WindowGroupLimit prunes
+    before the shuffle's sort).
     """
     q = normalize(queries.select(F.col(qkey).alias("__q"), F.col(qvec).cast("array<double>").alias("__qv")), "__qv", "__qu")
     it = normalize(items.select(F.col(ikey).alias("__i"), F.col(ivec).cast("array<double>").alias("__iv")), "__iv", "__iu")
-    pairs = it.join(checked_broadcast(q.select("__q", "__qu"), max_broadcast))
+    pairs = it.crossJoin(q.select("__q", "__qu"))
     scored = pairs.select("__q", "__i", dot("__qu", "__iu").alias("similarity"))
     w = Window.partitionBy("__q").orderBy(F.col("similarity").desc(), F.col("__i"))
     return (scored.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= k)
@@ -122,16 +122,17 @@ def cosine_top_k(queries: DataFrame, items: DataFrame, k: int, qkey: str, ikey:
 
 def user_item_scores(users: DataFrame, items: DataFrame, ukey: str, ikey: str,
                      uvec: str = "vec", ivec: str = "vec", popularity: str = "popularity",
-                     max_broadcast: int = 100_000) -> DataFrame:
-    """dot(user, item) + 0.05 * popularity, ranked per user (all items)."""
+                     k: int | None = None) -> DataFrame:
+    """dot(user, item) + 0.05 * popularity, ranked per user: the ``k`` best, or all items."""
     u = users.select(F.col(ukey).alias("__u"), F.col(uvec).cast("array<double>").alias("__uv"))
     it = items.select(F.col(ikey).alias("__i"), F.col(ivec).cast("array<double>").alias("__iv"),
                       F.col(popularity).alias("__pop"))
-    s = it.join(checked_broadcast(u, max_broadcast)).select(
+    s = it.crossJoin(u).select(
         "__u", "__i", (dot("__uv", "__iv") + F.lit(0.05) * F.col("__pop")).alias("score"))
     w = Window.partitionBy("__u").orderBy(F.col("score").desc(), F.col("__i"))
-    return s.select(F.col("__u").alias(ukey), F.col("__i").alias(ikey), "score",
-                    F.row_number().over(w).cast("int").alias("rnk"))
+    s = s.select(F.col("__u").alias(ukey), F.col("__i").alias(ikey), "score",
+                 F.row_number().over(w).cast("int").alias("rnk"))
+    return s if k is None else s.filter(F.col("rnk") <= k)
 
 
 def lsh_neighbours(items: DataFrame, key: str, vec: str, threshold: float,
@@ -247,18 +248,6 @@ def relevance_flag(recs: DataFrame, relevant: DataFrame, key: str, item: str = "
     return j.withColumn("hit", F.coalesce(F.col("__hit"), F.lit(0))).drop("__k", "__it", "__hit")
 
 
-def as_of_snapshot(events: DataFrame, labels: DataFrame, key: str, ts: str, label_ts: str,
-                   aggs: list[Column]) -> DataFrame:
-    """Point-in-time features - aggregate each key's events with ts <= label time.
-
-    Range-condition join on the key (equi part shuffles by key) followed by
-    a grouped aggregate per (key, label time).
-    """
-    e = events.withColumnRenamed(key, "__ek")
-    j = labels.join(e, (labels[key] == e["__ek"]) & (e[ts] <= labels[label_ts]), "left")
-    return j.groupBy(key, label_ts).agg(*aggs)
-
-
 def pair_shared_columns(a: DataFrame, b: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Unpivot both datasets and pair them on their shared column names."""
     shared = [c for c in a.columns if c in b.columns] if cols is None else cols

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (IDF, PCA, CountVectorizer, NGram, RegexTokenizer, StopWordsRemover,
+from pyspark.ml.feature import (IDF, PCA, HashingTF, NGram, RegexTokenizer, StopWordsRemover,
                                 VectorAssembler)
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -80,14 +80,15 @@ def stacking(df: DataFrame, key: str, label: str, cols: list[str], estimators: d
     """M4: ridge meta-model over out-of-fold predictions plus the raw features
     (passthrough); the ridge strength is chosen by cross-validation.
 
-    Spark's ``regParam`` is the ridge penalty on the mean loss (sklearn's
-    alpha on the summed loss): the grid is the same, the scale differs.
+    ``alphas`` penalise the summed squared loss of unscaled features; Spark's
+    ``regParam`` penalises its mean, so the grid is divided by the row count.
     Returns (base models fitted on all rows, meta model, oof frame).
     """
     oof = oof_predictions(df, key, label, estimators, folds)
     meta_cols = [f"oof_{n}" for n in estimators] + cols
-    lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0)
-    grid = ParamGridBuilder().addGrid(lr.regParam, list(alphas)).build()
+    lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, standardization=False)
+    n = max(1, df.count())
+    grid = ParamGridBuilder().addGrid(lr.regParam, [a / n for a in alphas]).build()
     cv = CrossValidator(estimator=Pipeline(stages=[assembler(meta_cols), lr]), estimatorParamMaps=grid,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
                         numFolds=3, seed=42, parallelism=parallelism)
@@ -149,10 +150,12 @@ def learning_curve(df: DataFrame, key: str, label: str, pipeline: Pipeline, size
     return out.withColumn("gap", F.col("valid_rmse") - F.col("train_rmse"))
 
 
-def permute_column(df: DataFrame, key: str, col: str, repeat: int, buckets: int = 64) -> DataFrame:
-    """Permute ``col`` by a cyclic shift inside md5 buckets (no global window)."""
+def permute_column(df: DataFrame, key: str, col: str, repeat: int) -> DataFrame:
+    """Permute ``col``: rows shift cyclically within hash groups of about 4,096 rows, so no task
+    holds more than a group whatever the table's size."""
+    groups = max(1, df.count() // 4096)
     h = F.md5(F.concat(F.lit(f"perm{repeat}:"), F.col(key).cast("string")))
-    d = df.withColumn("__b", F.conv(F.substring(h, 1, 6), 16, 10).cast("bigint") % buckets).withColumn("__o", h)
+    d = df.withColumn("__b", F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") % groups).withColumn("__o", h)
     w = Window.partitionBy("__b").orderBy("__o")
     wa = Window.partitionBy("__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     shifted = F.coalesce(F.lead(col).over(w), F.first(col).over(wa))
@@ -210,37 +213,43 @@ def implicit_factors(interactions: DataFrame, user: str, item: str, weight: str,
                      iters: int = 10, reg: float = 0.02, seed: int = 42):
     """Implicit-feedback matrix factorisation (ALS); weights floored at 0.05.
 
-    Item ids are indexed through a dense dictionary (distinct items).
+    User and item ids of any type are numbered densely through dictionaries of distinct values.
     Returns (user factors, item factors) with ``vector`` arrays.
     """
-    items = interactions.select(item).distinct()
-    idx = items.withColumn("__iid", F.dense_rank().over(Window.orderBy(item)).cast("int") - 1)
-    d = (interactions.join(F.broadcast(idx), item)
-         .groupBy(F.col(user).cast("int").alias("__uid"), "__iid")
+    def dense(col, name):
+        """A dense id per distinct value: running number within hash buckets plus the buckets' offsets."""
+        d = interactions.select(F.col(col).alias(name)).filter(F.col(col).isNotNull()).distinct()
+        d = d.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(256)).cast("int"))
+        before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select(
+            "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))  # 256 rows
+        number = F.row_number().over(Window.partitionBy("__b").orderBy(name)) - 1
+        return d.withColumn("__k", number).join(offsets, "__b").select(name, (F.col("__k") + F.col("__off")).cast("int").alias(f"__{name}id"))
+
+    users, idx = dense(user, "u"), dense(item, "i")
+    d = (interactions.join(idx, F.col(item) == F.col("i")).join(users, F.col(user) == F.col("u"))
+         .groupBy(F.col("__uid"), F.col("__iid"))
          .agg(F.sum(F.greatest(F.col(weight), F.lit(0.05))).alias("__w")))
     als = ALS(userCol="__uid", itemCol="__iid", ratingCol="__w", implicitPrefs=True, rank=rank,
               maxIter=iters, regParam=reg, seed=seed, coldStartStrategy="drop", nonnegative=False)
     m = als.fit(d)
-    uf = m.userFactors.select(F.col("id").alias(user), F.col("features").alias("vector"))
-    itf = m.itemFactors.join(idx, F.col("id") == F.col("__iid")).select(item, F.col("features").alias("vector"))
+    uf = m.userFactors.join(users, F.col("id") == F.col("__uid")).select(F.col("u").alias(user), F.col("features").alias("vector"))
+    itf = m.itemFactors.join(idx, F.col("id") == F.col("__iid")).select(F.col("i").alias(item), F.col("features").alias("vector"))
     return uf, itf
 
 
-def content_vectors(docs: DataFrame, key: str, text: str, k: int = 32, vocab: int = 2048,
-                    min_df: float = 1.0) -> DataFrame:
+def content_vectors(docs: DataFrame, key: str, text: str, k: int = 32, width: int = 1024) -> DataFrame:
     """TF-IDF over 1- and 2-grams (English stop words removed) reduced to <= k
-    dims with PCA.  The vocabulary is capped at ``vocab`` terms by document
-    frequency (fitted once, then applied to every document)."""
+    dims with PCA.  Every term counts: terms are hashed into ``width`` features, so no vocabulary is cut or
+    held on the driver (PCA keeps a ``width`` x ``width`` matrix there)."""
     tok = RegexTokenizer(inputCol=text, outputCol="__tok", pattern="\\W+", minTokenLength=1)
     sw = StopWordsRemover(inputCol="__tok", outputCol="__uni")
     ng = NGram(n=2, inputCol="__uni", outputCol="__bi")
     pre = Pipeline(stages=[tok, sw, ng]).fit(docs)
     t = pre.transform(docs.select(key, text)).withColumn("__terms", F.concat("__uni", "__bi"))
-    cv = CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=vocab, minDF=min_df)
-    idf = IDF(inputCol="__tf", outputCol="__tfidf")
-    model = Pipeline(stages=[cv, idf]).fit(t)
+    model = Pipeline(stages=[HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=width),
+                             IDF(inputCol="__tf", outputCol="__tfidf")]).fit(t)
     v = model.transform(t)
-    kk = max(1, min(k, len(model.stages[0].vocabulary)))
-    pca = PCA(k=kk, inputCol="__tfidf", outputCol="__pca").fit(v)
+    pca = PCA(k=max(1, min(k, width)), inputCol="__tfidf", outputCol="__pca").fit(v)
     from pyspark.ml.functions import vector_to_array
     return pca.transform(v).select(key, vector_to_array("__pca").alias("vector"))

@@ -16,9 +16,12 @@ from pathwise.functions import constants as K
 from pathwise.functions.expressions import clip, col, contains_any, dot, first_token
 
 
+def numbered(df: DataFrame, key: str, order: list[Column], out: str) -> DataFrame:
+    return df.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("int"))
+
+
 def top_k(df: DataFrame, key: str, order: list[Column], k: int, out: str = "final_rnk") -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(w).cast("int")).filter(F.col(out) <= k)
+    return numbered(df, key, order, out).filter(F.col(out) <= k)
 
 
 # ------------------------------------------------------------- E1 / E2

@@ -244,7 +244,7 @@ def d20(spark, sf):
 @register("d21_negative_sampling", """WITH pos AS (
   SELECT DISTINCT user_id, topic_idx FROM feedback_events WHERE event_type = 'recommendation_clicked'),
 dr AS (SELECT user_id, topic_idx, t AS try,
-         CAST(('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR) || ':' || CAST(topic_idx AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 8))::BIGINT % 48 AS INT) AS neg
+         CAST(('0x' || substr(md5('42:' || CAST(user_id AS VARCHAR) || ':' || CAST(topic_idx AS VARCHAR) || ':' || CAST(t AS VARCHAR)), 1, 8))::BIGINT % (SELECT COUNT(*) FROM (SELECT DISTINCT p_type, p_brand FROM part) pt) AS INT) AS neg
        FROM pos, range(1, 11) r(t)),
 ok AS (SELECT * FROM dr WHERE NOT EXISTS (SELECT 1 FROM pos p WHERE p.user_id = dr.user_id AND p.topic_idx = dr.neg))
 SELECT user_id, topic_idx AS item_idx, neg, CAST(try AS INT) AS try FROM ok
@@ -252,7 +252,7 @@ QUALIFY ROW_NUMBER() OVER (PARTITION BY user_id, topic_idx ORDER BY try) = 1""",
 def d21(spark, sf):
     pos = (C.events(spark, sf).filter(F.col("event_type") == "recommendation_clicked")
            .select("user_id", F.col("topic_idx").alias("item_idx")).distinct())
-    return D.negative_samples(pos, 48, "user_id", "item_idx")
+    return D.negative_samples(pos, C.tables.n_topics(spark, sf), "user_id", "item_idx")
 
 
 @register("d11_retrieval_ladder")

@@ -114,7 +114,7 @@ def m12(spark, sf):
 @register("m13_content_vectors")
 def m13(spark, sf):
     docs = tables.read_table(spark, sf, "documents").select("doc_id", "text")
-    return M.content_vectors(docs, "doc_id", "text", k=16, vocab=1024)
+    return M.content_vectors(docs, "doc_id", "text", k=16)
 
 
 @register("m14_batch_score")

@@ -109,7 +109,7 @@ def e03(spark, sf):
 {RERANK_TAIL}""", LT)
 def e04(spark, sf):
     h = _hybrid(spark, sf)
-    ranked = R.top_k(h, "student_id", [F.col("hybrid_score").desc(), F.col("merged_rnk")], 10_000, "pos")
+    ranked = R.numbered(h, "student_id", [F.col("hybrid_score").desc(), F.col("merged_rnk")], "pos")
     anchors = _content(spark, sf).filter(F.col("rnk") == 1).select("student_id", "topic")
     return R.diversity_rerank(ranked.select("student_id", "topic", "pos"), "student_id", 5, "pos", anchors)
 

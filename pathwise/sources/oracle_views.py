@@ -53,7 +53,6 @@ SELECT p_type AS subject, CONCAT(p_type, ' ', p_brand) AS topic, rnk,
 FROM (SELECT p_type, p_brand,
              CAST(ROW_NUMBER() OVER (PARTITION BY p_type ORDER BY p_brand) AS INT) AS rnk
       FROM (SELECT DISTINCT p_type, p_brand FROM part) d) x
-WHERE rnk <= 8
 """
 
 FEEDBACK_EVENTS_SQL = """
@@ -61,7 +60,7 @@ SELECT event_id, ts AS timestamp_utc, user_id,
   CASE event_type WHEN 'view' THEN 'recommendation_shown' WHEN 'click' THEN 'recommendation_clicked'
                   WHEN 'signup' THEN 'lesson_started' WHEN 'purchase' THEN 'lesson_completed'
                   ELSE event_type END AS event_type,
-  CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % 48 AS topic_idx,
+  CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) % (SELECT COUNT(*) FROM (SELECT DISTINCT p_type, p_brand FROM part) pt) AS topic_idx,
   CONCAT(CAST(user_id AS VARCHAR(20)), ':', CAST(CAST(ts AS DATE) AS VARCHAR(10))) AS session_id,
   value
 FROM events

@@ -26,8 +26,6 @@ EVENT_TYPE_MAP = {
     "signup": "lesson_started",
     "purchase": "lesson_completed",
 }
-N_TOPICS_FIXTURE = 48     # 6 part types x first 8 brands
-BRANDS_PER_TYPE = 8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,29 +100,33 @@ def learners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic library ``(subject, topic, rnk, topic_idx)``: first 8 brands per type.
+    """Topic library ``(subject, topic, rnk, topic_idx)``: every type and brand of ``part``.
 
-    The library is a dictionary (tens of rows) derived from ``part``; the
-    global ``topic_idx`` window runs over that dictionary only.
+    The global ``topic_idx`` window runs over the distinct pairs only.
     """
     part = read_table(spark, sf_dir, "part").select("p_type", "p_brand").distinct()
     ranked = part.withColumn(
         "rnk", F.row_number().over(Window.partitionBy("p_type").orderBy("p_brand")).cast("int"))
-    kept = ranked.filter(F.col("rnk") <= BRANDS_PER_TYPE)
-    return kept.select(
+    return ranked.select(
         F.col("p_type").alias("subject"),
         F.concat(F.col("p_type"), F.lit(" "), F.col("p_brand")).alias("topic"),
         F.col("rnk"),
         (F.row_number().over(Window.orderBy("p_type", "rnk")) - 1).cast("int").alias("topic_idx"))
 
 
+def n_topics(spark: SparkSession, sf_dir: str) -> int:
+    """Size of the topic library."""
+    return read_table(spark, sf_dir, "part").select("p_type", "p_brand").distinct().count()
+
+
 def feedback_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Driver ``events`` shaped as feedback events (one row per event)."""
-    return shape_feedback(read_table(spark, sf_dir, "events"))
+    return shape_feedback(read_table(spark, sf_dir, "events"), n_topics(spark, sf_dir))
 
 
-def shape_feedback(ev: DataFrame) -> DataFrame:
-    """Projection from the driver's event rows to feedback events (batch or stream)."""
+def shape_feedback(ev: DataFrame, topics_: int) -> DataFrame:
+    """Projection from the driver's event rows to feedback events (batch or stream)
+    over a library of ``topics_`` topics."""
     et = F.col("event_type")
     mapped = None
     for src, dst in EVENT_TYPE_MAP.items():
@@ -135,7 +137,7 @@ def shape_feedback(ev: DataFrame) -> DataFrame:
         F.col("ts").alias("timestamp_utc"),
         F.col("user_id"),
         mapped.alias("event_type"),
-        (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % N_TOPICS_FIXTURE).alias("topic_idx"),
+        (F.regexp_extract("props", "([0-9]+)", 1).cast("int") % max(topics_, 1)).alias("topic_idx"),
         F.concat(F.col("user_id").cast("string"), F.lit(":"),
                  F.col("ts").cast("date").cast("string")).alias("session_id"),
         F.col("value"))

@@ -1,10 +1,10 @@
 """Structured Streaming versions of the feedback path.
 
 Sources are file streams over the event log; sinks are parquet tables in
-the shared checkpoint folder written through ``foreachBatch`` (complete
-aggregates overwrite, logs append after an anti-join on the key so a
-replayed micro-batch never duplicates a row).  Every run uses its own
-checkpoint location; restarting on the same location resumes (G12).
+the shared checkpoint folder.  Every micro-batch is written to a folder of its own
+(``batch_id=<n>``) with overwrite, so a replayed batch replaces itself instead of adding
+rows, and a table is never rewritten: the current state is each key's latest batch.
+Every run uses its own checkpoint location; restarting on the same location resumes (G12).
 """
 
 from __future__ import annotations
@@ -36,75 +36,66 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(conf).exists(p)
 
 
-def run_complete(spark: SparkSession, agg: DataFrame, run_dir: str) -> DataFrame:
-    """Run a streaming aggregate to completion (availableNow) in complete mode;
-    each micro-batch overwrites the result table.  Returns the table."""
-    out = os.path.join(run_dir, "table")
+def write_batch(batch: DataFrame, out: str, epoch: int, partition_col: str | None = None) -> None:
+    """Write a micro-batch to its own folder; writing the same batch again replaces it."""
+    w = batch.write.mode("overwrite")
+    if partition_col is not None:
+        w = w.partitionBy(partition_col)
+    w.parquet(os.path.join(out, f"batch_id={epoch}"))
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+def append_new(batch: DataFrame, out: str, epoch: int, key: str | None = None, partition_col: str | None = None) -> None:
+    """Write the batch's rows whose ``key`` no earlier batch of the log holds.
+
+    With ``partition_col`` (e.g. the event date, which is part of the idempotency key's material) only
+    the log's partitions within the batch's range of values are probed.
+    """
+    spark = batch.sparkSession
+    if key is None or not _exists(spark, out):
+        write_batch(batch if key is None else batch.dropDuplicates([key]), out, epoch, partition_col)
+        return
+    batch.persist()
+    log = spark.read.parquet(out).filter(F.col("batch_id") < epoch)
+    on = [key]
+    if partition_col is not None:
+        lo, hi = batch.agg(F.min(partition_col), F.max(partition_col)).first()
+        log = log.filter(F.col(partition_col).between(F.lit(lo), F.lit(hi)))
+        on = [partition_col, key]
+    write_batch(batch.dropDuplicates([key]).join(log.select(*on), on, "left_anti").select(batch.columns), out, epoch, partition_col)
+    batch.unpersist()
+
+
+def _finish(writer, run_dir: str) -> None:
+    (writer.option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
+     .trigger(availableNow=True).start().awaitTermination())
 
 
 def run_append_log(spark: SparkSession, stream: DataFrame, run_dir: str, key: str | None = None,
                    partition_col: str | None = None) -> DataFrame:
-    """Run an append stream to completion into a log table.
-
-    With ``key``, rows whose key is already in the log are dropped first
-    (durable dedup beyond the watermark; a replayed batch writes nothing new).
-    With ``partition_col`` (e.g. the event date, which is part of the
-    idempotency key's material) the log is partitioned by it and each batch
-    probes only the partitions of the values it contains.
-    """
+    """Run an append stream over all available input into a log table (see :func:`append_new`)."""
     out = os.path.join(run_dir, "log")
-
-    def sink(batch: DataFrame, _epoch: int) -> None:
-        b = batch
-        if key is not None:
-            b = b.dropDuplicates([key])
-            if _exists(spark, out):
-                log = spark.read.parquet(out)
-                if partition_col is not None:
-                    vals = [r[0] for r in b.select(partition_col).distinct().collect()]  # few per batch
-                    log = log.filter(F.col(partition_col).isin(vals))
-                    b = b.join(log.select(partition_col, key), [partition_col, key], "left_anti")
-                else:
-                    b = b.join(log.select(key), key, "left_anti")
-        w = b.write.mode("append")
-        if partition_col is not None:
-            w = w.partitionBy(partition_col)
-        w.parquet(out)
-
-    q = (stream.writeStream.outputMode("append").foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
+    _finish(stream.writeStream.outputMode("append").foreachBatch(
+        lambda batch, epoch: append_new(batch, out, epoch, key, partition_col)), run_dir)
     if not _exists(spark, out):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.parquet(out)
+    return spark.read.parquet(out).drop("batch_id")
 
 
-def run_update_log(spark: SparkSession, stream: DataFrame, run_dir: str, keys: list[str]) -> DataFrame:
-    """Run an update-mode stream to completion; every batch's rows are appended
-    with the batch id and the latest batch per key is the current state."""
-    out = os.path.join(run_dir, "updates")
+def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of each key's latest batch."""
+    last = updates.groupBy(*keys).agg(F.max("batch_id").alias("batch_id"))
+    return updates.join(last, [*keys, "batch_id"]).drop("batch_id")
 
-    def sink(batch: DataFrame, epoch: int) -> None:
-        batch.withColumn("batch_id", F.lit(epoch).cast("long")).write.mode("append").parquet(out)
 
-    q = (stream.writeStream.outputMode("update").foreachBatch(sink)
-         .option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    t = spark.read.parquet(out)
-    latest = t.groupBy(*keys).agg(F.max("batch_id").alias("__b"))
-    return (t.join(latest, keys).filter(F.col("batch_id") == F.col("__b"))
-            .drop("batch_id", "__b"))
+def run_updates(spark: SparkSession, stream: DataFrame, run_dir: str, keys: list[str]) -> DataFrame:
+    """Run an update-mode stream over all available input: every batch writes only the keys it changed.
+    Returns the current rows of all keys."""
+    out = os.path.join(run_dir, "updates")
+    _finish(stream.writeStream.outputMode("update").foreachBatch(
+        lambda batch, epoch: write_batch(batch, out, epoch)), run_dir)
+    if not _exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    return latest(spark.read.parquet(out), keys)
 
 
 # ------------------------------------------------------------------- G1
@@ -147,31 +138,26 @@ def online_item_features(stream: DataFrame, item: str = "item_id", ts: str = "ev
 
 
 # ------------------------------------------------------------------- G4
-RECENT_STATE = "items array<string>, ts array<timestamp>, ids array<bigint>, last_reward double, last_key struct<t:timestamp,i:bigint>"
+RECENT_STATE = "recent array<struct<t:timestamp,i:bigint,item:string>>, last_t timestamp, last_i bigint, last_reward double"
 
 
 def _recent_fn(key, pdfs, state):
-    if state.exists:
-        items, tss, ids, last_r, last_k = state.get
-        items, tss, ids = list(items), list(tss), list(ids)
-        last_t, last_i = (last_k[0], last_k[1]) if last_k is not None else (None, None)
-    else:
-        items, tss, ids, last_r, last_t, last_i = [], [], [], None, None, None
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        pdf = pd.concat(frames).sort_values(["event_ts", "event_id"], na_position="last")
-        for row in pdf.itertuples(index=False):
-            if row.event_ts is not None and not pd.isna(row.event_ts):
-                if last_t is None or (row.event_ts, row.event_id) > (last_t, last_i):
-                    last_t, last_i, last_r = row.event_ts, row.event_id, float(row.reward)
-            if row.item_id is not None and not pd.isna(row.item_id):
-                items.append(row.item_id)
-                tss.append(row.event_ts)
-                ids.append(int(row.event_id))
-        items, tss, ids = items[-RECENT_N:], tss[-RECENT_N:], ids[-RECENT_N:]
-    state.update((items, tss, ids, last_r, (last_t, last_i) if last_t is not None else None))
-    yield pd.DataFrame({"user_id": [key[0]] * len(items), "pos": list(range(1, len(items) + 1)),
-                        "item_id": items, "last_reward": [last_r] * len(items)})
+    recent, last_t, last_i, last_r = state.get if state.exists else ([], None, None, None)
+    recent = [(r[0], r[1], r[2]) for r in recent]
+    for pdf in pdfs:  # in bounded pieces: what is kept never exceeds one piece and RECENT_N entries
+        seen = pdf[pdf["event_ts"].notna()].sort_values(["event_ts", "event_id"])
+        if len(seen):
+            t, i, r = seen[["event_ts", "event_id", "reward"]].iloc[-1]
+            if last_t is None or (t, i) > (last_t, last_i):
+                last_t, last_i, last_r = t, int(i), float(r)
+        items = pdf[pdf["item_id"].notna()]
+        recent += [(None if pd.isna(t) else t, int(i), item)
+                   for t, i, item in zip(items["event_ts"], items["event_id"], items["item_id"])]
+        # by event time, whenever they arrived; events without a time count as newest
+        recent = sorted(recent, key=lambda r: (r[0] is None, r[0] or pd.Timestamp(0), r[1]))[-RECENT_N:]
+    state.update((recent, last_t, last_i, last_r))
+    yield pd.DataFrame({"user_id": [key[0]] * len(recent), "pos": list(range(1, len(recent) + 1)),
+                        "item_id": [r[2] for r in recent], "last_reward": [last_r] * len(recent)})
 
 
 def recent_sequence_state(stream: DataFrame) -> DataFrame:
@@ -179,7 +165,7 @@ def recent_sequence_state(stream: DataFrame) -> DataFrame:
 
     Input rows: user_id, event_id, event_ts, item_id, reward.  Emits the
     user's current list on every batch that touches the user (update mode).
-    Within a batch events are applied in (ts, id) order.
+    State and batch are merged in (ts, id) order, so late events find their place.
     """
     return stream.groupBy("user_id").applyInPandasWithState(
         _recent_fn, "user_id long, pos int, item_id string, last_reward double", RECENT_STATE,
@@ -284,8 +270,12 @@ def shown_events(recs: DataFrame, key: str = "student_id", item: str = "topic",
 
 # ------------------------------------------------------------------- G9
 def rolling_rates(stream: DataFrame, ts: str = "event_ts", duration: str = "1 day",
-                  slide: str | None = None) -> DataFrame:
-    """CTR and completion per shown over tumbling (or sliding) event-time windows."""
+                  slide: str | None = None, delay: str = "1 day") -> DataFrame:
+    """CTR and completion per shown over tumbling (or sliding) event-time windows.
+
+    On a stream a window's state goes once the watermark (``delay`` behind the latest event) has passed it.
+    """
+    stream = stream.withWatermark(ts, delay) if stream.isStreaming else stream
     w = F.window(ts, duration, slide) if slide else F.window(ts, duration)
     et = F.col("event_type")
     g = stream.groupBy(w.alias("w")).agg(
@@ -299,8 +289,13 @@ def rolling_rates(stream: DataFrame, ts: str = "event_ts", duration: str = "1 da
 
 
 # ------------------------------------------------------------------ G10
-def sessions(events: DataFrame, user: str = "user_id", ts: str = "event_ts", gap: str = "30 minutes") -> DataFrame:
-    """Event-time sessions per user (gap-based session windows)."""
+def sessions(events: DataFrame, user: str = "user_id", ts: str = "event_ts", gap: str = "30 minutes",
+             delay: str = "1 day") -> DataFrame:
+    """Event-time sessions per user (gap-based session windows).
+
+    On a stream a session is emitted, and its state dropped, once the watermark has passed its end.
+    """
+    events = events.withWatermark(ts, delay) if events.isStreaming else events
     g = events.groupBy(user, F.session_window(ts, gap).alias("s")).agg(F.count(F.lit(1)).alias("events"))
     return g.select(user, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events")
 
