@@ -23,6 +23,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -43,78 +44,49 @@ VOCABULARY = "byte_bpe_50k.json"
 #: Tried in turn: number of size groups of the large lengths, and the share of a sequence up to which a length
 #: is small.  Rounding pays when many lengths share a sequence; with few, best fit does more of the work.
 SETTINGS = ((64, 1 / 4), (64, 1 / 2))
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 300_000
-
-TWO_SPACES = re.compile(r"\s\s")
+#: Texts with such runs are left to the slower reader, whose memory does not grow with the run.
+LONG_GAP = re.compile(r"\s{1000}")
 
 
 class Encoder:
-    """Ids of whole texts; equal stretches between spaces are looked up once.
+    """Ids of whole texts under a vocabulary file.
 
-    The vocabulary's pre-tokenizer never joins characters across a single space that stands
-    between non-spaces, so a text without adjacent white space is the sequence of
-    its stretches, each with the space before it.  Other texts are encoded as they are.
+    A byte-level BPE whose ids follow the order of its merges is fully described by its vocabulary: merging by
+    rank gives the same ids whichever library does it, so the file's ids are handed to the faster one.
+    Texts with the file's added tokens or very long gaps, and files of any other kind, go through
+    the file's own library.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.fresh: list[str] = []
-        owner = self
-
-        class Index(dict):
-            def __missing__(self, stretch):
-                at = self[stretch] = len(self)
-                owner.fresh.append(stretch)
-                return at
-
-        self.index = Index()
-        self.ids = np.zeros(0, dtype="<u4")
-        self.ends = np.zeros(1, dtype=np.int64)
-
-    def _raw(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.index) > REMEMBERED:
-            self.forget()
-        found, whole, places = [], [], []
-        look_up = self.index.__getitem__
-        for text in texts:
-            if TWO_SPACES.search(text):
-                whole.append(text)
-                places.append(None)
-                continue
-            first, *rest = text.split(" ")
-            # the first stretch has no space before it: its key is marked by one that no other key can hold
-            at = [look_up(" " + first)] if first else []
-            at += map(look_up, rest)
-            places.append(len(at))
-            found.append(at)
-        if self.fresh:
-            got = self._raw([s[1:] if s[:1] == " " else " " + s for s in self.fresh])
-            self.ids = np.concatenate([self.ids, *(np.asarray(g, dtype="<u4") for g in got)])
-            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum([len(g) for g in got]))
-            self.fresh = []
-        flat = np.concatenate([np.asarray(a, dtype=np.int64) for a in found]) if found else np.zeros(0, dtype=np.int64)
-        start, size = self.ends[flat], self.ends[flat + 1] - self.ends[flat]
-        stop = np.cumsum(size)
-        ids = self.ids[np.repeat(start - (stop - size), size) + np.arange(int(size.sum()))]
-        at, out, others = 0, [], iter(self._raw(whole) if whole else ())
-        for n in places:
-            if n is None:
-                out.append(np.asarray(next(others), dtype="<u4"))
-                continue
-            a = 0 if at == 0 else int(stop[at - 1])
-            b = a if n == 0 else int(stop[at + n - 1])
-            out.append(ids[a:b])
-            at += n
-        return out
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.fast = self._by_rank(json.loads(self.tokenizer.to_str()))
+
+    def _by_rank(self, spec: dict):
+        import public_tokenizers
+        import tiktoken
+        first, model = spec.get("pre_tokenizer") or {}, spec["model"]
+        plain = (first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+                 and model["type"] == "BPE" and not spec.get("normalizer") and not model.get("ignore_merges"))
+        if not plain:
+            return None
+        vocabulary = {t: i for t, i in model["vocab"].items() if t not in self.added}
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(vocabulary.get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None
+        # byte-level files write printable Latin-1 bytes as themselves and the others from U+0100 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown}
+        byte |= {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocabulary.items()}
+        return tiktoken.Encoding("by-rank", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if self.fast is None or any(t in text for t in self.added) or LONG_GAP.search(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 @lru_cache(maxsize=1)
@@ -136,8 +108,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
             for at in range(0, len(frame), 512):
                 part = frame.iloc[at:at + 512]
                 rows = []
-                for doc, ids in zip(part["doc_id"], encoder.encode(part["text"].tolist())):
-                    ids = np.append(ids, np.asarray([end_id], dtype="<u4")).astype("<u4")
+                for doc, text in zip(part["doc_id"], part["text"]):
+                    ids = np.asarray([*encoder.encode(text), end_id], dtype="<u4")
                     head = (len(ids) - 1) % capacity + 1
                     cuts = [0, *range(head, len(ids) + 1, capacity)]
                     for p, (a, b) in enumerate(zip(cuts, cuts[1:])):

@@ -144,8 +144,10 @@ def test_encoder_equals_the_tokenizer_on_white_space():
     rng = random.Random(2)
     texts = ["".join(rng.choice(["a", "Zé", " ", " ", "\n", "\t", "'s", "12", "!", " ", "\x1c", "漢", "<|endoftext|>"])
                      for _ in range(rng.randint(0, 12))) for _ in range(800)]
-    for got, text in zip(enc.encode(texts), texts):
-        assert got.tolist() == tok.encode(text, add_special_tokens=False).ids
+    texts += [" " * 5000, "x" * 3000 + "\n" * 2000 + "y", "z".join(" " * n for n in range(40)), "\u00a0\u2028 \x85a", "".join(map(chr, range(1, 0x2000)))]
+    assert enc.fast is not None
+    for text in texts:
+        assert enc.encode(text) == tok.encode(text, add_special_tokens=False).ids
 
 
 # --- 2 n-gram join ---------------------------------------------------------------------------------------------
