@@ -10,13 +10,13 @@ similarity reaches the threshold.  No link between different sets is lost:
 2. *Order.*  For the rest, equal sets become one class, members are counted globally, members that
    stand in one class only are dropped (their number is kept), and each set is ordered rarest first.  Sets
    with fewer than ``t |x|`` shared members are done.
-3. *Stars.*  Classes that agree in a min-wise sketch meet the class of least id with that sketch, their leader.  The
-   leaders' members are put into a trie of ordered sets; the leader walks it, summing overlaps once for all
-   sets that share a path, and leaves a subtree when what remains cannot reach the needed overlap.
-   Links give first components.
-4. *Rest.*  Only members whose block spans several components can still join two of them.  Pairs from different
-   components that meet in a prefix member, within size and remaining-length bounds, go through the same trie walk.
-   Pairs inside one component are never formed, so a group of near copies costs its size, not its square.
+3. *Stars.*  Sets that link share a prefix member, within size and remaining-length bounds.  In the block of every
+   prefix member the set with the fewest members of its own leads.  A leader's followers are put into a
+   trie of ordered sets; the leader walks it, summing overlaps once for all sets that share a path, and leaves a subtree when
+   what remains cannot reach the needed overlap.  Links give components; blocks inside one component are
+   closed.  In the open ones the components then meet by one drawn set each.
+4. *Rest.*  At last all pairs from different components that meet in an open block go through the same
+   trie walk.  Pairs inside one component are never formed, so a group of near copies costs its size, not its square.
 
 Leaders of many members are split into chunks, so no task holds more than ``CHUNK`` sets at a time.
 
@@ -42,10 +42,9 @@ N = 5
 #: The threshold as a fraction.
 NUM, DEN = 80, 100
 #: Extra prefix members per set size: one in SIFT.
-SIFT = 20
+SIFT = 10
 #: Bits of the field per shared member, and its greatest size (32 MB).
 FIELD_BITS, MAX_FIELD = 16, 1 << 28
-SKETCHES = 4
 CHUNK = 512
 
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -170,13 +169,19 @@ def sifted_sets(docs: DataFrame) -> DataFrame:
     return written(rows.mapInPandas(run, "doc_id long, n long, cid string, members array<long>"), "sets")
 
 
-def ordered_classes(sets: DataFrame) -> DataFrame:
-    """``cid, n, members``: shared members only, rarest first, of classes that still may link."""
-    classes = written(sets.filter(F.col("members").isNotNull()).groupBy("cid", "n")
-                      .agg(F.first("members").alias("members")), "classes")
-    long = classes.select("cid", "n", F.explode("members").alias("member"))
+def numbered_classes(sets: DataFrame) -> DataFrame:
+    """``id, cid``: a short number for every class that may link, fixed by writing it."""
+    return written(sets.filter(F.col("members").isNotNull()).select("cid").distinct()
+                   .select(F.monotonically_increasing_id().alias("id"), "cid"), "classes")
+
+
+def ordered_classes(sets: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``id, n, members``: shared members only, rarest first, of classes that still may link."""
+    classes = (sets.filter(F.col("members").isNotNull()).groupBy("cid", "n").agg(F.first("members").alias("members"))
+               .join(numbers, "cid"))
+    long = classes.select("id", "n", F.explode("members").alias("member"))
     often = long.groupBy("member").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    ordered = (long.join(often, "member").groupBy("cid", "n")
+    ordered = (long.join(often, "member").groupBy("id", "n")
                .agg(F.sort_array(F.collect_list(F.struct("df", "member")))["member"].alias("members")))
     return written(ordered.filter(F.size("members") * DEN >= F.col("n") * NUM), "ordered")
 
@@ -213,26 +218,24 @@ class Trie:
                 if at is not None:
                     overlap += 1
                     passed = at + 1
-            if hi - lo == 1 or int(self.lengths[lo]) == end:
+            while lo < hi and int(self.lengths[lo]) == end:  # sets that end here come first
                 if (NUM + DEN) * overlap >= NUM * (n + int(self.sizes[lo])):
                     found.append(self.ids[lo])
-                if hi - lo == 1:
-                    continue
-            cuts = [lo, *(lo + 1 + np.flatnonzero(self.common[lo + 1:hi] == end)).tolist(), hi]
-            for a, b in zip(cuts, cuts[1:]):
-                if b - a > 1 or int(self.lengths[a]) > end:
-                    todo.append((a, b, end, overlap, passed))
+                lo += 1
+            if lo < hi:
+                cuts = [lo, *(lo + 1 + np.flatnonzero(self.common[lo + 1:hi] == end)).tolist(), hi]
+                todo += [(a, b, end, overlap, passed) for a, b in zip(cuts, cuts[1:])]
         return found
 
 
 def star_links(stars: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Of the pairs ``leader, cid`` those that link, as ``a, b``."""
+    """Of the pairs ``leader, id`` those that link, as ``a, b``."""
     load = stars.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    stars = stars.join(load, "leader").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")))
-    stars = written(stars.select("leader", "chunk", "cid"), "stars")
-    members = stars.join(ordered, "cid").select("leader", "chunk", F.lit(1).alias("part"), "cid", "n", "members")
-    heads = (stars.select("leader", "chunk").distinct().join(ordered.withColumnRenamed("cid", "leader"), "leader")
-             .select("leader", "chunk", F.lit(0).alias("part"), F.col("leader").alias("cid"), "n", "members"))
+    stars = stars.join(load, "leader").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
+    stars = written(stars.select("leader", "chunk", "id"), "stars")
+    members = stars.join(ordered, "id").select("leader", "chunk", F.lit(1).alias("part"), "id", "n", "members")
+    heads = (stars.select("leader", "chunk").distinct().join(ordered.withColumnRenamed("id", "leader"), "leader")
+             .select("leader", "chunk", F.lit(0).alias("part"), F.col("leader").alias("id"), "n", "members"))
     n = int(ordered.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(frames):
@@ -246,7 +249,7 @@ def star_links(stars: DataFrame, ordered: DataFrame) -> DataFrame:
             return pd.DataFrame({"a": [head[0]] * len(found), "b": found}) if found else None
 
         for frame in frames:
-            for leader, chunk, part, cid, size, members_ in frame.itertuples(index=False, name=None):
+            for leader, chunk, part, id_, size, members_ in frame.itertuples(index=False, name=None):
                 if head is None or (leader, chunk) != head[:2]:
                     links = walk()
                     if links is not None:
@@ -255,62 +258,88 @@ def star_links(stars: DataFrame, ordered: DataFrame) -> DataFrame:
                 if part == 0:
                     head = (leader, chunk, size, members_)
                 else:
-                    held.append((cid, size, members_))
+                    held.append((id_, size, members_))
         links = walk()
         if links is not None:
             yield links
 
     return (members.unionByName(heads).repartition(n, "leader", "chunk")
-            .sortWithinPartitions("leader", "chunk", "part", "cid").mapInPandas(run, "a string, b string"))
+            .sortWithinPartitions("leader", "chunk", "part", "id").mapInPandas(run, "a long, b long"))
 
 
-def sketch_stars(ordered: DataFrame) -> DataFrame:
-    """``leader, cid``: classes with the leader of each of their sketches."""
-    keys = []
-    for i in range((SKETCHES + 1) // 2):
-        salt = F.lit(int(MIX[i].astype(np.int64)))
-        turned = F.col("members") if i == 0 else F.transform("members", lambda x: x.bitwiseXOR(salt))
-        keys += [F.struct(F.lit(2 * i).alias("i"), F.array_min(turned).alias("v")),
-                 F.struct(F.lit(2 * i + 1).alias("i"), F.array_max(turned).alias("v"))]
-    met = ordered.select("cid", F.explode(F.array(*keys[:SKETCHES])).alias("key")).select("cid", "key.i", "key.v")
-    leaders = met.groupBy("i", "v").agg(F.min("cid").alias("leader"), F.count("*").alias("k")).filter(F.col("k") > 1)
-    return met.join(leaders, ["i", "v"]).filter(F.col("cid") != F.col("leader")).select("leader", "cid").distinct()
+def open_entries(ordered: DataFrame, labels: DataFrame) -> DataFrame:
+    """``member, id, comp, n, most``: prefix members of classes in blocks that still span several components.
 
-
-def rest_stars(ordered: DataFrame, comps: DataFrame) -> DataFrame:
-    """``leader, cid``: pairs of classes from different components that may still link."""
-    labelled = ordered.join(comps.withColumnRenamed("node", "cid"), "cid", "left")
+    With its entry as first common member a set shares at most what follows, so partners may not be larger than ``most``.
+    """
+    labelled = ordered.join(labels.withColumnRenamed("node", "id"), "id", "left")
     unique = F.col("n") - F.size("members")  # rarest of all: they come first in the global order
     prefix = F.size("members") - F.ceil(F.col("n") * NUM / DEN) + 1
-    entries = labelled.select("cid", F.coalesce("comp", "cid").alias("comp"), "n", unique.alias("unique"),
+    entries = labelled.select("id", F.coalesce("comp", "id").alias("comp"), "n", unique.alias("unique"),
                               F.posexplode(F.slice("members", F.lit(1), F.greatest(prefix.cast("int"), F.lit(0)))).alias("i", "member"))
-    # with this as first common member at most n - unique - i members are shared: partners may not be larger than `most`
     left = F.col("n") - F.col("unique") - F.col("i")
     most = F.least(F.floor((left * (NUM + DEN) - F.col("n") * NUM) / NUM), F.floor(F.col("n") * DEN / NUM))
-    entries = entries.select("member", "cid", "comp", "n", most.cast("long").alias("most"))
+    entries = entries.select("member", "id", "comp", "n", most.cast("long").alias("most"))
     blocks = (entries.groupBy("member").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.min("n").alias("least"))
               .filter(F.col("c0") != F.col("c1")).select("member", "least"))
-    open_ = written(entries.join(blocks, "member").filter(F.col("least") <= F.col("most")).drop("least"), "entries")
-    a, b = open_.alias("a"), open_.alias("b")
+    return written(entries.join(blocks, "member").filter(F.col("least") <= F.col("most")).drop("least"), "entries")
+
+
+def led_pairs(entries: DataFrame) -> DataFrame:
+    """``leader, id``: every class with the leaders of its blocks, where they are from another component and may link.
+
+    A block's leader is the set with the fewest members of its own.
+    """
+    lead = entries.groupBy("member").agg(F.max(F.struct("most", "n", "id", "comp")).alias("lead"))
+    met = entries.join(lead, "member")
+    fits = ((F.col("comp") != F.col("lead.comp")) & (F.col("n") <= F.col("lead.most")) & (F.col("lead.n") <= F.col("most")))
+    return met.filter(fits).select(F.col("lead.id").alias("leader"), "id").distinct()
+
+
+def chained_pairs(entries: DataFrame) -> DataFrame:
+    """``leader, id``: in every block each component sends one set, drawn by hash, to meet that of the component
+    next in size."""
+    drawn = F.struct(F.xxhash64("id", "member").alias("h"), "id", "n", "most")
+    sent = entries.groupBy("member", "comp").agg(F.min(drawn).alias("own"))
+    by_size = Window.partitionBy("member").orderBy("own.n", "comp")
+    met = sent.withColumn("other", F.lag("own").over(by_size))
+    fits = (F.col("own.n") <= F.col("other.most")) & (F.col("other.n") <= F.col("own.most"))
+    return met.filter(fits).select(F.col("other.id").alias("leader"), F.col("own.id").alias("id")).distinct()
+
+
+def all_pairs(entries: DataFrame) -> DataFrame:
+    """``leader, id``: all pairs of classes from different components that may still link."""
+    a, b = entries.alias("a"), entries.alias("b")
     fits = ((F.col("a.member") == F.col("b.member")) & (F.col("a.comp") < F.col("b.comp"))
             & (F.col("a.n") <= F.col("b.most")) & (F.col("b.n") <= F.col("a.most")))
-    return a.join(b, fits).select(F.col("a.cid").alias("leader"), F.col("b.cid").alias("cid")).distinct()
+    return a.join(b, fits).select(F.col("a.id").alias("leader"), F.col("b.id").alias("id")).distinct()
+
+
+#: How the open blocks' sets meet, pass by pass; the last one leaves nothing out.
+PASSES = (led_pairs, chained_pairs, all_pairs)
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (``node, comp``) after ``links`` (``a, b``) have joined components."""
+    links = written(links, "links")
+    named = lambda x, new: labels.select(F.col("node").alias(x), F.col("comp").alias(new))
+    bridges = (links.join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left")
+               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    tops = components(bridges).toDF("comp", "top")
+    fresh = tops.select(F.col("comp").alias("node"), "comp").join(labels.select("node"), "node", "left_anti")
+    return written(labels.unionByName(fresh).join(tops, "comp", "left")
+                   .select("node", F.coalesce("top", "comp").alias("comp")), "merged")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """``doc_id, n_shingles, component_id, comp``: ``comp`` labels the component, also where doc_ids repeat."""
     sets = sifted_sets(docs)
-    ordered = ordered_classes(sets)
-    first = components(written(star_links(sketch_stars(ordered), ordered), "links"))
-    rest = written(star_links(rest_stars(ordered, first), ordered), "links")
-    named = lambda x, new: first.select(F.col("node").alias(x), F.col("comp").alias(new))
-    bridges = (rest.join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left")
-               .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    second = components(bridges).toDF("comp", "top")
-    everything = first.unionByName(  # classes that only the second walk linked
-        second.select(F.col("comp").alias("node"), "comp").join(first.select("node"), "node", "left_anti"))
-    labels = everything.join(second, "comp", "left").select(
-        F.col("node").alias("cid"), F.coalesce("top", "comp").alias("comp"))
+    numbers = numbered_classes(sets)
+    ordered = ordered_classes(sets, numbers)
+    labels = docs.sparkSession.createDataFrame([], "node long, comp long")
+    for pick in PASSES:
+        labels = merged(labels, star_links(pick(open_entries(ordered, labels)), ordered))
+    labels = labels.withColumnRenamed("node", "id").join(numbers, "id").select("cid", F.col("comp").cast("string").alias("comp"))
     docs_ = sets.select("doc_id", "n", "cid").join(labels, "cid", "left").select(
         "doc_id", "n", F.coalesce("comp", "cid").alias("comp"))
     docs_ = written(docs_, "components")

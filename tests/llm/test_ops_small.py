@@ -192,7 +192,8 @@ def test_trie_walk_equals_set_arithmetic():
     rng = np.random.default_rng(3)
     for _ in range(30):
         sets = [np.sort(rng.choice(40, rng.integers(1, 30), replace=False)) for _ in range(12)]
-        trie = ngram_join.Trie(list(range(12)), np.asarray([len(s) for s in sets]), sets)
+        sets += [sets[0], sets[1], sets[0][:5], sets[0]]  # equal paths and paths that end on another's way
+        trie = ngram_join.Trie(list(range(16)), np.asarray([len(s) for s in sets]), sets)
         probe = np.sort(rng.choice(40, 25, replace=False))
         want = {i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 80 * len(np.union1d(s, probe))}
         assert set(trie.linked(probe, len(probe))) == want
