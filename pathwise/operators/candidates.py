@@ -136,10 +136,12 @@ def user_item_scores(users: DataFrame, items: DataFrame, ukey: str, ikey: str,
 
 
 def lsh_neighbours(items: DataFrame, key: str, vec: str, threshold: float,
-                   bucket_length: float = 0.5, num_tables: int = 4, seed: int = 42) -> DataFrame:
+                   bucket_length: float = 0.5, num_tables: int = 4, seed: int = 42,
+                   k: int | None = None) -> DataFrame:
     """Approximate neighbours of unit vectors with random-projection LSH.
 
-    Euclidean distance d between unit vectors maps to cosine 1 - d^2/2.
+    Euclidean distance d between unit vectors maps to cosine 1 - d^2/2.  With ``k`` only each
+    vector's k nearest are kept.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
@@ -149,9 +151,13 @@ def lsh_neighbours(items: DataFrame, key: str, vec: str, threshold: float,
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
                                         bucketLength=bucket_length, numHashTables=num_tables).fit(u)
     j = model.approxSimilarityJoin(u, u, threshold, distCol="dist")
-    return (j.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "dist")
-            .filter(F.col("a") != F.col("b"))
-            .withColumn("cosine", F.lit(1.0) - F.col("dist") * F.col("dist") / 2))
+    pairs = (j.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "dist")
+             .filter(F.col("a") != F.col("b"))
+             .withColumn("cosine", F.lit(1.0) - F.col("dist") * F.col("dist") / 2))
+    if k is None:
+        return pairs
+    w = Window.partitionBy("a").orderBy("dist", "b")
+    return pairs.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= k)
 
 
 # ---------------------------------------------------------- list merging

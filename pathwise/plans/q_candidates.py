@@ -92,8 +92,9 @@ def d08(spark, sf):
 
 @register("d09_lsh_neighbours")
 def d09(spark, sf):
+    """The five nearest of every vector among the pairs that share an LSH bucket."""
     items = C.tables.read_table(spark, sf, "embeddings")
-    return D.lsh_neighbours(items, "vec_id", "embedding", threshold=0.6)
+    return D.lsh_neighbours(items, "vec_id", "embedding", threshold=1.3, bucket_length=1.0, num_tables=8, k=5)
 
 
 @register("d10_user_item_scores", f"""WITH {C.CENTROIDS_SQL},

@@ -40,3 +40,46 @@ def test_cold_start_pads_unknown_subject(spark):
     cat = [r.topic for r in t.orderBy("topic_idx").limit(5).collect()]
     for sid in (1, 2):
         assert [r.topic for r in sorted((r for r in out if r.student_id == sid), key=lambda r: r.rnk)] == cat
+
+
+def _rows(spark, *rows):
+    return spark.createDataFrame([(i, d, f"k{i}") for i, d in rows], "event_id long, event_date string, key string")
+
+
+def test_a_replayed_batch_replaces_itself(spark, tmp_path):
+    out = str(tmp_path / "log")
+    first, second = _rows(spark, (1, "a"), (2, "a"), (2, "a")), _rows(spark, (2, "a"), (3, "b"))
+    for epoch, batch in ((0, first), (1, second), (1, second), (0, first)):
+        G.append_new(batch, out, epoch, "key", "event_date")
+    assert sorted(r.event_id for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    for epoch, batch in ((0, first), (1, second), (1, second)):
+        G.write_batch(batch, str(tmp_path / "updates"), epoch)
+    got = G.latest(spark.read.parquet(str(tmp_path / "updates")), ["event_id"]).collect()
+    assert sorted(r.event_id for r in got) == [1, 2, 3]
+
+
+def test_late_events_find_their_place_in_the_recent_sequence():
+    import pandas as pd
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+    state = State()
+    frame = lambda *r: pd.DataFrame([(i, pd.Timestamp(t), item, 0.5) for i, t, item in r],
+                                    columns=["event_id", "event_ts", "item_id", "reward"])
+    list(G._recent_fn((1,), iter([frame((2, "2024-01-02", "B"))]), state))
+    out = list(G._recent_fn((1,), iter([frame((1, "2024-01-01", "A"), (3, "2024-01-03", "C"))]), state))[-1]
+    assert out["item_id"].tolist() == ["A", "B", "C"]
+
+
+def test_lsh_finds_most_nearest_neighbours(spark):
+    sf = SF.replace("0.001", "0.01")
+    from pathwise.operators import knn as KN
+    from pathwise.plans import q_candidates as QC
+    v = C.tables.read_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    exact = {(r.vec_id, r.neighbour) for r in KN.knn(v, 5, "vec_id", metric="cosine").collect()}
+    found = {(r.a, r.b) for r in QC.d09(spark, sf).collect()}
+    assert len(found & exact) >= 0.9 * len(exact)
