@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathwise.functions import constants as K
 from pathwise.functions.expressions import scaled
 from pathwise.operators import candidates as D
 from pathwise.operators import events as EV
@@ -228,14 +229,13 @@ def d19(spark, sf):
 
 @register("d20_shared_column_pairing", f"""WITH {FEAT_CTE.strip()},
 s AS (SELECT *, ('0x' || substr(md5('42:' || CAST(student_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 80 AS is_train FROM feat),
-l AS (SELECT is_train, 'quiz_score' AS feature, quiz_score AS v FROM s UNION ALL SELECT is_train, 'attendance', attendance FROM s
-      UNION ALL SELECT is_train, 'engagement_score', engagement_score FROM s)
+l AS ({' UNION ALL '.join(f"SELECT is_train, '{c}' AS feature, CAST({c} AS DOUBLE) AS v FROM s" for c in K.NUMERIC_FEATURES)})
 SELECT a.feature, a.n AS reference_n, b.n AS current_n, a.mx AS reference_max, b.mx AS current_max
 FROM (SELECT feature, COUNT(v) AS n, MAX(v) AS mx FROM l WHERE is_train GROUP BY feature) a
 JOIN (SELECT feature, COUNT(v) AS n, MAX(v) AS mx FROM l WHERE NOT is_train GROUP BY feature) b USING (feature)""", ("learners",))
 def d20(spark, sf):
     f = EV.hash_split(C.features(spark, sf), "student_id")
-    cols = ["quiz_score", "attendance", "engagement_score"]
+    cols = K.NUMERIC_FEATURES
     ref, cur = D.pair_shared_columns(f.filter("is_train").select(*cols), f.filter("NOT is_train").select(*cols))
     a = ref.groupBy("feature").agg(F.count("reference_value").alias("reference_n"), F.max("reference_value").alias("reference_max"))
     b = cur.groupBy("feature").agg(F.count("current_value").alias("current_n"), F.max("current_value").alias("current_max"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pathwise.functions import constants as K
 from pathwise.functions.expressions import scaled
 from pathwise.operators import events as EV
 from pathwise.operators import monitoring as MO
@@ -98,7 +99,7 @@ def f06(spark, sf):
 
 
 # ------------------------------------------------------------------ F8-F11
-_SUM_COLS = ["quiz_score", "attendance", "engagement_score", "learning_efficiency"]
+_SUM_COLS = K.NUMERIC_FEATURES
 
 
 @register("f08_feature_summary", f"""WITH {FEAT_CTE.strip()},

@@ -179,7 +179,7 @@ def b18(spark, sf):
     return FT.one_hot(scaled_df.select("student_id", *num, "learning_style"), "learning_style", cats)
 
 
-_B19_NUM = ["quiz_score", "engagement_score", "behavior_embedding_2", "trend_momentum"]
+_B19_NUM = K.NUMERIC_FEATURES
 
 
 @register("b19_preprocess", f"""
