@@ -130,10 +130,14 @@ rat AS (SELECT feature, GREATEST(tn / GREATEST(SUM(tn) OVER (PARTITION BY featur
 SELECT feature, {sq('SUM((cr - tr) * ln(cr / tr))', 4)} AS psi FROM rat GROUP BY feature"""
 
 
-@register("f09_psi", f"""WITH {FEAT_CTE.strip()},
+# the train split and the rest, one row per feature and value
+SPLIT_SQL = f"""{FEAT_CTE.strip()},
 s AS (SELECT *, ('0x' || substr(md5('42:' || CAST(student_id AS VARCHAR)), 1, 8))::BIGINT % 100 < 80 AS is_train FROM feat),
 tref AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM s WHERE is_train" for c in _SUM_COLS)}),
-tcur AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM s WHERE NOT is_train" for c in _SUM_COLS)}),
+tcur AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS value FROM s WHERE NOT is_train" for c in _SUM_COLS)})"""
+
+
+@register("f09_psi", f"""WITH {SPLIT_SQL},
 {_psi_sql('tref', 'tcur')}""", ("learners",))
 def f09(spark, sf):
     f = EV.hash_split(C.features(spark, sf), "student_id")

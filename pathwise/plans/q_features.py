@@ -169,14 +169,28 @@ def b17(spark, sf):
             .select("student_id", F.col("__cat").alias("category"), "learning_style_onehot"))
 
 
-@register("b18_column_preprocessor")
+_B18_NUM = ["attendance", "assignment_score", "quiz_score", "time_spent_hours", "attempts", "previous_score"]
+
+
+@register("b18_column_preprocessor", f"""WITH d AS (
+  SELECT student_id, learning_style, {', '.join(c for c in _B18_NUM if c != 'quiz_score')},
+    CASE WHEN student_id % 7 = 0 THEN NULL ELSE quiz_score END AS quiz_score FROM learners),
+m AS (SELECT {', '.join(f'median({c}) AS md_{c}' for c in _B18_NUM)}, mode(learning_style) AS md_style FROM d),
+f AS (SELECT student_id, COALESCE(learning_style, md_style, 'Unknown') AS learning_style,
+        {', '.join(f"CAST(COALESCE({c}, {'CAST(md_' + c + ' AS INT)' if c == 'attempts' else 'md_' + c}) AS DOUBLE) AS {c}" for c in _B18_NUM)} FROM d, m),
+p AS (SELECT {', '.join(f'avg({c}) AS mu_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1.0 ELSE stddev_pop({c}) END AS sd_{c}' for c in _B18_NUM)} FROM f),
+k AS (SELECT DISTINCT learning_style AS category FROM f)
+SELECT student_id, {', '.join(sq_scaled(f"({c} - mu_{c}) / sd_{c}") + f" AS {c}" for c in _B18_NUM)}, learning_style, category,
+  CASE WHEN learning_style = category THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS learning_style_onehot
+FROM f, p, k""", LV)
 def b18(spark, sf):
     df = C.with_nulls(C.learners(spark, sf), ["quiz_score", "gender"])
-    num = ["attendance", "assignment_score", "quiz_score", "time_spent_hours", "attempts", "previous_score"]
-    clean = FT.handle_missing(df, num, ["gender", "learning_style"])
-    scaled_df = FT.standardize(clean, num)
+    clean = FT.handle_missing(df, _B18_NUM, ["gender", "learning_style"])
+    scaled_df = FT.standardize(clean, _B18_NUM)
     cats = FT.fit_label_encoder(clean, ["learning_style"])
-    return FT.one_hot(scaled_df.select("student_id", *num, "learning_style"), "learning_style", cats)
+    r = FT.one_hot(scaled_df.select("student_id", *_B18_NUM, "learning_style"), "learning_style", cats)
+    return r.select("student_id", *[scaled(c).alias(c) for c in _B18_NUM], "learning_style",
+                    F.col("__cat").alias("category"), "learning_style_onehot")
 
 
 _B19_NUM = K.NUMERIC_FEATURES

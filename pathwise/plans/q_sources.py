@@ -65,7 +65,8 @@ def a05(spark, sf):
     return v.select("event_id", F.array_join("reasons", "; ").alias("reasons"), "is_valid", "payload")
 
 
-@register("a06_event_log_append")
+@register("a06_event_log_append", """SELECT event_id, event_type, CAST(timestamp_utc AS DATE) AS event_date
+FROM feedback_events""", ("feedback_events",))
 def a06(spark, sf):
     path = new_run_dir(spark, "a06") + "/events"
     ev = C.events(spark, sf)
