@@ -148,16 +148,34 @@ def subject_relevance(learners: DataFrame, topics: DataFrame, key: str = "studen
     return l.join(F.broadcast(topics), l[subject_col] == topics["subject"]).select(key, "topic")
 
 
-def evaluate_methods(recs: DataFrame, relevant: DataFrame, key: str, ks=(3, 5, 10)) -> DataFrame:
-    """mean metrics per (method, k); ``recs`` carry a ``method`` column and
-    each k is a filter of the same ranked lists (one scan per k of a cached input)."""
-    out = None
-    for k in ks:
-        per_req = _method_metrics(recs.filter(F.col("rnk") <= k), relevant, key, k)
-        g = (per_req.groupBy("method").agg(*[F.avg(m).alias(m) for m in ["hit", "precision", "recall", "ndcg"]])
-             .withColumn("k", F.lit(k)))
-        out = g if out is None else out.unionByName(g)
-    return out
+def evaluate_methods(recs: DataFrame, relevant: DataFrame, key: str, ks=(3, 5, 10),
+                     methods: list[str] | None = None, item: str = "topic") -> DataFrame:
+    """mean metrics per (method, k); ``recs`` carry a ``method`` column.
+
+    The ranked lists are matched with the relevant items once; each match counts for every k that
+    reaches its rank.  Pass ``methods`` if they are known, which saves a pass over ``recs``.
+    """
+    names = methods if methods is not None else [r[0] for r in recs.select("method").distinct().collect()]
+    each_k = F.explode(F.array(*[F.lit(k) for k in ks]))
+    rel = relevant.select(key, item).distinct()
+    hits = (recs.filter(F.col("rnk") <= max(ks)).select("method", key, item, "rnk")
+            .join(rel.withColumn("__hit", F.lit(1)), [key, item], "left"))
+    per = (hits.select("method", key, "rnk", F.coalesce("__hit", F.lit(0)).alias("__hit"), each_k.alias("k"))
+           .filter(F.col("rnk") <= F.col("k")).groupBy("method", key, "k")
+           .agg(F.count(F.lit(1)).alias("n_recs"), F.sum("__hit").alias("hits"),
+                F.sum(F.col("__hit") / F.log2(F.col("rnk") + 1.0)).alias("dcg")))
+    asked = (rel.groupBy(key).agg(F.count(F.lit(1)).alias("n_relevant"))
+             .withColumn("method", F.explode(F.array(*[F.lit(m) for m in names]))).withColumn("k", each_k))
+    per = per.join(asked, ["method", key, "k"], "full_outer").fillna(0, ["n_recs", "hits", "n_relevant"])
+    depth = F.least(F.col("k"), F.col("n_relevant").cast("int"))
+    ideal = F.when(depth > 0, F.aggregate(F.sequence(F.lit(1), F.greatest(depth, F.lit(1))), F.lit(0.0),
+                                          lambda a, i: a + F.lit(1.0) / F.log2(i + 1.0))).otherwise(0.0)
+    share = lambda n: F.when(F.col(n) > 0, F.col("hits") / F.col(n)).otherwise(0.0)
+    per = per.withColumn("ideal", ideal)
+    return per.groupBy("method", "k").agg(
+        F.avg(F.when(F.col("hits") > 0, 1.0).otherwise(0.0)).alias("hit"), F.avg(share("n_recs")).alias("precision"),
+        F.avg(share("n_relevant")).alias("recall"),
+        F.avg(F.when(F.col("ideal") > 0, F.coalesce("dcg", F.lit(0.0)) / F.col("ideal")).otherwise(0.0)).alias("ndcg"))
 
 
 def _method_metrics(recs: DataFrame, relevant: DataFrame, key: str, k: int) -> DataFrame:

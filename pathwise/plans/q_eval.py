@@ -256,7 +256,8 @@ pm AS ({_methods_sql()})"""
 
 
 def _per_method(spark, sf):
-    m = EV.evaluate_methods(_recs(spark, sf), _rel(spark, sf), "student_id", (3, 5, 10))
+    m = EV.evaluate_methods(_recs(spark, sf), _rel(spark, sf), "student_id", (3, 5, 10),
+                            methods=["content", "segment", "cold_start"])
     return m.select("method", F.col("k").cast("int").alias("k"),
                     *[scaled(c).alias(c) for c in ["hit", "precision", "recall", "ndcg"]])
 
