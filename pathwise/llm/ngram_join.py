@@ -43,8 +43,8 @@ N = 5
 NUM, DEN = 80, 100
 #: Extra prefix members per set size: one in SIFT.
 SIFT = 10
-#: Bits of the field per shared member, and its greatest size (32 MB).
-FIELD_BITS, MAX_FIELD = 16, 1 << 28
+#: Bits of the field per shared member, its greatest size (16 MB), and the words of a piece of it.
+FIELD_BITS, MAX_FIELD, SEGMENT = 8, 1 << 27, 1 << 13
 CHUNK = 512
 
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -139,9 +139,17 @@ def shared_field(docs: DataFrame) -> tuple[np.ndarray, int]:
             yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64),
                                 "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
-    words = shared.mapInPandas(place, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    def assemble(key, frame):
+        part = np.zeros(SEGMENT, dtype="<u8")
+        part[frame["word"].to_numpy() % SEGMENT] = frame["bits"].to_numpy().view(np.uint64)
+        return pd.DataFrame({"segment": [key[0]], "data": [part.tobytes()]})
+
+    words = shared.mapInPandas(place, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    segments = (words.withColumn("segment", F.floor(F.col("word") / SEGMENT)).groupBy("segment")
+                .applyInPandas(assemble, "segment long, data binary"))
     field = np.zeros(bits // 64, dtype=np.uint64)
-    field[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    for r in segments.collect():  # the field itself: at most MAX_FIELD bits
+        field[r["segment"] * SEGMENT:(r["segment"] + 1) * SEGMENT] = np.frombuffer(r["data"], dtype="<u8")
     return field, bits
 
 
