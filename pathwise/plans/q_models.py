@@ -1,8 +1,8 @@
 """Registered queries: model training and batch inference.
 
 Model outputs depend on Spark ML's randomness and tree internals, so these
-are rows-checked here and quality-checked in pytest (beats the mean
-predictor, rerun determinism).  M15's artefacts (bandit state, bigrams)
+are rows-checked here; ``tests/test_models.py`` holds the forest, permutation
+importance, factors and content vectors to small cases.  M15's artefacts (bandit state, bigrams)
 are SQL-checked through f07 / f06.
 """
 
