@@ -218,23 +218,24 @@ def implicit_factors(interactions: DataFrame, user: str, item: str, weight: str,
     """
     def dense(col, name):
         """A dense id per distinct value: running number within hash buckets plus the buckets' offsets."""
-        d = interactions.select(F.col(col).alias(name)).filter(F.col(col).isNotNull()).distinct()
-        d = d.withColumn("__b", F.pmod(F.xxhash64(name), F.lit(256)).cast("int"))
+        value = f"__{name}"
+        d = interactions.select(F.col(col).alias(value)).filter(F.col(value).isNotNull()).distinct()
+        d = d.withColumn("__b", F.pmod(F.xxhash64(value), F.lit(256)).cast("int"))
         before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         offsets = d.groupBy("__b").agg(F.count(F.lit(1)).alias("__n")).select(
             "__b", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))  # 256 rows
-        number = F.row_number().over(Window.partitionBy("__b").orderBy(name)) - 1
-        return d.withColumn("__k", number).join(offsets, "__b").select(name, (F.col("__k") + F.col("__off")).cast("int").alias(f"__{name}id"))
+        number = F.row_number().over(Window.partitionBy("__b").orderBy(value)) - 1
+        return d.withColumn("__k", number).join(offsets, "__b").select(value, (F.col("__k") + F.col("__off")).cast("int").alias(f"__{name}id"))
 
     users, idx = dense(user, "u"), dense(item, "i")
-    d = (interactions.join(idx, F.col(item) == F.col("i")).join(users, F.col(user) == F.col("u"))
+    d = (interactions.join(idx, F.col(item) == F.col("__i")).join(users, F.col(user) == F.col("__u"))
          .groupBy(F.col("__uid"), F.col("__iid"))
          .agg(F.sum(F.greatest(F.col(weight), F.lit(0.05))).alias("__w")))
     als = ALS(userCol="__uid", itemCol="__iid", ratingCol="__w", implicitPrefs=True, rank=rank,
               maxIter=iters, regParam=reg, seed=seed, coldStartStrategy="drop", nonnegative=False)
     m = als.fit(d)
-    uf = m.userFactors.join(users, F.col("id") == F.col("__uid")).select(F.col("u").alias(user), F.col("features").alias("vector"))
-    itf = m.itemFactors.join(idx, F.col("id") == F.col("__iid")).select(F.col("i").alias(item), F.col("features").alias("vector"))
+    uf = m.userFactors.join(users, F.col("id") == F.col("__uid")).select(F.col("__u").alias(user), F.col("features").alias("vector"))
+    itf = m.itemFactors.join(idx, F.col("id") == F.col("__iid")).select(F.col("__i").alias(item), F.col("features").alias("vector"))
     return uf, itf
 
 
