@@ -46,6 +46,8 @@ SIFT = 10
 #: Bits of the field per shared member, its greatest size (16 MB), and the words of a piece of it.
 FIELD_BITS, MAX_FIELD, SEGMENT = 8, 1 << 27, 1 << 13
 CHUNK = 512
+#: Columns of a row's key.
+ROW_KEY = ("__row_a", "__row_b")
 
 MIX = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
                               0xA0761D6478BD642F)]
@@ -153,8 +155,9 @@ def shared_field(docs: DataFrame) -> tuple[np.ndarray, int]:
     return field, bits
 
 
-def sifted_sets(docs: DataFrame) -> DataFrame:
-    """``doc_id, n, cid, members``: a set's size and class id; members only of sets that may link."""
+def sifted_sets(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n, cid, members`` and the columns ``key`` (long): a set's size and class id; members only of sets
+    that may link."""
     field, bits = shared_field(docs)
     shared = docs.sparkSession.sparkContext.broadcast(field)  # at most MAX_FIELD bits
 
@@ -171,10 +174,11 @@ def sifted_sets(docs: DataFrame) -> DataFrame:
                         hit &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                     members.append(s.view(np.int64) if len(s) and hit.sum() >= sift_least(len(s)) else None)
                 yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n": [len(s) for s in sets],
-                                    "cid": ids, "members": members})
+                                    "cid": ids, "members": members, **{k: part[k].values for k in key}})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return written(rows.mapInPandas(run, "doc_id long, n long, cid string, members array<long>"), "sets")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", *key)
+    schema = ", ".join(["doc_id long, n long, cid string, members array<long>", *[f"{k} long" for k in key]])
+    return written(rows.mapInPandas(run, schema), "sets")
 
 
 def numbered_classes(sets: DataFrame) -> DataFrame:
@@ -339,31 +343,51 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
                    .select("node", F.coalesce("top", "comp").alias("comp")), "merged")
 
 
-def near_components(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, comp``: ``comp`` labels the component, also where doc_ids repeat."""
-    sets = sifted_sets(docs)
+def labelled_rows(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, n, comp`` and the columns ``key`` of every row: ``comp`` labels the component, also where doc_ids repeat."""
+    sets = sifted_sets(docs, key)
     numbers = numbered_classes(sets)
     ordered = ordered_classes(sets, numbers)
     labels = docs.sparkSession.createDataFrame([], "node long, comp long")
     for pick in PASSES:
         labels = merged(labels, star_links(pick(open_entries(ordered, labels)), ordered))
     labels = labels.withColumnRenamed("node", "id").join(numbers, "id").select("cid", F.col("comp").cast("string").alias("comp"))
-    docs_ = sets.select("doc_id", "n", "cid").join(labels, "cid", "left").select(
-        "doc_id", "n", F.coalesce("comp", "cid").alias("comp"))
-    docs_ = written(docs_, "components")
+    docs_ = sets.select("doc_id", "n", "cid", *key).join(labels, "cid", "left").select(
+        "doc_id", "n", F.coalesce("comp", "cid").alias("comp"), *key)
+    return written(docs_, "components")
+
+
+def near_components(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, comp``: ``comp`` as in ``labelled_rows``."""
+    docs_ = labelled_rows(docs)
     least = docs_.filter(F.col("n") > 0).groupBy("comp").agg(F.min("doc_id").alias("least"))
     return docs_.join(least, "comp", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"), "comp")
 
 
+def row_key(docs: DataFrame) -> list:
+    """Two 64-bit hashes of a row's whole content, NULLs told from values: rows of one key are interchangeable."""
+    cells = []
+    for field in docs.schema.fields:
+        c = F.col(f"`{field.name}`")
+        cells += [c.isNull(), F.to_json(F.struct(c)) if "map<" in field.dataType.simpleString() else c]  # maps have no hash
+    return [F.xxhash64(F.lit(seed), *cells).alias(name) for seed, name in enumerate(ROW_KEY)]
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with one left of every component; rows without doc_id or words all stay."""
-    found = near_components(docs)
-    kept = found.filter((F.col("doc_id") == F.col("component_id")) & (F.col("n_shingles") > 0)).select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    bare = F.col("doc_id").isNull() | ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-    return named.select(docs.columns).unionByName(docs.filter(bare))
+    """The documents, all columns, with one left of every component: its row of least doc_id, then least key.
+
+    Of a component's rows without doc_id one stays too, and rows without words all stay.  Rows count, not ids: a doc_id
+    on rows of different components stays in each of them.
+    """
+    keyed = docs.select("*", *row_key(docs))
+    kept = (labelled_rows(keyed, ROW_KEY).filter(F.col("n") > 0)
+            .groupBy("comp", F.col("doc_id").isNull().alias("nameless")).agg(F.min(F.struct("doc_id", *ROW_KEY)).alias("row"))
+            .select(*[f"row.{k}" for k in ROW_KEY]))
+    wordy = F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    named = keyed.filter(wordy).join(kept, list(ROW_KEY), "left_semi").dropDuplicates(list(ROW_KEY))
+    return named.select(docs.columns).unionByName(docs.filter(~wordy))
 
 
 @register("op2_ngram_jaccard_join")

@@ -188,6 +188,25 @@ def test_one_of_each(docs, rows):
     assert Counter(kept) == want
 
 
+def test_one_of_each_with_repeated_and_missing_ids(spark):
+    rng = random.Random(4)
+    a, b, c, d = (prose(rng, 120) for _ in range(4))
+    near = lambda t, i: " ".join([*t.split()[:-1], f"x{i}"])
+    rows = [(1, a, "p"), (1, b, "p"), (1, " ", "p"), (1, None, "p"), (2, near(a, 1), "p"), (3, near(b, 1), "p"), (4, c, "p"),
+            (4, c, "p"), (4, c, None), *[(None, near(d, i), "p") for i in range(20)], (None, "", "p"), (None, None, "p")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    results = []
+    for parts in (1, 5):
+        kept = [tuple(r) for r in ngram_join.one_of_each(frame.repartition(parts)).collect()]
+        results.append(Counter(kept))
+        assert Counter(r for r in kept if r[0] == 1) == Counter(rows[:4])  # different components, and wordless rows
+        assert not any(r[0] in (2, 3) for r in kept)
+        assert [r[:2] for r in kept if r[0] == 4] == [(4, c)]
+        assert len([r for r in kept if r[0] is None and r[1]]) == 1
+        assert len([r for r in kept if r[0] is None and not r[1]]) == 2
+    assert results[0] == results[1]
+
+
 def test_trie_walk_equals_set_arithmetic():
     rng = np.random.default_rng(3)
     for _ in range(30):
