@@ -3,12 +3,18 @@
 Three base patterns mark assignments to fixed names, access key ids and hex runs.
 Beyond them, a small lexer reads source and configuration syntax (``name = value``, ``name: value``,
 ``"name" => value``, typed declarations, ``+`` between parts) into pairs of a target name and
-literals.  A value that is a name stands for the literals assigned to that name, so constants
+literals.  A target may be subscripted (``env["NAME"] =``, ``char name[] =``).  A value may stand in brackets, carry a
+prefix (``b"..."``), be a list, a string or block of several lines, and go on over line ends after a sign, an opening
+bracket, an operator or a backslash.  A value that is a name stands for the literals assigned to that name, so constants
 propagate, forwards and backwards, to every name that ends up holding them.  A literal scores by
 how sensitive its most sensitive target name is and by how much it looks like a secret.
 
 A text is read by the lexer only if it holds both an assignment sign and part of a sensitive name;
-no other text can yield a pair that scores.  Of such a text only lines with an assignment sign are lexed.
+no other text can yield a pair that scores.  Such a text is lexed as a whole, once.  What a multi-line string holds is
+lexed like any other text too, so its inner pairs are found besides the string itself.
+
+Limits: an unquoted value ends at white space; without a digit it counts only where it is no plain name (symbols inside,
+letter case that changes like a random string's) or is the whole of a ``NAME=value`` line; arguments of calls are not values.
 
 Edge cases: NULL text is empty and has no secrets (its redacted text stays NULL); repeated rows are scanned separately; an
 empty table gives an empty result; other columns stay as they are.  Lexing is linear in a text's length.
@@ -50,12 +56,20 @@ PLACEHOLDER = re.compile(r"(?i)^(x+|\*+|\.+|<.*>|\$\{.*\}|\$\w+|%.*%|\{\{.*\}\}|
 MIN_LITERAL = 6
 MIN_SCORE = 0.5
 
-TOKEN = re.compile(r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\\n]|\\.)*`)"""
+#: Tokens but strings; three quotes are one token, so that strings of several lines never hide what follows.
+TOKEN = re.compile(r"""(?P<fence>\"{3}|'{3}|`{3})|(?P<newline>\n)"""
                    r"""|(?P<sign>=>|:=|==+|!=|<=|>=|=|:)|(?P<plus>\+)"""
-                   r"""|(?P<bare>[A-Za-z0-9_$@%^&*!?~#/|+.-]+)|(?P<space>[ \t]+)|(?P<other>.)""")
+                   r"""|(?P<bare>[A-Za-z0-9_$@%^&*!?~#/|+.-]+)|(?P<space>[ \t\r]+)|(?P<other>.)""", re.DOTALL)
+INSIDE = {q: re.compile(rf"[^{q}\\\n]*(?:\\.[^{q}\\\n]*)*", re.DOTALL) for q in "\"'`"}
 NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 ASSIGNS = {"=", ":=", "=>", ":"}
+#: Operators between parts of a value, letters right before a quote, heads of YAML blocks, NAME=value lines.
+JOINS = {"+", ".", "..", "&", "||", "??", "or"}
+PREFIX = re.compile(r"[A-Za-z@$]{0,2}8?#*\Z")
+BLOCK = re.compile(r"[ \t]*[|>][-+0-9]{0,2}[ \t]*(?:#[^\n]*)?\r?\n")
+SETTING = re.compile(r"(?:export[ \t]+)?[A-Z][A-Z0-9_]*=\Z")
+OPENING, CLOSING = set("([{"), set(")]}")
 
 
 def name_weight(name: str) -> float:
@@ -65,58 +79,201 @@ def name_weight(name: str) -> float:
     return max((NAME_WEIGHTS.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
+def looks_random(value: str) -> bool:
+    """Whether an unquoted value is no plain name: it holds a digit, a symbol inside, or changes case like a random string."""
+    if any(c.isdigit() for c in value) or any(c in "@%^&*!?~#|+" for c in value[1:-1].rstrip("?!")):
+        return True
+    parts = PART.findall(value)
+    return len(parts) >= 4 and len(value) < 3 * len(parts)
+
+
 def literal_weight(value: str, quoted: bool) -> float:
-    """How much a literal looks like a secret, 0 to 1: its bits of entropy against 48."""
-    if len(value) < MIN_LITERAL or PLACEHOLDER.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    if not quoted and not any(c.isdigit() for c in value):
+    """How much a literal looks like a secret, 0 to 1: its bits of entropy against 48.
+
+    One with white space weighs 0.8 at most: under a name that only may be a secret's (``key``) it is taken for prose.
+    """
+    if len(value) < MIN_LITERAL or PLACEHOLDER.match(value) or not quoted and not looks_random(value):
         return 0.0
     n = len(value)
     bits = -sum(c * math.log2(c / n) for c in Counter(value).values())
-    return min(1.0, bits / 48 + 0.25)
+    return min(0.8 if any(c.isspace() for c in value) else 1.0, bits / 48 + 0.25)
+
+
+def lex(text: str) -> list[tuple[str, str, int]]:
+    """``(kind, text, start)`` of all tokens but spaces.  A quote that its line does not close is a token of its own."""
+    tokens, at, dead = [], 0, dict.fromkeys(INSIDE, -1)  # no string of a quote closes before dead[quote]
+    while at < len(text):
+        c = text[at]
+        if c in INSIDE and at >= dead[c] and not text.startswith(c * 3, at):
+            end = INSIDE[c].match(text, at + 1).end()
+            if end < len(text) and text[end] == c:
+                tokens.append(("string", text[at:end + 1], at))
+                at = end + 1
+                continue
+            dead[c] = end
+        m = TOKEN.match(text, at)
+        if m.lastgroup != "space":
+            tokens.append((m.lastgroup, m[0], at))
+        at = m.end()
+    return tokens
+
+
+class Pairs:
+    """Reads a text's pairs ``(name, values)``; a value is ``(text, start, end, kind)``: quoted, bare (it may be a
+    reference), plain (unquoted, all of a setting) or apart (unquoted, all of the line after its name or one of a list)."""
+
+    def __init__(self, text: str):
+        self.text, self.tokens, self.pairs = text, lex(text), []
+        self.unclosed, self.block_end = set(), 0
+        i = 0
+        while i < len(self.tokens):
+            i = self.read(i)
+
+    def kind(self, i: int) -> str:
+        return self.tokens[i][0] if i < len(self.tokens) else ""
+
+    def word(self, i: int) -> str:
+        return self.tokens[i][1] if i < len(self.tokens) else ""
 
+    def name(self, i: int) -> str:
+        name = self.word(i)[1:-1] if self.kind(i) == "string" else self.word(i)
+        return name if self.kind(i) in ("string", "bare") and NAME.match(name) else ""
 
-def lex_line(line: str, start: int) -> list[tuple[str, list]]:
-    """Pairs of one line: ``(name, values)``; a value is ``(text, start, end, quoted)``."""
-    tokens = [(m.lastgroup, m[0], start + m.start()) for m in TOKEN.finditer(line) if m.lastgroup != "space"]
-    pairs, i = [], 0
-    while i + 2 < len(tokens):
-        kind, text, _ = tokens[i]
-        name = text[1:-1] if kind == "string" else text
-        if kind not in ("string", "bare") or not NAME.match(name) or tokens[i + 1][1] not in ASSIGNS:
+    def sign(self, i: int) -> int:
+        """The place of the assignment sign of a target at ``i``, else 0: ``name =``, ``name[] =``, ``name[x] =``, ``name] =``."""
+        if not self.name(i):
+            return 0
+        for shape in ("", "]", "[]", "[x]"):
+            if (all(x == "x" and self.kind(j) in ("string", "bare") or x == self.word(j) for j, x in enumerate(shape, i + 1))
+                    and self.word(i + 1 + len(shape)) in ASSIGNS):
+                return i + 1 + len(shape)
+        return 0
+
+    def prefix(self, i: int) -> bool:
+        """Whether a string's prefix stands at ``i``."""
+        return bool(PREFIX.match(self.word(i))) and self.kind(i + 1) in ("string", "fence") and (
+            self.tokens[i + 1][2] == self.tokens[i][2] + len(self.word(i)))
+
+    def skip(self, i: int) -> int:
+        while self.kind(i) == "newline":
             i += 1
-            continue
-        j = i + 2
-        if (tokens[i + 1][1] == ":" and j + 1 < len(tokens) and tokens[j][0] == "bare"
-                and tokens[j + 1][1] == "="):  # name: type = value
-            j += 2
-        values = []
-        while j < len(tokens) and tokens[j][0] in ("string", "bare"):
-            kind, text, at = tokens[j]
-            values.append((text[1:-1], at + 1, at + len(text) - 1, True) if kind == "string"
-                          else (text, at, at + len(text), False))
-            j += 1
-            if j + 1 < len(tokens) and tokens[j][0] == "plus":
-                j += 1
+        return i
+
+    def read(self, i: int) -> int:
+        """Take the pair that starts at token ``i``, if any, and give the place to go on."""
+        sign = self.sign(i)
+        if not sign:
+            return i + 1
+        names, j = [self.name(i)], sign + 1
+        if sign == i + 4 and self.name(i + 2):  # config["name"] = value: either name may be the telling one
+            names.append(self.name(i + 2))
+        if self.word(sign) == ":" and self.kind(j) == "bare" and self.word(j + 1) == "=":  # name: type = value
+            sign, j = j + 1, j + 2
+        values, j = self.block(i, sign) or self.values(i, sign, j)
+        self.pairs += [(n, values) for n in names if values]
+        # a bare value may itself be the next target: name = other = "x"
+        return j - 1 if values and values[-1][2] > self.tokens[sign][2] and self.word(j) in ASSIGNS else max(j, sign + 1)
+
+    def block(self, i: int, sign: int):
+        """A YAML block: the deeper lines after ``name: |``.  Its inside is lexed as well."""
+        start = self.tokens[sign][2] + 1
+        head = BLOCK.match(self.text, start) if self.word(sign) == ":" and start >= self.block_end else None
+        if not head:
+            return None
+        indent = lambda line: len(line) - len(line.lstrip(" \t"))
+        first = self.text.rfind("\n", 0, self.tokens[i][2]) + 1
+        outer, at = indent(self.text[first:self.tokens[i][2] + 1]), head.end()
+        while at < len(self.text):
+            stop = (self.text.find("\n", at) + 1) or len(self.text)
+            line = self.text[at:stop]
+            if line.strip() and indent(line) <= outer:
+                break
+            at = stop
+        self.block_end = at
+        return self.whole(head.end(), at), sign + 1
+
+    def whole(self, start: int, end: int) -> list:
+        """The text from ``start`` to ``end`` without outer white space as one quoted value."""
+        inside = self.text[start:end]
+        start += len(inside) - len(inside.lstrip())
+        inside = inside.strip()
+        return [(inside, start, start + len(inside), "quoted")] if inside else []
+
+    def closed(self, quote: str, start: int) -> int:
+        """Where the quote that opened before ``start`` closes, -1 if nowhere."""
+        end = -1 if quote in self.unclosed else self.text.find(quote, start)
+        while end > 0 and self.text[end - 1] == "\\" and (end - len(self.text[start:end].rstrip("\\")) - start) % 2:
+            end = self.text.find(quote, end + 1)
+        if end < 0:
+            self.unclosed.add(quote)
+        return end
+
+    def values(self, i: int, sign: int, j: int) -> tuple[list, int]:
+        """The values from token ``j`` on, and the place after them."""
+        values, depth, listed, wanted = [], 0, False, True  # wanted: a value may come; else only what joins or closes
+        while j < len(self.tokens):
+            kind, text, at = self.tokens[j]
+            if kind == "newline":
+                after = self.skip(j)
+                if not (wanted or depth or self.word(after) == "+"):
+                    break
+                if not depth and (self.sign(after) or self.kind(after) == "fence" and self.word(sign) == ":"):
+                    break  # a target, or the description of what the line before begins
+                if not depth and not values and self.kind(after) == "bare" and self.kind(after + 1) in ("newline", ""):
+                    _, text, at = self.tokens[after]
+                    if at > self.tokens[after - 1][2] + 1:  # indented, as in YAML
+                        values.append((text, at, at + len(text), "apart"))
+                    return values, after
+                if not depth and not values and self.kind(after) == "bare" and not self.prefix(after):
+                    break
+                j = after
+            elif text == "\\" and self.kind(j + 1) == "newline":
+                j += 2
+            elif kind == "fence" or text == "`":  # a string of several lines: taken whole, its inside is lexed as well
+                end = self.closed(text, at + len(text)) if wanted else -1
+                return values + (self.whole(at + len(text), end) if end >= 0 else []), j + 1
+            elif kind == "string":
+                if depth and (self.word(j + 1) in ASSIGNS) or not (wanted or self.kind(j - 1) in ("string", "newline")):
+                    break
+                values.append((text[1:-1], at + 1, at + len(text) - 1, "quoted"))
+                wanted, j = False, j + 1
+            elif text in JOINS and values and not wanted:
+                wanted, j = True, j + 1
+            elif kind == "bare" and wanted:
+                if self.prefix(j):
+                    j += 1
+                    continue
+                if depth and (self.word(j + 1) in ASSIGNS):
+                    break
+                values.append((text, at, at + len(text), "plain" if self.setting(i, sign, j) else "bare"))
+                wanted, j = False, j + 1
+            elif text in OPENING and wanted:
+                depth, j = depth + 1, j + 1
+            elif text in CLOSING and depth:
+                depth, wanted, j = depth - 1, False, j + 1
+            elif text in (",", ";") and depth and not wanted:
+                wanted, listed, j = True, True, j + 1
             else:
                 break
-        if values:
-            pairs.append((name, values))
-        # a bare value may itself be the next target: name = other = "x"
-        i = j - 1 if values and j < len(tokens) and tokens[j][1] in ASSIGNS else max(j, i + 2)
-    return pairs
+        if listed or depth:  # a list, or an expression that goes on
+            values = [(*v, "apart" if kind == "bare" else kind) for *v, kind in values]
+        return values, j
+
+    def setting(self, i: int, sign: int, j: int) -> bool:
+        """Whether ``NAME=value`` at token ``j`` fills its line, as in environment files."""
+        _, text, at = self.tokens[j]
+        if sign != i + 1 or j != sign + 1 or self.kind(j + 1) not in ("newline", "") or at != self.tokens[sign][2] + 1:
+            return False
+        k = i - 1 if self.word(i - 1) == "export" and i else i
+        return (not k or self.kind(k - 1) == "newline") and bool(SETTING.match(self.text, self.tokens[k][2], at))
 
 
 def literal_spans(text: str) -> list[tuple[int, int]]:
     """Spans of literals that reach a sensitive target name."""
-    pairs, at = [], 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line:
-            pairs.extend(lex_line(line, at))
-        at += len(line) + 1
+    pairs = Pairs(text).pairs
     takes: dict[str, list[str]] = {}  # a target name -> the names it takes its value from
     for name, values in pairs:
-        takes.setdefault(name, []).extend(v for v, _, _, quoted in values if not quoted)
+        takes.setdefault(name, []).extend(v for v, _, _, kind in values if kind in ("bare", "plain"))
     # a constant weighs as much as the most sensitive name that it flows to: heaviest names first, each name is
     # reached once
     weights: dict[str, float] = {}
@@ -129,10 +286,10 @@ def literal_spans(text: str) -> list[tuple[int, int]]:
                 todo.extend(takes[name])
     spans = []
     for name, values in pairs:
-        for value, start, end, quoted in values:
-            if not quoted and value in takes:
+        for value, start, end, kind in values:
+            if kind in ("bare", "plain") and value in takes:
                 continue  # a reference: its literals carry the names
-            if weights[name] * literal_weight(value, quoted) >= MIN_SCORE:
+            if weights[name] * literal_weight(value, kind in ("quoted", "plain")) >= MIN_SCORE:
                 spans.append((start, end))
     return spans
 

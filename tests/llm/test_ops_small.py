@@ -408,6 +408,42 @@ def test_secret_literals_and_redaction():
     assert secrets.redact(clean) == clean
 
 
+def test_secret_values_over_lines_brackets_and_subscripts():
+    find = lambda t: [t[v:e] for _, e, k, v in secrets.find_secrets(t) if k == "literal"]
+    lit = "q8Zr7LmN2x"
+    for text in (f'db_pwd = (\n    "{lit}"\n)', f'db_pwd = \\\n    "{lit}"', f'db_pwd =\r\n  "{lit}"', f'{{"db_pwd":\n\n  "{lit}"}}',
+                 f"db_pwd:\n  {lit}\nport: 80", f"db_pwd: |\n  {lit}\nport: 80", f'db_pwd = """\n{lit}\n"""', f"db_pwd = `\n{lit}\n`",
+                 f'db_pwd = ("{lit}")', f'db_pwd = b"{lit}"', f"db_pwd = rb'{lit}'", f'db_pwd = ["{lit}"]', f'db_pwd = env || "{lit}"',
+                 f'os.environ["AWS_KEY_AUTH"] = "{lit}"', f"$config['db_pass'] = '{lit}';", f'char pwd[] = "{lit}";',
+                 f'char pwd[32] = "{lit}";', f'pwd["bob"] = "{lit}"', f'K = (\n "{lit}"\n)\npwd = K', f"export DB_PWD={lit}",
+                 f'text = """\ndb_pwd = "{lit}"\n"""', f'```\ndb_pwd = "{lit}"\n```', f"it's\ndb_pwd = '{lit}'\nit's"):
+        assert find(text) == [lit], text
+    assert find('db_pwd = "correct horse battery staple"') == ["correct horse battery staple"]
+    assert find(f'db_pwd = "{lit}" +\n  "{lit[::-1]}"\n  + "ab{lit}"') == [lit, lit[::-1], "ab" + lit]
+    assert find(f'db_pwd = (\n "{lit}"\n "x{lit}",\n)') == [lit, "x" + lit]
+    assert find("DB_PWD=correcthorse\nX=1") == ["correcthorse"]
+    assert find("db_pwd: QzXvRtYpLmWk") == ["QzXvRtYpLmWk"] and find("db_pwd: abc!defg@hij") == ["abc!defg@hij"]
+    pem = "-----BEGIN KEY-----\n  MIIEvQIBADANBgkq\n  -----END KEY-----"
+    assert find(f"private_key: |-\n  {pem}\nnext: 1") == [pem]
+    for clean in ('key = "the usual words of some text"', f'DB_PWD=\nOTHER_NAME={lit}', f'pwd:\n  label: {lit}', "pwd = get_password(user)",
+                  f'pwd = (\n)\n"{lit}"', f'pwd = None\n"{lit}"', f'pwd = f(\n  "{lit}")', f'pwd = {{"label": "{lit}"}}',
+                  "auth: whatever!", "if pwd:\n    return value",
+                  'if pwd:\n    return\nreturn = "x-words-9z"', 'def f(pwd: T) -> T:\n    """Some description."""'):
+        assert find(clean) == [], clean
+
+
+def test_secret_lexer_is_linear():
+    import time
+    for piece in ('\\"', '"', "'" * 3, '\\"""', "`", "pwd = `", 'pwd = """ ', "pwd = (", "pwd: |\n ", "pwd[a]", "pwd =\n", "pwd = \\\n", "pwd = 'a' + "):
+        took = []
+        for n in (20_000, 80_000):
+            text = "pwd = 1 " + piece * (n // len(piece))
+            start = time.process_time()
+            secrets.find_secrets(text)
+            took.append(time.process_time() - start)
+        assert took[1] < 10 * took[0] + 0.5, (piece, took)
+
+
 # --- 9 toxicity ------------------------------------------------------------------------------------------------
 
 def test_toxicity_edges(spark, docs, none, rows):
