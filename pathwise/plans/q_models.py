@@ -31,6 +31,11 @@ def training_frame(spark, sf):
                     "subject_strength", "subject_weakness")
 
 
+def labelled_frame(spark, sf):
+    """The training frame's learners with a label: others can neither train nor measure a model."""
+    return training_frame(spark, sf).filter(F.col(LABEL).isNotNull())
+
+
 def _rf(n=40, d=8):
     return M.random_forest(LABEL, K.NUMERIC_FEATURES, num_trees=n, max_depth=d)
 
@@ -78,16 +83,15 @@ def m06(spark, sf):
 
 @register("m07_learning_curve")
 def m07(spark, sf):
-    return M.learning_curve(training_frame(spark, sf), "student_id", LABEL, _rf(10, 5),
-                            sizes=(0.2, 0.6, 1.0), folds=3)
+    return M.learning_curve(labelled_frame(spark, sf), "student_id", LABEL, _rf(10, 5))
 
 
 @register("m08_m09_permutation_importance")
 def m08(spark, sf):
-    d = training_frame(spark, sf)
+    d = labelled_frame(spark, sf)
     model = _rf(20, 6).fit(d.filter("is_train"))
     imp = M.permutation_importance(model, d.filter("NOT is_train"), "student_id", LABEL,
-                                   ["quiz_score", "attendance", "assignment_score", "engagement_score"], repeats=2)
+                                   K.NUMERIC_FEATURES)
     chosen = M.select_feature_subset(imp, 16)
     return imp.withColumn("selected", F.col("feature").isin(chosen) if chosen else F.lit(False))
 
@@ -107,8 +111,9 @@ def m10(spark, sf):
 def m12(spark, sf):
     ev = C.rated_events(spark, sf).filter(F.col("item_id").isNotNull()).withColumn(
         "interaction_weight", S.interaction_weight("event_type"))
-    uf, itf = M.implicit_factors(ev, "user_id", "item_id", "interaction_weight", rank=8, iters=5)
-    return itf.select("item_id", F.size("vector").alias("dim"))
+    uf, itf = M.implicit_factors(ev, "user_id", "item_id", "interaction_weight")
+    side = lambda df, name, key: df.select(F.lit(name).alias("side"), F.col(key).cast("string").alias("id"), "vector")
+    return side(uf, "user", "user_id").unionByName(side(itf, "item", "item_id"))
 
 
 @register("m13_content_vectors")

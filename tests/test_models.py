@@ -39,3 +39,23 @@ def test_content_vectors_tell_texts_apart(spark):
     rows = [(i, ("river lake water ocean " if i % 2 else "engine motor wheel brake ") * 5) for i in range(10)]
     got = {r.d: np.asarray(r.vector) for r in M.content_vectors(spark.createDataFrame(rows, "d long, t string"), "d", "t", k=2, width=64).collect()}
     assert np.linalg.norm(got[0] - got[2]) < 1e-6 < np.linalg.norm(got[0] - got[1])
+
+
+def test_registered_model_queries_do_the_operators_whole_job(spark, monkeypatch):
+    from pathwise.functions import constants as K
+    from pathwise.plans import q_models as Q
+    from conftest import SF
+    asked = {}
+    monkeypatch.setattr(M, "permutation_importance", lambda model, df, key, label, cols, repeats=5: asked.update(
+        cols=list(cols), repeats=repeats) or spark.createDataFrame([(c, 1.0, 0.0) for c in cols], "feature string, importance_mean double, importance_std double"))
+    curve = M.learning_curve
+    monkeypatch.setattr(M, "learning_curve", lambda *a, **kw: asked.update(curve=kw) or a[0])
+    assert Q.m08(spark, SF).count() == len(K.NUMERIC_FEATURES) and asked["repeats"] == 5 and asked["cols"] == K.NUMERIC_FEATURES
+    Q.m07(spark, SF)
+    assert asked["curve"] == {} and len(curve.__defaults__[0]) == 6 and curve.__defaults__[1] == 5
+    frame = Q.training_frame(spark, SF)
+    monkeypatch.setattr(Q, "training_frame", lambda *a: frame.withColumn(Q.LABEL, F.when(F.col("student_id") % 7 > 0, F.col(Q.LABEL))))
+    assert Q.m08(spark, SF).count() == len(K.NUMERIC_FEATURES) and Q.m07(spark, SF).filter(F.col(Q.LABEL).isNull()).count() == 0
+    rows = Q.m12(spark, SF).collect()
+    assert {r.side for r in rows} == {"user", "item"} and all(len(r.vector) == 32 for r in rows)
+    assert len({(r.side, r.id) for r in rows}) == len(rows)
