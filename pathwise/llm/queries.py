@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from pathwise.llm import chat, langid, mixing, ngram_join, packing, quality, secrets, sharding, topk, toxicity  # noqa: F401
+from pathwise.llm import (  # noqa: F401
+    chat, langid, mixing, ngram_join, packing, quality, secrets, sharding, topk, toxicity, urlfilter,
+)
 from pathwise.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
 register("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
