@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from pathwise.llm import (  # noqa: F401
-    chat, langid, manifest, mixing, ngram_join, packing, quality, secrets, sharding, topk, toxicity, urlfilter,
+    chat, langid, manifest, mixing, ngram_join, packing, quality, secrets, sharding, spelling, topk, toxicity, urlfilter,
 )
 from pathwise.llm.registry import ORACLES, QUERIES, register  # noqa: F401
 
