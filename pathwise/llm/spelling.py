@@ -143,9 +143,10 @@ def groups(words: DataFrame) -> DataFrame:
         a, b = F.col("a"), F.col("b")
         to_end = b < 0
         middle = F.when(to_end, F.greatest(a * 2, F.lit(1))).otherwise(F.floor((a + b) / 2))
-        kept = [_entry(a, middle, F.col("longer"), ~to_end & F.when(F.col("longer"), size > middle).otherwise(size >= a)),
-                _entry(middle, b, F.col("longer"), ~to_end & (size >= middle)),
-                *[F.when(to_end, x) for x in _inner(a, middle, size)], _entry(middle, end, False, to_end & (size >= middle))]
+        inner, longer = ~to_end, F.col("longer")
+        once = inner & ~longer & (size <= b)  # stood for both roles so far
+        kept = [_entry(a, middle, longer, inner & ~once), _entry(middle, b, longer, inner & (size >= middle)),
+                *[F.when(to_end | once, x) for x in _inner(a, middle, size)], _entry(middle, end, False, to_end & (size >= middle))]
         rows = keyed.join(large, KEY, "left_semi").select("word", "n", _entries(kept).alias("w"))
     out = parts[0]
     for part in parts[1:]:
