@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import table
+from pathwise.llm.common import id_text, ids_back, table
 from pathwise.llm.registry import register
 
 
@@ -122,7 +122,8 @@ def _ordered(convs: DataFrame) -> DataFrame:
     rows = convs.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"),
                         F.coalesce("text", F.lit("")).alias("text"))
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    dealt = rows.repartition(n, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    return dealt.select(id_text("conv_id"), "role", "text")
 
 
 def format_segments(convs: DataFrame, template: Template = Template()) -> DataFrame:
@@ -133,18 +134,16 @@ def format_segments(convs: DataFrame, template: Template = Template()) -> DataFr
         for frame in frames:
             out = []
             for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"]):
-                conv = None if pd.isna(conv) else int(conv)
                 if conv != current:
                     current, turn_no, seq = conv, 0, 0
                 for piece, loss in segments(role, text, template):
                     out.append((conv, seq, turn_no, piece, loss))
                     seq += 1
                 turn_no += 1
-            rows = pd.DataFrame(out, columns=["conv_id", "seq", "turn_no", "segment", "loss"])
-            rows["conv_id"] = rows["conv_id"].astype("Int64")
-            yield rows
+            yield pd.DataFrame(out, columns=["conv_id", "seq", "turn_no", "segment", "loss"])
 
-    return _ordered(convs).mapInPandas(run, "conv_id long, seq long, turn_no long, segment string, loss boolean")
+    return ids_back(_ordered(convs).mapInPandas(run, "conv_id string, seq long, turn_no long, segment string, loss boolean"),
+                    "conv_id")
 
 
 def format_digests(convs: DataFrame, template: Template = Template()) -> DataFrame:
@@ -168,7 +167,6 @@ def format_digests(convs: DataFrame, template: Template = Template()) -> DataFra
         for frame in frames:
             done = []
             for conv, role, text in zip(frame["conv_id"], frame["role"], frame["text"]):
-                conv = None if pd.isna(conv) else int(conv)
                 if state is None or conv != state["conv_id"]:
                     if state is not None:
                         done.append(row(state))
@@ -189,16 +187,13 @@ def format_digests(convs: DataFrame, template: Template = Template()) -> DataFra
         if state is not None:
             yield _digest_frame([row(state)])
 
-    return _ordered(convs).mapInPandas(
-        run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
-             "formatted_chars long, valid boolean")
+    return ids_back(_ordered(convs).mapInPandas(
+        run, "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
+             "formatted_chars long, valid boolean"), "conv_id")
 
 
 def _digest_frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256",
-                                      "formatted_chars", "valid"])
-    out["conv_id"] = out["conv_id"].astype("Int64")
-    return out
+    return pd.DataFrame(rows, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "valid"])
 
 
 PROBE = "</s>[INST] ok [/INST]"

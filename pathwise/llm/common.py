@@ -29,6 +29,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def id_text(name: str) -> Column:
+    """A whole-number id as text, for the way through pandas.
+
+    A nullable long reaches pandas as float64 as soon as a batch holds a NULL, which rounds ids beyond 2^53;
+    text stays exact.  :func:`ids_back` undoes it.
+    """
+    return F.col(name).cast("long").cast("string").alias(name)
+
+
+def ids_back(df: DataFrame, name: str) -> DataFrame:
+    return df.withColumn(name, F.col(name).cast("long"))
+
+
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

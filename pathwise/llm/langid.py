@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import table
+from pathwise.llm.common import id_text, ids_back, table
 from pathwise.llm.registry import register
 
 DIMS = 1024
@@ -137,7 +137,7 @@ def predict(rows: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
                 p, s = guess(frame["text"].iloc[at:at + CHUNK].tolist())
                 pred += p
                 score += s
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64").values, "held_out": frame["held_out"].values,
+            yield pd.DataFrame({"doc_id": frame["doc_id"].values, "held_out": frame["held_out"].values,
                                 "lang_pred": pred, "score": score})
 
     def guess(texts):
@@ -163,8 +163,8 @@ def predict(rows: DataFrame, langs: list[str], protos: np.ndarray) -> DataFrame:
                 [float(min(1.0, max(0.0, (1 + cosines[i, b]) / 2))) if ok else 0.0
                  for i, (b, ok) in enumerate(zip(best, lettered))])
 
-    return rows.select("doc_id", "held_out", "text").mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return ids_back(rows.select(id_text("doc_id"), "held_out", "text").mapInPandas(
+        run, "doc_id string, held_out boolean, lang_pred string, score double"), "doc_id")
 
 
 def identify(docs: DataFrame) -> DataFrame:

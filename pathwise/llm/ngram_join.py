@@ -34,7 +34,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import table, written
+from pathwise.llm.common import id_text, ids_back, table, written
 from pathwise.llm.graph import components
 from pathwise.llm.registry import register
 
@@ -173,12 +173,12 @@ def sifted_sets(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
                     for at in _places(cut, bits):
                         hit &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                     members.append(s.view(np.int64) if len(s) and hit.sum() >= sift_least(len(s)) else None)
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").values, "n": [len(s) for s in sets],
+                yield pd.DataFrame({"doc_id": part["doc_id"].values, "n": [len(s) for s in sets],
                                     "cid": ids, "members": members, **{k: part[k].values for k in key}})
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text", *key)
-    schema = ", ".join(["doc_id long, n long, cid string, members array<long>", *[f"{k} long" for k in key]])
-    return written(rows.mapInPandas(run, schema), "sets")
+    rows = docs.select(id_text("doc_id"), "text", *key)
+    schema = ", ".join(["doc_id string, n long, cid string, members array<long>", *[f"{k} long" for k in key]])
+    return written(ids_back(rows.mapInPandas(run, schema), "doc_id"), "sets")
 
 
 def numbered_classes(sets: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import exclusive_prefix, table, written
+from pathwise.llm.common import exclusive_prefix, id_text, ids_back, table, written
 from pathwise.llm.registry import register
 
 CAPACITY = 1024
@@ -114,12 +114,10 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, voca
                     cuts = [0, *range(head, len(ids) + 1, capacity)]
                     for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
                         rows.append((doc, p, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                out["doc_id"] = out["doc_id"].astype("Int64")
-                yield out
+                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-            .mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long"))
+    rows = docs.select(id_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return ids_back(rows.mapInPandas(run, "doc_id string, piece int, start long, length long, ids_crc32 long"), "doc_id")
 
 
 def configurations(sizes: list[int], demands: list[int], capacity: int) -> list[tuple[int, list[int]]]:

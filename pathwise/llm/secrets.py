@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import table
+from pathwise.llm.common import id_text, ids_back, table
 from pathwise.llm.registry import register
 
 KINDS = ("assign", "access", "hex", "literal")
@@ -342,12 +342,12 @@ def scan(docs: DataFrame) -> DataFrame:
                 rows.append((n["assign"], n["access"], n["hex"], n["literal"], hashlib.sha256(base.encode()).hexdigest(),
                              ",".join(f"{k}:{s}:{e}" for s, e, k, _ in found)))
             out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "n_literal", "base_sha256", "spans"])
-            out.insert(0, "doc_id", frame["doc_id"].astype("Int64").values)
+            out.insert(0, "doc_id", frame["doc_id"].values)
             yield out
 
-    return (docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-            .mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, n_literal long, "
-                              "base_sha256 string, spans string"))
+    rows = docs.select(id_text("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return ids_back(rows.mapInPandas(run, "doc_id string, n_assign long, n_access long, n_hex long, n_literal long, "
+                                          "base_sha256 string, spans string"), "doc_id")
 
 
 def redacted(text):
