@@ -6,13 +6,16 @@ probabilities are out-of-fold predictions, so a later model learns from the erro
 unseen rows; for scoring they come from the models fitted on all rows.
 
 Features are the presence of words and word stems that tell a category apart (chosen by a chi-square test against its
-labels) and a few ratios of the text.  The classifier is fitted on a bounded sample of labelled rows (the ``SAMPLE``
-rows of least hash); everything else covers all documents.  The model is a table of at most
-``WORDS`` word hashes per category with weights, sent to the tasks.
+labels) and a few ratios of the text.  The classifier is fitted on a bounded sample of labelled documents: at most ``SAMPLE``,
+shared out evenly over the classes (the combinations of labels; a class takes all its rows where it has fewer than its
+share), those of least hash in each.  A row stands for all rows of its class by a weight, so probabilities and thresholds
+hold for the labels as they are, however rare a category is.  Everything else covers all documents.  Words are counted and chosen
+on the executors; the driver receives the chosen words' hashes (at most ``WORDS`` for each category and fold) and one bit
+per sampled row and chosen word.
 
 Edge cases: NULL text is an empty text; labels that are NULL leave that category's training; several labels of a
-document count by their greatest; labels without a document, and repeated documents, do no
-harm; a category without both kinds of labels is predicted at its base rate (0 if unlabelled);
+document count by their greatest; labels without a document do no harm, and of several documents of one id the text of least hash
+is learnt from; a category without both kinds of labels is predicted at its base rate (0 if unlabelled);
 an empty table gives an empty result; other columns stay as they are.
 """
 
@@ -23,19 +26,19 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pandas.util import hash_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwise.llm.common import table, written
 from pathwise.llm.registry import register
 
-SAMPLE = 4_000
+SAMPLE = 16_000
 WORDS = 192
 FOLDS = 3
 MIN_CHI2 = 30.0
 #: Words also count by their first bytes, so that endings unseen in training are known by their stem.
 STEM = 4
-MIN_ROWS = 5
+MIN_ROWS = 2
 RIDGE = 0.1
 #: Categories in chain order: name -> (label column, the label's value that counts as positive).
 CHAIN = {"low_quality": ("quality", 0), "toxic": ("toxic", 1)}
@@ -110,44 +113,32 @@ def presence(hashes, rows, n: int, vocabulary: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose_words(vocabulary, codes, rows, y: np.ndarray, limit: int = WORDS) -> np.ndarray:
-    """Sorted hashes of the words whose presence tells ``y`` apart best; a word stands once in a row."""
-    n, positive = len(y), y.sum()
-    df = np.bincount(codes, minlength=len(vocabulary))
-    both = np.bincount(codes, weights=y[rows], minlength=len(vocabulary))
-    expected = df * positive / max(n, 1)
-    spread = expected * (1 - positive / max(n, 1)) * (1 - df / max(n, 1))
-    chi2 = np.where(spread > 0, (both - expected) ** 2 / np.where(spread > 0, spread, 1), 0)
-    fine = np.flatnonzero((df >= MIN_ROWS) & (chi2 >= MIN_CHI2))
-    best = fine[np.lexsort((vocabulary[fine], -chi2[fine]))][:limit]
-    return np.sort(vocabulary[best])
-
-
-def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut of a fixed grid with the best F1, the middle one of equals."""
-    grid = np.arange(1, 20) / 20
-    f1 = np.asarray([2 * y[p >= t].sum() / max(1e-9, (p >= t).sum() + y.sum()) for t in grid])
+def best_threshold(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The cut of a fixed grid with the best weighted F1, the middle one of equals."""
+    grid = sigmoid(np.arange(-16, 9) / 2)  # even steps of the logit: rare categories need low cuts
+    f1 = np.asarray([2 * (weight * y)[p >= t].sum() / max(1e-9, weight[p >= t].sum() + (weight * y).sum()) for t in grid])
     ties = grid[f1 >= f1.max() - 1e-12]
     return float(ties[len(ties) // 2]) if y.sum() else 0.5
 
 
-def fit_link(hashes, rows, stats, earlier, y, vocabulary) -> Model:
-    """Ridge-penalised logistic regression by Newton steps."""
+def fit_link(present, stats, earlier, y, weight, vocabulary) -> Model:
+    """Ridge-penalised logistic regression by Newton steps; ``present`` has a column per word of ``vocabulary``."""
     dense = np.column_stack([stats, logit(earlier)])
-    scale = dense.std(axis=0)
-    model = Model(vocabulary, dense.mean(axis=0), np.where(scale > 1e-9, scale, 1.0),
-                  np.zeros(dense.shape[1] + len(vocabulary) + 1))
-    base = (y.sum() + 0.5) / (len(y) + 1) if 0 < y.sum() < len(y) else float(y.mean()) if len(y) else 0.0
+    scale = dense.std(axis=0) if len(dense) else np.zeros(dense.shape[1])
+    mean = dense.mean(axis=0) if len(dense) else np.zeros(dense.shape[1])
+    model = Model(vocabulary, mean, np.where(scale > 1e-9, scale, 1.0), np.zeros(dense.shape[1] + len(vocabulary) + 1))
+    positive, all_ = (weight * y).sum(), weight.sum()
+    base = (positive + 0.5) / (all_ + 1) if 0 < y.sum() < len(y) else float(y.mean()) if len(y) else 0.0
     model.weights[-1] = float(logit(np.asarray([base]))[0])
     if not 0 < y.sum() < len(y):
         return model
-    x = model.design(hashes, rows, stats, earlier)
+    x = np.column_stack([(dense - model.mean) / model.scale, present, np.ones(len(y))])
     penalty = np.full(x.shape[1], RIDGE)
     penalty[-1] = 0
-    for _ in range(12):
+    for _ in range(16):
         p = sigmoid(x @ model.weights)
-        gradient = x.T @ (y - p) - penalty * model.weights
-        curve = (x * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ x + np.diag(penalty + 1e-9)
+        gradient = x.T @ (weight * (y - p)) - penalty * model.weights
+        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + np.diag(penalty + 1e-9)
         step = np.linalg.solve(curve, gradient)
         model.weights = model.weights + step * min(1.0, 5 / max(1e-9, np.abs(step).max()))
         if np.abs(step).max() < 1e-3:
@@ -155,79 +146,137 @@ def fit_link(hashes, rows, stats, earlier, y, vocabulary) -> Model:
     return model
 
 
-def _subset(hashes, rows, stats, earlier, keep):
-    """The same arrays for the rows in ``keep`` (a mask), renumbered."""
-    number = np.cumsum(keep) - 1
-    inside = keep[rows]
-    return hashes[inside], number[rows[inside]], stats[keep], earlier[keep]
-
+def fit_chain(present, stats, labels, fold, weight, vocabulary, chosen) -> list[Model]:
+    """One model per column of ``labels`` (NaN: not labelled), in order.
 
-def fit_chain(hashes, rows, stats, labels: np.ndarray, fold: np.ndarray) -> list[Model]:
-    """One model per column of ``labels`` (NaN: not labelled), in order; ``hashes`` are distinct within a row.
-
-    A category's threshold is the best one for its out-of-fold predictions.
+    ``present`` has a 0/1 column for each hash of ``vocabulary`` (sorted); ``chosen[category, fold]`` are the words of
+    the model that leaves ``fold`` out (-1: none).  A category's threshold is the best one for its out-of-fold predictions.
     """
-    vocabulary, df = np.unique(hashes, return_counts=True)
-    vocabulary = vocabulary[df >= MIN_ROWS]  # rarer words are never chosen
-    codes = np.searchsorted(vocabulary, hashes)
-    codes[codes == len(vocabulary)] = 0
-    often = vocabulary[codes] == hashes if len(vocabulary) else np.zeros(len(hashes), dtype=bool)
-    hashes, rows, codes = hashes[often], rows[often], codes[often]
     models, earlier = [], np.zeros((len(stats), 0))
-
-    def link(keep, y):
-        part = _subset(hashes, rows, stats, earlier, keep)
-        return fit_link(*part, y[keep], choose_words(vocabulary, codes[keep[rows]], part[1], y[keep]))
-
     for j in range(labels.shape[1]):
         y = labels[:, j]
         known = ~np.isnan(y)
+
+        def link(keep, left_out):
+            words_ = np.sort(chosen.get((j, left_out), np.zeros(0, dtype=np.uint64)))
+            at = np.searchsorted(vocabulary, words_)
+            return fit_link(present[np.ix_(keep, at)], stats[keep], earlier[keep], y[keep], weight[keep], words_), at
+
         held = np.zeros(len(stats))
         for f in range(FOLDS):
             test = fold == f
-            held[test] = link(known & ~test, y).predict(*_subset(hashes, rows, stats, earlier, test))
-        models.append(link(known, y))
-        models[-1].threshold = best_threshold(held[known], y[known])
+            model, at = link(known & ~test, f)
+            dense = (np.column_stack([stats[test], logit(earlier[test])]) - model.mean) / model.scale
+            held[test] = sigmoid(np.column_stack([dense, present[np.ix_(test, at)], np.ones(test.sum())]) @ model.weights)
+        models.append(link(known, -1)[0])
+        models[-1].threshold = best_threshold(held[known], y[known], weight[known])
         earlier = np.column_stack([earlier, held])
     return models
 
 
-def fit(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, sample: int = SAMPLE) -> list[Model]:
-    """The chain, fitted on the ``sample`` labelled documents of least hash."""
+def shares(counts: dict, sample: int) -> dict:
+    """How many rows each class gives: all up to an even share, what small classes leave goes to the others."""
+    left, out = sample, {}
+    for i, (name, n) in enumerate(sorted(counts.items(), key=lambda c: (c[1], str(c[0])))):
+        out[name] = min(n, left // (len(counts) - i))
+        left -= out[name]
+    return out
+
+
+def sampled_labels(docs: DataFrame, labels: DataFrame, chain: dict, sample: int) -> DataFrame:
+    """``id, fold, weight, y, text``: at most ``sample`` labelled documents; written."""
     columns = [F.max(F.when(F.col(c).isNotNull(), (F.col(c) == v).cast("double"))).alias(f"y_{name}")
                for name, (c, v) in chain.items()]
-    picked = (labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*columns)
-              .withColumnRenamed("doc_id", "label_id")
-              .orderBy(F.xxhash64("label_id"), "label_id").limit(sample))
     names = [f"y_{c}" for c in chain]
-    # at most `sample` rows are broadcast; repeated documents are left to the sort below
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("label_id"))
+    known = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(*columns)
+    there = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("id")).distinct()
+    kind = F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in names])
+    known = written(known.join(there, "id", "left_semi").select("id", *names, kind.alias("kind"), F.xxhash64("id").alias("hash")),
+                    "toxicity-labels")
+    counts = {r["kind"]: r["count"] for r in known.groupBy("kind").count().collect()}  # at most three values a category
+    parts = [known.filter(F.col("kind") == k).orderBy("hash", "id").limit(n).withColumn("weight", F.lit(counts[k] / n))
+             for k, n in shares(counts, sample).items() if n]
+    if not parts:
+        parts = [known.limit(0).withColumn("weight", F.lit(1.0))]
+    picked = parts[0]
+    for part in parts[1:]:
+        picked = picked.unionByName(part)
+    # at most `sample` rows are broadcast
+    rows = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(picked), "id")
+    text = F.coalesce("text", F.lit(""))
+    return written(rows.groupBy("id", "weight", *names).agg(F.min_by(text, F.struct(F.xxhash64(text), text)).alias("text"))
+                   .select("id", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "weight",
+                           F.array(*names).alias("y"), "text"), "toxicity-sample")
+
+
+def chosen_words(features: DataFrame, categories: int, limit: int = WORDS) -> dict:
+    """``(category, fold left out) -> word hashes``: those whose presence tells the category apart best.
+
+    Counted for all words of ``features(fold, y, words)`` on the executors.
+    """
+    pairs = [(j, f) for j in range(categories) for f in range(FOLDS)]
+    known = lambda j, f: F.when((F.col("fold") == f) & F.col("y")[j].isNotNull(), 1).otherwise(0)
+    hit = lambda j, f: F.when((F.col("fold") == f) & (F.col("y")[j] == 1), 1).otherwise(0)
+    sums = [F.sum(g(j, f)).alias(f"{c}_{j}_{f}") for j, f in pairs for c, g in (("n", known), ("p", hit))]
+    totals = features.agg(*sums).first()
+    per_word = features.select("fold", "y", F.explode("words").alias("word")).groupBy("word").agg(*sums)
+
+    def model(j, left_out):
+        folds = [f for f in range(FOLDS) if f != left_out]
+        n, positive = (sum(totals[f"{c}_{j}_{f}"] or 0 for f in folds) for c in "np")
+        df, both = (sum((F.col(f"{c}_{j}_{f}") for f in folds), F.lit(0)) for c in "np")
+        expected = df * (positive / max(n, 1))
+        spread = expected * (1 - positive / max(n, 1)) * (1 - df / max(n, 1))
+        chi2 = F.when(spread > 0, (both - expected) * (both - expected) / spread)
+        return F.when((df >= MIN_ROWS) & (chi2 >= MIN_CHI2), F.struct(F.lit(j).alias("j"), F.lit(left_out).alias("f"), chi2.alias("chi2")))
+
+    each = [model(j, f) for j in range(categories) for f in (-1, *range(FOLDS))]
+    fine = written(per_word.select("word", F.explode(F.array_compact(F.array(*each))).alias("m")).select("word", "m.*"), "toxicity-words")
+    best = Window.partitionBy("j", "f").orderBy(F.desc("chi2"), "word")
+    out: dict = {}
+    for r in fine.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit).collect():
+        out.setdefault((r["j"], r["f"]), []).append(r["word"])
+    return {k: np.asarray(v, dtype=np.int64).view(np.uint64) for k, v in out.items()}
+
+
+def fit(docs: DataFrame, labels: DataFrame, chain: dict = CHAIN, sample: int = SAMPLE) -> list[Model]:
+    """The chain, fitted on at most ``sample`` labelled documents."""
 
     def read(frames):
         for frame in frames:
-            hashes, at, stats = text_features(frame["text"].tolist())
-            bounds = np.searchsorted(at, np.arange(len(frame) + 1))
-            yield pd.DataFrame({
-                "id": frame["doc_id"].to_numpy(), "y": list(frame[names].to_numpy(dtype=float)), "stats": list(stats),
-                "words": [np.unique(hashes[a:b]).astype(np.int64) for a, b in zip(bounds, bounds[1:])]})
-
-    got = rows.mapInPandas(read, "id long, y array<double>, stats array<double>, words array<long>")
-    got = written(got.orderBy("id").limit(sample).withColumn("row", F.monotonically_increasing_id()), "toxicity-sample")
-    # words too rare to be chosen stay on the executors
-    long = got.select("row", F.explode("words").alias("word"))
-    often = long.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") >= MIN_ROWS)
-    kept = long.join(often, "word").groupBy("row").agg(F.collect_list("word").alias("words"))
-    got = (got.drop("words").join(kept, "row", "left")
-           .withColumn("words", F.coalesce("words", F.array().cast("array<long>"))).orderBy("row").toPandas())
-    if not len(got):
+            for part in (frame.iloc[a:a + 512] for a in range(0, len(frame), 512)):
+                hashes, at, stats = text_features(part["text"].tolist())
+                bounds = np.searchsorted(at, np.arange(len(part) + 1))
+                yield pd.DataFrame({
+                    "id": part["id"].to_numpy(), "fold": part["fold"].to_numpy(), "weight": part["weight"].to_numpy(),
+                    "y": part["y"].to_numpy(), "stats": list(stats),
+                    "words": [np.unique(hashes[a:b]).astype(np.int64) for a, b in zip(bounds, bounds[1:])]})
+
+    got = sampled_labels(docs, labels, chain, sample).mapInPandas(
+        read, "id long, fold int, weight double, y array<double>, stats array<double>, words array<long>")
+    got = written(got, "toxicity-features")
+    chosen = chosen_words(got, len(chain))
+    vocabulary = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *chosen.values()]))
+    signed = vocabulary.view(np.int64)
+
+    def mark(frames):
+        order = np.argsort(signed, kind="stable")
+        for frame in frames:
+            bits = []
+            for words_ in frame["words"]:
+                row = np.zeros(len(signed), dtype=np.uint8)
+                row[order] = np.isin(signed[order], np.asarray(words_, dtype=np.int64))
+                bits.append(np.packbits(row).tobytes())
+            yield frame.drop(columns="words").assign(bits=bits)
+
+    rows = (got.mapInPandas(mark, "id long, fold int, weight double, y array<double>, stats array<double>, bits binary")
+            .orderBy("id").toPandas())
+    if not len(rows):
         return [Model(np.zeros(0, np.uint64), np.zeros(5 + j), np.ones(5 + j), np.append(np.zeros(5 + j), -30.0))
-                for j in range(len(names))]
-    hashes = np.concatenate([np.asarray(w, dtype=np.int64).view(np.uint64) for w in got["words"]])
-    at = np.repeat(np.arange(len(got), dtype=np.int32), [len(w) for w in got["words"]])
-    stats = np.stack([np.asarray(s, dtype=float) for s in got["stats"]])
-    y = np.stack([np.asarray([np.nan if v is None else v for v in r], dtype=float) for r in got["y"]])
-    fold = hash_array(got["id"].to_numpy().astype(np.int64)) % np.uint64(FOLDS)
-    return fit_chain(hashes, at, stats, y, fold.astype(np.int64))
+                for j in range(len(chain))]
+    present = np.unpackbits(np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(rows), -1), axis=1)[:, :len(vocabulary)]
+    y = np.stack([np.asarray([np.nan if v is None else v for v in r], dtype=float) for r in rows["y"]])
+    return fit_chain(present, np.stack(rows["stats"].to_numpy()), y, rows["fold"].to_numpy(), rows["weight"].to_numpy(), vocabulary, chosen)
 
 
 def chain_probabilities(models: list[Model], texts: list[str | None]) -> np.ndarray:
