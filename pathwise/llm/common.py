@@ -26,7 +26,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy.written_to = path
+    return copy
+
+
+def discard(*copies: DataFrame) -> None:
+    """Delete tables that :func:`written` has made and nothing reads any more; others stay."""
+    for copy in copies:
+        if path := getattr(copy, "written_to", None):
+            spark = copy.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def id_text(name: str) -> Column:

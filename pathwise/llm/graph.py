@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import written
+from pathwise.llm.common import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
                    .filter(F.col("a") != F.col("b")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
+    labels = last = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), "labels")
     while True:
         near = (both.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("near")), "b")
                 .groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near")))
@@ -27,6 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         step = written(hooked.join(jump, "next", "left")
                        .select("node", F.least("next", F.coalesce("jump", "next")).alias("next"), "comp"), "labels")
         moved = step.filter(F.col("next") != F.col("comp")).limit(1).count()
-        labels = step.select("node", F.col("next").alias("comp"))
+        discard(last)
+        labels, last = step.select("node", F.col("next").alias("comp")), step
+        labels.written_to = step.written_to
         if not moved:
+            discard(both)
             return labels

@@ -34,7 +34,7 @@ from pandas.util import hash_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathwise.llm.common import id_text, ids_back, table, written
+from pathwise.llm.common import discard, id_text, ids_back, table, written
 from pathwise.llm.graph import components
 from pathwise.llm.registry import register
 
@@ -46,6 +46,9 @@ SIFT = 10
 #: Bits of the field per shared member, its greatest size (16 MB), and the words of a piece of it.
 FIELD_BITS, MAX_FIELD, SEGMENT = 8, 1 << 27, 1 << 13
 CHUNK = 512
+#: Counting tells members apart by their upper 48 bits and sets by 48 bits of their prints, which keeps the shuffles small:
+#: members of equal upper bits count as shared, which only lets more through.
+SHORT = 16
 #: Columns of a row's key.
 ROW_KEY = ("__row_a", "__row_b")
 
@@ -112,7 +115,8 @@ def _sets(frame: pd.DataFrame):
 
 
 def _places(members: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two bit numbers for each member."""
+    """Two bit numbers for each member's upper bits (a whole number with sign)."""
+    members = members.view(np.uint64)
     return (_mixed(members, MIX[3]) % np.uint64(bits), _mixed(members, MIX[4]) % np.uint64(bits))
 
 
@@ -123,8 +127,8 @@ def shared_field(docs: DataFrame) -> tuple[np.ndarray, int]:
         for frame in frames:
             for _, sets in _sets(frame):
                 cut = [s[:sift_prefix(len(s))] for s in sets]
-                prints = np.asarray([fingerprint(s)[0] for s in sets], dtype=np.int64)
-                yield pd.DataFrame({"member": np.concatenate(cut).view(np.int64),
+                prints = np.asarray([fingerprint(s)[0] for s in sets], dtype=np.int64) >> SHORT
+                yield pd.DataFrame({"member": np.concatenate(cut).view(np.int64) >> SHORT,
                                     "print": np.repeat(prints, [len(c) for c in cut])})
 
     members = docs.select("text").mapInPandas(run, "member long, print long")
@@ -137,7 +141,7 @@ def shared_field(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def place(frames):
         for frame in frames:
-            at = np.concatenate(_places(frame["member"].to_numpy().view(np.uint64), bits))
+            at = np.concatenate(_places(frame["member"].to_numpy(), bits))
             yield pd.DataFrame({"word": (at >> np.uint64(6)).astype(np.int64),
                                 "bit": (np.uint64(1) << (at & np.uint64(63))).view(np.int64)})
 
@@ -170,7 +174,7 @@ def sifted_sets(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
                     ids.append(f"{a & (2 ** 64 - 1):016x}{b & (2 ** 64 - 1):016x}{len(s):x}")
                     cut = s[:sift_prefix(len(s))]
                     hit = np.ones(len(cut), dtype=bool)
-                    for at in _places(cut, bits):
+                    for at in _places(cut.view(np.int64) >> SHORT, bits):
                         hit &= (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
                     members.append(s.view(np.int64) if len(s) and hit.sum() >= sift_least(len(s)) else None)
                 yield pd.DataFrame({"doc_id": part["doc_id"].values, "n": [len(s) for s in sets],
@@ -189,13 +193,14 @@ def numbered_classes(sets: DataFrame) -> DataFrame:
 
 def ordered_classes(sets: DataFrame, numbers: DataFrame) -> DataFrame:
     """``id, n, members``: shared members only, rarest first, of classes that still may link."""
-    classes = (sets.filter(F.col("members").isNotNull()).groupBy("cid", "n").agg(F.first("members").alias("members"))
+    classes = (sets.filter(F.col("members").isNotNull()).groupBy("cid").agg(F.first("members").alias("members"))
                .join(numbers, "cid"))
-    long = classes.select("id", "n", F.explode("members").alias("member"))
-    often = long.groupBy("member").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    ordered = (long.join(often, "member").groupBy("id", "n")
-               .agg(F.sort_array(F.collect_list(F.struct("df", "member")))["member"].alias("members")))
-    return written(ordered.filter(F.size("members") * DEN >= F.col("n") * NUM), "ordered")
+    long = classes.select("id", F.explode("members").alias("member")).withColumn("short", F.shiftright("member", SHORT))
+    often = long.groupBy("short").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
+    sizes = numbers.select("id", F.conv(F.substring("cid", 33, 16), 16, 10).cast("long").alias("n"))  # a class' id ends with its size
+    ordered = (long.join(often, "short").groupBy("id")
+               .agg(F.sort_array(F.collect_list(F.struct("df", "member")))["member"].alias("members")).join(sizes, "id"))
+    return written(ordered.filter(F.size("members") * DEN >= F.col("n") * NUM).select("id", "n", "members"), "ordered")
 
 
 class Trie:
@@ -240,11 +245,15 @@ class Trie:
         return found
 
 
-def star_links(stars: DataFrame, ordered: DataFrame) -> DataFrame:
-    """Of the pairs ``leader, id`` those that link, as ``a, b``."""
+def leader_chunks(stars: DataFrame) -> DataFrame:
+    """``leader, chunk, id`` of the pairs ``leader, id``: a leader's pairs in chunks of about ``CHUNK``; written."""
     load = stars.groupBy("leader").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
     stars = stars.join(load, "leader").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    stars = written(stars.select("leader", "chunk", "id"), "stars")
+    return written(stars.select("leader", "chunk", "id"), "stars")
+
+
+def star_links(stars: DataFrame, ordered: DataFrame) -> DataFrame:
+    """Of the pairs ``leader, id`` of chunks those that link, as ``a, b``."""
     members = stars.join(ordered, "id").select("leader", "chunk", F.lit(1).alias("part"), "id", "n", "members")
     heads = (stars.select("leader", "chunk").distinct().join(ordered.withColumnRenamed("id", "leader"), "leader")
              .select("leader", "chunk", F.lit(0).alias("part"), F.col("leader").alias("id"), "n", "members"))
@@ -337,10 +346,13 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     named = lambda x, new: labels.select(F.col("node").alias(x), F.col("comp").alias(new))
     bridges = (links.join(named("a", "ca"), "a", "left").join(named("b", "cb"), "b", "left")
                .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    tops = components(bridges).toDF("comp", "top")
+    found = components(bridges)
+    tops = found.toDF("comp", "top")
     fresh = tops.select(F.col("comp").alias("node"), "comp").join(labels.select("node"), "node", "left_anti")
-    return written(labels.unionByName(fresh).join(tops, "comp", "left")
-                   .select("node", F.coalesce("top", "comp").alias("comp")), "merged")
+    after = written(labels.unionByName(fresh).join(tops, "comp", "left")
+                    .select("node", F.coalesce("top", "comp").alias("comp")), "merged")
+    discard(links, found, labels)
+    return after
 
 
 def labelled_rows(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
@@ -350,7 +362,10 @@ def labelled_rows(docs: DataFrame, key: tuple[str, ...] = ()) -> DataFrame:
     ordered = ordered_classes(sets, numbers)
     labels = docs.sparkSession.createDataFrame([], "node long, comp long")
     for pick in PASSES:
-        labels = merged(labels, star_links(pick(open_entries(ordered, labels)), ordered))
+        entries = open_entries(ordered, labels)
+        stars = leader_chunks(pick(entries))
+        labels = merged(labels, star_links(stars, ordered))
+        discard(entries, stars)
     labels = labels.withColumnRenamed("node", "id").join(numbers, "id").select("cid", F.col("comp").cast("string").alias("comp"))
     docs_ = sets.select("doc_id", "n", "cid", *key).join(labels, "cid", "left").select(
         "doc_id", "n", F.coalesce("comp", "cid").alias("comp"), *key)
