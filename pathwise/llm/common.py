@@ -13,7 +13,13 @@ from pathwise.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows that go to Python at a time.  Texts go whole, so the engine's default of 10,000 would hold tens of megabytes per worker
+#: several times over.
+BATCH_ROWS = 1_000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
