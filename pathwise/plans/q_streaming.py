@@ -1,7 +1,7 @@
 """Registered queries: streaming feedback path.
 
-The events arrive in three deliveries by event time.  Where the operator should cope with it, some
-events come a delivery late and some are delivered twice.  After each delivery the query's streams run
+The events arrive in three deliveries by event time.  Some events come a delivery late, some are delivered twice and, except
+for the window queries, which drop what is older than their watermark, some come ten days and more late.  After each delivery the query's streams run
 over what is new (``availableNow``) on the same checkpoint, so every result has gone through three
 micro-batches and two restarts.  An ingest stream (G1) writes the de-duplicated log; the others read
 that log.  Results are compared with the same SQL oracle as the batch path.
@@ -21,16 +21,18 @@ from pathwise.plans.q_events import REWARD_SQL, SEQ_SQL
 from pathwise.plans.sqlparts import FEAT_CTE, clip as sc, scaled as sq
 from pathwise.sources import tables
 from pathwise.streaming import feedback as G
+from pathwise.streaming import state as ST
 
 TE = ("topics", "feedback_events")
 EVS = C.RATED_EVENTS_SQL
 
 
-def arrivals(spark, sf, late: bool = True):
+def arrivals(spark, sf, days_late: bool = True):
     """The event table as three deliveries (a third of the time span each).
 
-    With ``late``, some events of the first third's last six hours come with the second delivery, and
-    some of the second third's last six hours come again with the third.
+    Some events of the first third's last six hours come with the second delivery, and some of the second
+    third's last six hours come again with the third.  With ``days_late`` some events of the first third come with the
+    third delivery only, some of those twice: ten days and more behind the watermark.
     """
     ev = tables.read_table(spark, sf, "events")
     lo, hi = ev.agg(F.min("ts"), F.max("ts")).first()
@@ -38,11 +40,12 @@ def arrivals(spark, sf, late: bool = True):
     hours = F.expr("INTERVAL 6 HOURS")
     ts = F.col("ts")
     part = F.when(ts.isNull() | (ts < t1), 1).when(ts < t2, 2).otherwise(3)
-    if not late:
-        return [ev.filter(part == i) for i in (1, 2, 3)]
     held = F.coalesce((ts < t1) & (ts >= t1 - hours) & (F.col("event_id") % 17 == 0), F.lit(False))
+    late = F.coalesce((ts < t1 - hours) & (F.col("event_id") % 13 == 0), F.lit(False)) if days_late else F.lit(False)
     again = (ts < t2) & (ts >= t2 - hours) & (F.col("event_id") % 5 == 0)
-    return [ev.filter((part == 1) & ~held), ev.filter((part == 2) | held), ev.filter((part == 3) | again)]
+    third = ev.filter((part == 3) | again | late)
+    return [ev.filter((part == 1) & ~held & ~late), ev.filter((part == 2) | held),
+            third.unionByName(ev.filter(late & (F.col("event_id") % 2 == 0)))]
 
 
 def shaped(spark, sf, raw):
@@ -74,8 +77,7 @@ DELAY = "1 day"
 
 def ingest(spark, sf, run_dir, raw):
     """G1: the de-duplicated log of what has arrived so far."""
-    return G.run_append_log(spark, G.idempotent_ingest(shaped(spark, sf, raw), delay=DELAY), f"{run_dir}/ingest",
-                            "idempotency_key", partition_col="event_date")
+    return G.run_ingest(spark, shaped(spark, sf, raw), f"{run_dir}/ingest", "idempotency_key", delay=DELAY)
 
 
 def log_stream(spark, run_dir):
@@ -84,21 +86,15 @@ def log_stream(spark, run_dir):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
-def on_log(spark, sf, name, build, keys):
+def on_log(spark, sf, name, build, keys, days_late=True, idle=True):
     """Run the update-mode stream ``build(log)`` behind the ingest, delivery by delivery; its current rows."""
     run_dir = G.new_run_dir(spark, name)
 
     def step(raw):
         ingest(spark, sf, run_dir, raw)
-        return G.run_updates(spark, build(log_stream(spark, run_dir)), f"{run_dir}/state", keys)
+        return G.run_updates(spark, build(log_stream(spark, run_dir)), f"{run_dir}/state", keys, idle)
 
-    return deliver(spark, arrivals(spark, sf), run_dir, step)
-
-
-def in_order(spark, sf, name, step):
-    """Deliveries in event order, without repeats: ``step(shaped stream, run folder)``."""
-    run_dir = G.new_run_dir(spark, name)
-    return deliver(spark, arrivals(spark, sf, late=False), run_dir, lambda raw: step(shaped(spark, sf, raw), f"{run_dir}/state"))
+    return deliver(spark, arrivals(spark, sf, days_late), run_dir, step)
 
 
 def _ntz(c):
@@ -120,8 +116,7 @@ def g01(spark, sf):
                 F.lit(None).cast("string"), item=F.col("topic_idx").cast("string"), payload=F.lit("{}")))
              .withColumn("event_ts", F.col("timestamp_utc").cast("timestamp"))
              .withColumn("event_date", F.to_date("timestamp_utc")))
-        return G.run_append_log(spark, G.idempotent_ingest(s, delay=DELAY), run_dir, "idempotency_key",
-                                partition_col="event_date")
+        return G.run_ingest(spark, s, run_dir, "idempotency_key", delay=DELAY)
 
     return deliver(spark, arrivals(spark, sf), run_dir, step).select("idempotency_key", "event_id")
 
@@ -166,27 +161,25 @@ lr AS (SELECT user_id, arg_max({REWARD_SQL}, (timestamp_utc, event_id)) AS last_
 SELECT r.user_id, CAST(ROW_NUMBER() OVER (PARTITION BY r.user_id ORDER BY rd DESC) AS INT) AS pos, r.item_id, lr.last_reward
 FROM r LEFT JOIN lr USING (user_id) WHERE rd <= 24""", TE)
 def g04(spark, sf):
-    return on_log(spark, sf, "g04", lambda log: G.recent_sequence_state(
-        log.select("user_id", "event_id", "event_ts", "item_id", "reward")), ["user_id"])
+    return on_log(spark, sf, "g04", ST.recent_items, ["user_id"], idle=False)
 
 
-def _vector_input(df):
+def vector_input(df):
     return df.withColumn("item_vec", F.when(F.col("item_id").isNotNull(), S.hashed_vector("item_id"))
                          .otherwise(F.array(F.lit(1.0), *[F.lit(0.0)] * 8)))
 
 
 @register("g05_online_user_vectors")
 def g05(spark, sf):
-    return in_order(spark, sf, "g05", lambda s, run_dir: G.run_updates(
-        spark, G.online_user_vectors(_vector_input(s).select("user_id", "event_id", "event_ts", "item_vec", "reward")),
-        run_dir, ["user_id"]))
+    # late events up to six hours find their place within the horizon of a day
+    return on_log(spark, sf, "g05", lambda log: ST.user_vectors(vector_input(log)), ["user_id"], days_late=False, idle=False)
 
 
 @register("g05b_user_vectors_batch")
 def g05b(spark, sf):
     e = C.rated_events(spark, sf).withColumn("event_ts", F.col("timestamp_utc").cast("timestamp")) \
         .withColumn("reward", S.event_reward("event_type", "rating"))
-    return G.online_user_vectors_batch(_vector_input(e))
+    return G.online_user_vectors_batch(vector_input(e))
 
 
 G6_SQL = f"""WITH {FEAT_CTE.strip()}, {EVS},
@@ -206,18 +199,19 @@ UNION ALL
 SELECT arm, 90, CAST(COUNT(*) AS BIGINT) FROM u GROUP BY arm"""
 
 
-@register("g06_online_bandit_update", G6_SQL, ("learners", "topics", "feedback_events"))
-def g06(spark, sf):
-    from pathwise.functions.expressions import scaled
+def bandit_stream(spark, sf, log):
+    """The bandit state of every item's arm from the log's rewards and the users' features."""
     f = C.features(spark, sf).select(F.col("student_id").alias("user_id"), "quiz_score", "engagement_score",
                                      "consistency_score")
+    s = log.filter(F.col("item_id").isNotNull()).join(f, "user_id", "left")
+    s = s.select("item_id", "quiz_score", "engagement_score", "consistency_score", "reward")
+    return R.bandit_state(s.select(F.col("item_id").alias("arm"), R.bandit_context(s).alias("x"), "reward"))
 
-    def build(log):
-        s = log.filter(F.col("item_id").isNotNull()).join(f, "user_id", "left")
-        s = s.select("item_id", "quiz_score", "engagement_score", "consistency_score", "reward")
-        return R.bandit_state(s.select(F.col("item_id").alias("arm"), R.bandit_context(s).alias("x"), "reward"))
 
-    st = on_log(spark, sf, "g06", build, ["arm"])
+@register("g06_online_bandit_update", G6_SQL, ("learners", "topics", "feedback_events"))
+def g06(spark, sf):
+    from pathwise.functions.expressions import scaled
+    st = on_log(spark, sf, "g06", lambda log: bandit_stream(spark, sf, log), ["arm"])
     a = st.select("arm", F.posexplode("A").alias("cell", "value")).select(
         "arm", F.col("cell").cast("int").alias("cell"), scaled("value").alias("value"))
     b = st.select("arm", F.posexplode("b").alias("cell", "value")).select(
@@ -231,9 +225,14 @@ SELECT a.item_id AS left_item, b.item_id AS right_item, CAST(COUNT(*) AS BIGINT)
 FROM seq a JOIN seq b ON a.user_id = b.user_id AND a.session_id = b.session_id AND b.pos = a.pos + 1
 GROUP BY 1, 2""", TE)
 def g07(spark, sf):
-    pairs = in_order(spark, sf, "g07", lambda s, run_dir: G.run_append_log(
-        spark, G.bigram_pairs_stream(s.select("user_id", "session_id", "event_id", "event_ts", "item_id")), run_dir))
-    return pairs.groupBy("left_item", "right_item").agg(F.count(F.lit(1)).cast("bigint").alias("n"))
+    run_dir = G.new_run_dir(spark, "g07")
+
+    def step(raw):
+        ingest(spark, sf, run_dir, raw)
+        return G.run_append_log(spark, ST.session_pairs(log_stream(spark, run_dir)), f"{run_dir}/state", idle=False)
+
+    changes = deliver(spark, arrivals(spark, sf), run_dir, step)
+    return changes.groupBy("left_item", "right_item").agg(F.sum("n").cast("bigint").alias("n")).filter(F.col("n") > 0)
 
 
 @register("g08_shown_event_emission", f"""WITH {PRIOR_SQL}
@@ -267,14 +266,14 @@ def _win_out(t):
 
 @register("g09_rolling_rates_tumbling", _win_sql("date_trunc('day', timestamp_utc)"), TE)
 def g09(spark, sf):
-    return _win_out(on_log(spark, sf, "g09", G.rolling_rates, ["window_start"]))
+    return _win_out(on_log(spark, sf, "g09", G.rolling_rates, ["window_start"], days_late=False))
 
 
 @register("g09b_rolling_rates_sliding", _win_sql(
     "d", ", LATERAL (SELECT UNNEST([date_trunc('day', timestamp_utc), date_trunc('day', timestamp_utc) - INTERVAL '1 day']) AS d) x"), TE)
 def g09b(spark, sf):
     return _win_out(on_log(spark, sf, "g09b", lambda log: G.rolling_rates(log, duration="2 days", slide="1 day"),
-                           ["window_start"]))
+                           ["window_start"], days_late=False))
 
 
 @register("g10_sessions", f"""WITH {EVS},
@@ -288,7 +287,7 @@ SELECT user_id, MIN(timestamp_utc) AS session_start, MAX(timestamp_utc) + INTERV
 FROM s GROUP BY user_id, sid""", TE)
 def g10(spark, sf):
     run_dir = G.new_run_dir(spark, "g10")
-    parts = arrivals(spark, sf)
+    parts = arrivals(spark, sf, days_late=False)
     # a last event of nobody, far ahead, lets the watermark pass the open sessions
     end = parts[2].orderBy(F.desc("ts")).limit(1).withColumn("ts", F.col("ts") + F.expr("INTERVAL 30 DAYS")).withColumn(
         "user_id", F.lit(-1).cast(parts[2].schema["user_id"].dataType)).withColumn("event_id", F.lit(-1).cast(parts[2].schema["event_id"].dataType))
@@ -312,6 +311,15 @@ def g11(spark, sf):
     return live.drop("__asof")
 
 
+@register("g11b_live_state", G2_SQL, TE)
+def g11b(spark, sf):
+    """The same features from state that expires 7,200 s after its last change (longer than this run takes)."""
+    return _g2_out(on_log(spark, sf, "g11b", ST.live_features_state, ["user_id"], idle=False).select(
+        *[F.col(c) if c != "latest_rating" else F.col(c).cast("int") for c in (
+            "user_id", "interactions", "clicks", "completions", "latest_rating", "last_event_type", "last_event_ts", "ctr",
+            "completion_rate")]))
+
+
 @register("g12_checkpoint_restore", G2_SQL, TE)
 def g12(spark, sf):
     """The first two deliveries, then a restart on the same checkpoint with the third: the state of the

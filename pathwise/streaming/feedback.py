@@ -1,4 +1,4 @@
-"""Structured Streaming versions of the feedback path.
+"""Structured Streaming versions of the feedback path (G1-G12); keyed state with expiry (G4, G5, G7, G11) is in ``state``.
 
 Sources are file streams over the event log; sinks are parquet tables in
 the shared checkpoint folder.  Every micro-batch is written to a folder of its own
@@ -14,15 +14,11 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from pathwise.session import scratch_path
-
-RECENT_N = 24
-VECTOR_DIM = 9
-LEARNING_RATE = 0.05
+from pathwise.streaming.state import VECTOR_DIM, step
 
 
 def new_run_dir(spark: SparkSession, name: str) -> str:
@@ -44,38 +40,71 @@ def write_batch(batch: DataFrame, out: str, epoch: int, partition_col: str | Non
     w.parquet(os.path.join(out, f"batch_id={epoch}"))
 
 
+def key_hash(key: str) -> Column:
+    return F.xxhash64(key)
+
+
 def append_new(batch: DataFrame, out: str, epoch: int, key: str | None = None, partition_col: str | None = None) -> None:
-    """Write the batch's rows whose ``key`` no earlier batch of the log holds.
+    """Write the batch's rows whose ``key`` no other batch of the log holds.
 
-    With ``partition_col`` (e.g. the event date, which is part of the idempotency key's material) only
-    the log's partitions within the batch's range of values are probed.
+    The log has a key index beside it (``<out>-keys``): the keys' 64-bit hashes, by ``partition_col`` (e.g. the event date, which
+    is part of the idempotency key's material).  Only the index is probed, in the batch's partitions; rows whose hash stands
+    there are looked up in the log itself, which tells a collision from a repeat.
     """
     spark = batch.sparkSession
-    if key is None or not _exists(spark, out):
-        write_batch(batch if key is None else batch.dropDuplicates([key]), out, epoch, partition_col)
+    if key is None:
+        write_batch(batch, out, epoch, partition_col)
         return
-    batch.persist()
-    log = spark.read.parquet(out).filter(F.col("batch_id") < epoch)
-    on = [key]
-    if partition_col is not None:
-        lo, hi = batch.agg(F.min(partition_col), F.max(partition_col)).first()
-        log = log.filter(F.col(partition_col).between(F.lit(lo), F.lit(hi)))
-        on = [partition_col, key]
-    write_batch(batch.dropDuplicates([key]).join(log.select(*on), on, "left_anti").select(batch.columns), out, epoch, partition_col)
+    on = F.col(partition_col) if partition_col else F.lit(0)
+    batch = batch.dropDuplicates([key]).withColumn("__h", key_hash(key)).withColumn("__on", on).persist()
+    columns = [c for c in batch.columns if c not in ("__h", "__on")]
+    index, new = f"{out}-keys", batch
+    if _exists(spark, index):
+        values = [r[0] for r in batch.select("__on").distinct().collect()]  # partitions: days
+        here = F.col("on").isin([v for v in values if v is not None]) | (F.col("on").isNull() if None in values else F.lit(False))
+        seen = spark.read.parquet(index).filter((F.col("batch_id") != epoch) & here).select("on", "h").distinct()
+        met = F.col("__h") == F.col("h")
+        met = met & F.col("__on").eqNullSafe(F.col("on"))
+        new = batch.join(seen, met, "left_anti")
+        suspects = batch.join(seen, met, "left_semi").persist()
+        if not suspects.isEmpty():
+            log = spark.read.parquet(out).filter(F.col("batch_id") != epoch)
+            log = log.select(F.col(key).alias("__key"), (F.col(partition_col) if partition_col else F.lit(0)).alias("on")).filter(here)
+            same = (F.col(key) == F.col("__key")) & F.col("__on").eqNullSafe(F.col("on"))
+            new = new.unionByName(suspects.join(log, same, "left_anti"))
+        else:
+            suspects.unpersist()
+    write_batch(new.select(columns), out, epoch, partition_col)
+    kept = spark.read.schema(new.select(columns).schema).parquet(os.path.join(out, f"batch_id={epoch}"))
+    write_batch(kept.select(on.alias("on"), key_hash(key).alias("h")), index, epoch, "on")
     batch.unpersist()
 
 
-def _finish(writer, run_dir: str) -> None:
-    (writer.option("checkpointLocation", os.path.join(run_dir, "checkpoint"))
-     .trigger(availableNow=True).start().awaitTermination())
+IDLE = "spark.sql.streaming.noDataMicroBatches.enabled"
+
+
+def _finish(spark: SparkSession, writer, run_dir: str, name: str = "checkpoint", idle: bool = True):
+    """Run a query over all available input.
+
+    ``idle`` allows batches without input, which let the watermark emit what it has passed.  State that expires by processing time
+    (see ``state``) would ask for them without end, so its runs go without.
+    """
+    before = spark.conf.get(IDLE)
+    spark.conf.set(IDLE, str(idle).lower())
+    try:
+        query = writer.option("checkpointLocation", os.path.join(run_dir, name)).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(IDLE, before)
+    query.awaitTermination()
+    return query
 
 
 def run_append_log(spark: SparkSession, stream: DataFrame, run_dir: str, key: str | None = None,
-                   partition_col: str | None = None) -> DataFrame:
+                   partition_col: str | None = None, idle: bool = True) -> DataFrame:
     """Run an append stream over all available input into a log table (see :func:`append_new`)."""
     out = os.path.join(run_dir, "log")
-    _finish(stream.writeStream.outputMode("append").foreachBatch(
-        lambda batch, epoch: append_new(batch, out, epoch, key, partition_col)), run_dir)
+    _finish(spark, stream.writeStream.outputMode("append").foreachBatch(
+        lambda batch, epoch: append_new(batch, out, epoch, key, partition_col)), run_dir, idle=idle)
     if not _exists(spark, out):
         return spark.createDataFrame([], stream.schema)
     return spark.read.parquet(out).drop("batch_id")
@@ -87,12 +116,12 @@ def latest(updates: DataFrame, keys: list[str]) -> DataFrame:
     return updates.join(last, [*keys, "batch_id"]).drop("batch_id")
 
 
-def run_updates(spark: SparkSession, stream: DataFrame, run_dir: str, keys: list[str]) -> DataFrame:
+def run_updates(spark: SparkSession, stream: DataFrame, run_dir: str, keys: list[str], idle: bool = True) -> DataFrame:
     """Run an update-mode stream over all available input: every batch writes only the keys it changed.
     Returns the current rows of all keys."""
     out = os.path.join(run_dir, "updates")
-    _finish(stream.writeStream.outputMode("update").foreachBatch(
-        lambda batch, epoch: write_batch(batch, out, epoch)), run_dir)
+    _finish(spark, stream.writeStream.outputMode("update").foreachBatch(
+        lambda batch, epoch: write_batch(batch, out, epoch)), run_dir, idle=idle)
     if not _exists(spark, out):
         return spark.createDataFrame([], stream.schema)
     return latest(spark.read.parquet(out), keys)
@@ -101,14 +130,44 @@ def run_updates(spark: SparkSession, stream: DataFrame, run_dir: str, keys: list
 # ------------------------------------------------------------------- G1
 def idempotent_ingest(stream: DataFrame, key: str = "idempotency_key", ts: str = "event_ts",
                       delay: str = "2 hours") -> DataFrame:
-    """G1: drop events whose idempotency key was seen within the watermark.
+    """G1's stateful step: drop events whose idempotency key was seen within the watermark.
 
-    Keys older than the watermark are caught by the sink's anti-join with
-    the log (:func:`run_append_log` with ``key``).
+    Events older than the watermark leave here; :func:`run_ingest` takes them by a side path.
     """
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
+def run_ingest(spark: SparkSession, stream: DataFrame, run_dir: str, key: str = "idempotency_key", ts: str = "event_ts",
+               delay: str = "2 hours", partition_col: str | None = "event_date") -> DataFrame:
+    """G1: every event once in the log, however late it comes.
+
+    Two queries read the source.  The first drops repeats by keyed state that the watermark bounds and appends the rest; the
+    second, on its own checkpoint, takes the events that were older than the first one's watermark (or have no time) around the
+    state, straight to the keyed append, which leaves out what the log holds.  Its batches stand in the log under
+    negative numbers.
+    """
+    out = os.path.join(run_dir, "log")
+    done = _finish(spark, idempotent_ingest(stream, key, ts, delay).writeStream.outputMode("append").foreachBatch(
+        lambda batch, epoch: append_new(batch, out, epoch, key, partition_col)), run_dir)
+    marks = [p["eventTime"]["watermark"] for p in done.recentProgress if p["numInputRows"] and "watermark" in (p["eventTime"] or {})]
+
+    def late(batch, epoch):
+        if marks:
+            limit = F.lit(max(marks)).cast("timestamp")
+        else:  # restarted between the two: everything behind the newest event of the log
+            newest = batch.sparkSession.read.parquet(out).agg(F.max(ts)).first()[0] if _exists(spark, out) else None
+            limit = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {delay}")
+        old = batch.filter(F.coalesce(F.col(ts).cast("timestamp") <= limit, F.lit(True))).persist()
+        if not old.isEmpty():
+            append_new(old, out, -1 - epoch, key, partition_col)
+        old.unpersist()
+
+    _finish(spark, stream.writeStream.outputMode("append").foreachBatch(late), run_dir, "late-checkpoint")
+    if not _exists(spark, out):
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.parquet(out).drop("batch_id")
+
+
 # ---------------------------------------------------------------- G2/G3
 def online_user_features(stream: DataFrame, user: str = "user_id", ts: str = "event_ts",
                          tie: str = "event_id") -> DataFrame:
@@ -137,68 +196,7 @@ def online_item_features(stream: DataFrame, item: str = "item_id", ts: str = "ev
     return g.withColumn("item_ctr", F.col("clicks") / F.greatest(F.col("views"), F.lit(1)))
 
 
-# ------------------------------------------------------------------- G4
-RECENT_STATE = "recent array<struct<t:timestamp,i:bigint,item:string>>, last_t timestamp, last_i bigint, last_reward double"
-
-
-def _recent_fn(key, pdfs, state):
-    recent, last_t, last_i, last_r = state.get if state.exists else ([], None, None, None)
-    recent = [(r[0], r[1], r[2]) for r in recent]
-    for pdf in pdfs:  # in bounded pieces: what is kept never exceeds one piece and RECENT_N entries
-        seen = pdf[pdf["event_ts"].notna()].sort_values(["event_ts", "event_id"])
-        if len(seen):
-            t, i, r = seen[["event_ts", "event_id", "reward"]].iloc[-1]
-            if last_t is None or (t, i) > (last_t, last_i):
-                last_t, last_i, last_r = t, int(i), float(r)
-        items = pdf[pdf["item_id"].notna()]
-        recent += [(None if pd.isna(t) else t, int(i), item)
-                   for t, i, item in zip(items["event_ts"], items["event_id"], items["item_id"])]
-        # by event time, whenever they arrived; events without a time count as newest
-        recent = sorted(recent, key=lambda r: (r[0] is None, r[0] or pd.Timestamp(0), r[1]))[-RECENT_N:]
-    state.update((recent, last_t, last_i, last_r))
-    yield pd.DataFrame({"user_id": [key[0]] * len(recent), "pos": list(range(1, len(recent) + 1)),
-                        "item_id": [r[2] for r in recent], "last_reward": [last_r] * len(recent)})
-
-
-def recent_sequence_state(stream: DataFrame) -> DataFrame:
-    """Per-user list state of the last 24 items (time order) and the last reward.
-
-    Input rows: user_id, event_id, event_ts, item_id, reward.  Emits the
-    user's current list on every batch that touches the user (update mode).
-    State and batch are merged in (ts, id) order, so late events find their place.
-    """
-    return stream.groupBy("user_id").applyInPandasWithState(
-        _recent_fn, "user_id long, pos int, item_id string, last_reward double", RECENT_STATE,
-        "update", GroupStateTimeout.NoTimeout)
-
-
 # ------------------------------------------------------------------- G5
-def _step(v: np.ndarray, item_vec: np.ndarray, reward: float) -> np.ndarray:
-    u = v + LEARNING_RATE * reward * item_vec
-    n = float(np.linalg.norm(u))
-    return u / n if n > 0 else u
-
-
-def _vector_fn(key, pdfs, state):
-    v = np.array(state.get[0], dtype=float) if state.exists else np.zeros(VECTOR_DIM)
-    n = int(state.get[1]) if state.exists else 0
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        pdf = pd.concat(frames).sort_values(["event_ts", "event_id"], na_position="last")
-        for iv, r in zip(pdf["item_vec"], pdf["reward"]):
-            v = _step(v, np.asarray(iv, dtype=float), float(r))
-            n += 1
-    state.update((v.tolist(), n))
-    yield pd.DataFrame({"user_id": [key[0]], "vector": [v.tolist()], "updates": [n]})
-
-
-def online_user_vectors(stream: DataFrame) -> DataFrame:
-    """V <- normalize(v + 0.05 * reward * item_vec), applied in event order per user."""
-    return stream.groupBy("user_id").applyInPandasWithState(
-        _vector_fn, "user_id long, vector array<double>, updates long",
-        "v array<double>, n long", "update", GroupStateTimeout.NoTimeout)
-
-
 def online_user_vectors_batch(events: DataFrame, partitions: int | None = None) -> DataFrame:
     """G5 batch twin: one shuffle by user, sort within partitions, then a
     streaming scan with per-user running state (rows are never gathered
@@ -219,7 +217,7 @@ def online_user_vectors_batch(events: DataFrame, partitions: int | None = None)
                         out_v.append(v.tolist())
                         out_n.append(n)
                     cur, v, n = u, np.zeros(VECTOR_DIM), 0
-                v = _step(v, np.asarray(iv, dtype=float), float(r))
+                v = step(v, np.asarray(iv, dtype=float), float(r))
                 n += 1
             if len(out_u) > 10_000:
                 yield pd.DataFrame({"user_id": out_u, "vector": out_v, "updates": out_n})
@@ -233,32 +231,6 @@ def online_user_vectors_batch(events: DataFrame, partitions: int | None = None)
     return d.mapInPandas(scan, "user_id long, vector array<double>, updates long")
 
 
-# ------------------------------------------------------------------- G7
-def _pairs_fn(key, pdfs, state):
-    last = state.get if state.exists else None
-    lt, li, litem = (last[0], last[1], last[2]) if last else (None, None, None)
-    lefts, rights = [], []
-    frames = [p for p in pdfs if len(p)]
-    if frames:
-        pdf = pd.concat(frames).sort_values(["event_ts", "event_id"], na_position="last")
-        for row in pdf.itertuples(index=False):
-            if litem is not None:
-                lefts.append(litem)
-                rights.append(row.item_id)
-            lt, li, litem = row.event_ts, int(row.event_id), row.item_id
-        state.update((lt, li, litem))
-    yield pd.DataFrame({"left_item": lefts, "right_item": rights})
-
-
-def bigram_pairs_stream(stream: DataFrame) -> DataFrame:
-    """Consecutive (previous, current) items per (user, session) from keyed
-    state holding the last item; counts are a downstream aggregate."""
-    s = stream.filter(F.col("item_id").isNotNull())
-    return s.groupBy("user_id", "session_id").applyInPandasWithState(
-        _pairs_fn, "left_item string, right_item string",
-        "t timestamp, i long, item string", "append", GroupStateTimeout.NoTimeout)
-
-
 # ------------------------------------------------------------------- G8
 def shown_events(recs: DataFrame, key: str = "student_id", item: str = "topic",
                  session: str | None = None) -> DataFrame:

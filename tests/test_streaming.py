@@ -6,6 +6,7 @@ from pathwise.operators import candidates as D
 from pathwise.plans import common as C
 from pathwise.plans import q_streaming as QS
 from pathwise.streaming import feedback as G
+from pathwise.streaming import state as ST
 
 
 def test_idempotent_ingest_rejects_replayed_keys(spark):
@@ -58,21 +59,88 @@ def test_a_replayed_batch_replaces_itself(spark, tmp_path):
     assert sorted(r.event_id for r in got) == [1, 2, 3]
 
 
-def test_late_events_find_their_place_in_the_recent_sequence():
+def _frame(*rows, **columns):
     import pandas as pd
-
-    class State:
-        exists, get = False, None
-
-        def update(self, value):
-            self.exists, self.get = True, value
-
-    state = State()
-    frame = lambda *r: pd.DataFrame([(i, pd.Timestamp(t), item, 0.5) for i, t, item in r],
-                                    columns=["event_id", "event_ts", "item_id", "reward"])
-    list(G._recent_fn((1,), iter([frame((2, "2024-01-02", "B"))]), state))
-    out = list(G._recent_fn((1,), iter([frame((1, "2024-01-01", "A"), (3, "2024-01-03", "C"))]), state))[-1]
-    assert out["item_id"].tolist() == ["A", "B", "C"]
+    return pd.DataFrame([(i, t, *rest) for i, t, *rest in rows], columns=["i", "t", *columns["names"]])
+
+
+def test_late_and_repeated_events_find_their_place_in_the_recent_sequence():
+    names = ["item_id", "reward"]
+    state, _ = ST.fold_recent((1,), None, iter([_frame((2, 20, "B", 0.5), names=names)]))
+    again = _frame((1, 10, "A", 0.1), (2, 20, "B", 0.5), names=names)
+    state, out = ST.fold_recent((1,), state, iter([again, _frame((3, 30, "C", 0.9), (4, ST.NO_TIME, "D", 0.2), names=names)]))
+    assert out["item_id"].tolist() == ["A", "B", "C", "D"] and set(out["last_reward"]) == {0.9}
+    many = _frame(*[(i, 100 + i, f"x{i}", 1.0) for i in range(60)], names=names)
+    state, out = ST.fold_recent((1,), state, iter([many]))
+    assert len(out) == ST.RECENT_N and out["item_id"].tolist()[-2:] == ["x59", "D"]
+
+
+def test_user_vector_is_that_of_the_events_in_order_whenever_they_arrive():
+    rng = np.random.default_rng(3)
+    events = [(i, 1000 * i, rng.normal(size=ST.VECTOR_DIM), float(rng.uniform())) for i in range(40)]
+    want = np.zeros(ST.VECTOR_DIM)
+    for _, _, item, reward in events:
+        want = ST.step(want, item, reward)
+    names = ["item_vec", "reward"]
+    order = rng.permutation(40).tolist()
+    for pieces in ([order], [order[:7], order[7:20], order[20:] + order[:5]]):  # five events come twice
+        state = None
+        for piece in pieces:
+            state, out = ST.fold_vector(10 ** 9, 4096)((1,), state, iter([_frame(*[events[k] for k in piece], names=names)]))
+        assert np.allclose(out["vector"][0], want) and out["updates"][0] == 40
+    # beyond the horizon an event is applied when it comes, and no more than the horizon is held
+    state, _ = ST.fold_vector(5_000, 4096)((1,), None, iter([_frame(*events, names=names)]))
+    assert len(state[4]) == 6
+    state, out = ST.fold_vector(5_000, 4096)((1,), state, iter([_frame(events[0], names=names)]))
+    assert out["updates"][0] == 41
+
+
+def test_session_pairs_take_back_what_a_late_event_parts():
+    fold = ST.fold_pairs(4096)
+    total = {}
+    state = None
+    for frame in (_frame((1, 10, "A"), (3, 30, "C"), names=["item_id"]), _frame((2, 20, "B"), (1, 10, "A"), names=["item_id"]),
+                  _frame((4, 40, "A"), names=["item_id"])):
+        state, out = fold((1, "s"), state, iter([frame]))
+        for r in out.itertuples():
+            total[r.left_item, r.right_item] = total.get((r.left_item, r.right_item), 0) + r.n
+    assert {p: n for p, n in total.items() if n} == {("A", "B"): 1, ("B", "C"): 1, ("C", "A"): 1}
+
+
+def _events(spark, *rows):
+    import datetime as dt
+    start = dt.datetime(2024, 1, 10)
+    return spark.createDataFrame([(u, i, start + dt.timedelta(days=d), "recommendation_clicked", None) for u, i, d in rows],
+                                 "user_id long, event_id long, event_ts timestamp, event_type string, rating int")
+
+
+def test_state_expires_after_its_time_to_live(spark, tmp_path):
+    import time
+    src = str(tmp_path / "src")
+
+    def run(*rows):
+        _events(spark, *rows).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(_events(spark).schema).parquet(src)
+        out = G.run_updates(spark, ST.live_features_state(stream, ttl_ms=8_000), str(tmp_path / "run"), ["user_id"], idle=False)
+        return {r.user_id: r.interactions for r in out.collect()}
+
+    assert run((1, 1, 0.0), (1, 2, 0.1), (2, 3, 0.0)) == {1: 2, 2: 1}
+    time.sleep(9)
+    assert run((1, 4, 0.2)) == {1: 1, 2: 1}  # user 1 came back after the state had gone
+
+
+def test_first_time_events_days_late_are_logged_once(spark, tmp_path):
+    src, run_dir = str(tmp_path / "src"), str(tmp_path / "run")
+
+    def deliver(*rows):
+        batch = _events(spark, *rows).withColumn("key", F.concat(F.lit("k"), F.col("event_id"))).withColumn("day", F.to_date("event_ts"))
+        batch.write.mode("append").parquet(src)
+        log = G.run_ingest(spark, spark.readStream.schema(batch.schema).parquet(src), run_dir, "key", delay="1 day", partition_col="day")
+        return sorted(r.event_id for r in log.collect())
+
+    assert deliver((1, 10, 0), (1, 20, 10)) == [10, 20]
+    assert deliver((1, 12, 2), (1, 12, 2), (1, 21, 11)) == [10, 12, 20, 21]  # eight days late, twice at once
+    assert deliver((1, 12, 2), (1, 20, 10), (1, 9, -1), (1, 22, 12)) == [9, 10, 12, 20, 21, 22]
 
 
 def test_lsh_finds_most_nearest_neighbours(spark):
