@@ -49,13 +49,14 @@ def prior_order(quiz: Column, topic_list: Column, whole: Column) -> Column:
             .when(quiz >= 70, F.reverse(topic_list)).otherwise(topic_list))
 
 
-def content_candidates(learners: DataFrame, topics: DataFrame, max_candidates: int = 10,
+def content_candidates(learners: DataFrame, topics: DataFrame, max_candidates: int | None = 10,
                        key: str = "student_id", subject_col: str = "subject_weakness",
                        quiz_col: str = "quiz_score", keep: list[str] | None = None) -> DataFrame:
-    """Weak-subject topics in order (reversed when quiz >= 70), catalogue if unknown."""
+    """Weak-subject topics in order (reversed when quiz >= 70), catalogue if unknown; all of them without a limit."""
     keep = keep or [key, quiz_col]
     j = _with_lists(learners, topics, subject_col, max_candidates)
-    arr = F.slice(prior_order(F.col(quiz_col), F.col("topic_list"), F.col("catalogue")), 1, max_candidates)
+    arr = prior_order(F.col(quiz_col), F.col("topic_list"), F.col("catalogue"))
+    arr = arr if max_candidates is None else F.slice(arr, 1, max_candidates)
     return _explode_list(j, arr, keep, "content")
 
 
@@ -63,7 +64,7 @@ def cold_start(learners: DataFrame, topics: DataFrame, num_topics: int = 5,
                key: str = "student_id", subject_col: str = "subject_weakness",
                quiz_col: str = "quiz_score") -> DataFrame:
     """Prior order, top-n, padded from the catalogue without repeats."""
-    j = _with_lists(learners, topics, subject_col, None)
+    j = _with_lists(learners, topics, subject_col, 2 * num_topics)
     focused = F.slice(prior_order(F.col(quiz_col), F.col("topic_list"), F.col("catalogue")), 1, num_topics)
     padded = F.slice(F.array_distinct(F.concat(focused, F.slice(F.col("catalogue"), 1, 2 * num_topics))),
                      1, num_topics)

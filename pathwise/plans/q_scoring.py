@@ -165,7 +165,7 @@ FROM adj"""
 
 @register("c14_c16_recommendation_cards", _CARD_SQL, ("learners", "topics"))
 def c14(spark, sf):
-    cand = content_candidates(C.learners(spark, sf), C.topics(spark, sf), max_candidates=8)
+    cand = content_candidates(C.learners(spark, sf), C.topics(spark, sf), max_candidates=None)
     idx = (F.col("rnk") - 1).cast("int")
     df = cand.select("student_id", "quiz_score", "topic", idx.alias("idx"))
     return df.select(
