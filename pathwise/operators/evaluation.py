@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwise.functions.expressions import first_token
+from pathwise.operators.selection import one_row, quantiles
 
 
 # ---------------------------------------------------------------- F12-F15
@@ -49,8 +50,12 @@ def calibration_error(df: DataFrame, y: str = "y", p: str = "p", bins: int = 10,
     """
     group = group or []
     d = df.select(*group, F.col(y).cast("double").alias("__y"), F.col(p).cast("double").alias("__p"))
-    qs = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    e = d.groupBy(*group).agg(F.array_distinct(F.percentile("__y", qs)).alias("__edges"))
+    steps = [i / bins for i in range(bins + 1)]
+    if group:
+        e = d.groupBy(*group).agg(F.array_distinct(F.percentile("__y", F.array(*[F.lit(q) for q in steps]))).alias("__edges"))
+    else:
+        e = (one_row(d, {f"e{i}": v for i, v in enumerate(quantiles(d, {"__y": steps})["__y"])})
+             .select(F.array_distinct(F.array(*[F.col(f"e{i}") for i in range(bins + 1)])).alias("__edges")))
     j = d.join(F.broadcast(e), group, "inner") if group else d.crossJoin(F.broadcast(e))
     inner = F.slice(F.col("__edges"), 2, bins)
     j = j.withColumn("__bin", F.size(F.filter(inner, lambda v: v < F.col("__y"))))
@@ -62,7 +67,8 @@ def conformal_interval(calib: DataFrame, target: DataFrame, y: str = "y", p: str
                        alpha: float = 0.1) -> DataFrame:
     """q = linear (1-alpha) quantile of |y-p| on the calibration rows;
     interval p +- q on the target rows, plus the width 2q."""
-    q = calib.agg(F.percentile(F.abs(F.col(y) - F.col(p)), 1.0 - alpha).alias("__q"))
+    error = calib.select(F.abs(F.col(y) - F.col(p)).alias("__e"))
+    q = one_row(calib, {"__q": quantiles(error, {"__e": [1.0 - alpha]})["__e"][0]})
     return (target.crossJoin(F.broadcast(q))
             .withColumn("lower", F.col(p) - F.col("__q")).withColumn("upper", F.col(p) + F.col("__q"))
             .withColumn("width", F.col("upper") - F.col("lower")).drop("__q"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathwise.functions.expressions import safe_div
+from pathwise.operators.scan import running_totals
 
 
 def _order(ts: str, tie: str) -> list[Column]:
@@ -141,15 +142,11 @@ def running_user_counters(events: DataFrame, user: str = "user_id", ts: str = "t
                           tie: str = "event_id", rating: str = "rating") -> DataFrame:
     """User counters as of each event (interactions, clicks, completions,
     ctr, completion rate) and the latest non-null rating carried forward."""
-    w = Window.partitionBy(user).orderBy(*_order(ts, tie)).rowsBetween(Window.unboundedPreceding, 0)
     et = F.col("event_type")
     r = F.when(et == "rating_submitted", F.col(rating)) if rating in events.columns else F.lit(None)
-    out = events.select(
-        "*",
-        F.count(F.lit(1)).over(w).alias("interactions"),
-        F.sum(F.when(et == "recommendation_clicked", 1).otherwise(0)).over(w).alias("clicks"),
-        F.sum(F.when(et == "lesson_completed", 1).otherwise(0)).over(w).alias("completions"),
-        F.last(r, ignorenulls=True).over(w).alias("latest_rating"))
+    out = running_totals(events, user, ts, tie, {
+        "interactions": F.lit(1), "clicks": F.when(et == "recommendation_clicked", 1).otherwise(0),
+        "completions": F.when(et == "lesson_completed", 1).otherwise(0)}, {"latest_rating": r})
     return (out.withColumn("ctr", safe_div("clicks", "interactions"))
             .withColumn("completion_rate", safe_div("completions", "interactions")))
 
@@ -157,12 +154,10 @@ def running_user_counters(events: DataFrame, user: str = "user_id", ts: str = "t
 def running_item_counters(events: DataFrame, item: str = "item_id", ts: str = "timestamp_utc",
                           tie: str = "event_id") -> DataFrame:
     """Item views / clicks / item_ctr as of each event on the item."""
-    e = events.filter(F.col(item).isNotNull())
-    w = Window.partitionBy(item).orderBy(*_order(ts, tie)).rowsBetween(Window.unboundedPreceding, 0)
     et = F.col("event_type")
-    out = e.select("*",
-                   F.sum(F.when(et == "recommendation_shown", 1).otherwise(0)).over(w).alias("views"),
-                   F.sum(F.when(et == "recommendation_clicked", 1).otherwise(0)).over(w).alias("item_clicks"))
+    out = running_totals(events.filter(F.col(item).isNotNull()), item, ts, tie, {
+        "views": F.when(et == "recommendation_shown", 1).otherwise(0),
+        "item_clicks": F.when(et == "recommendation_clicked", 1).otherwise(0)}, {})
     return out.withColumn("item_ctr", safe_div("item_clicks", "views"))
 
 

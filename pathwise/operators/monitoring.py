@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pathwise.operators.selection import one_row, quantiles
+
 
 def unpivot(df: DataFrame, cols: list[str], name: str = "feature", value: str = "value",
             keep: list[str] | None = None) -> DataFrame:
@@ -64,12 +66,15 @@ def psi(reference: DataFrame, current: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def floor_index_percentiles(df: DataFrame, value: str, qs: dict, group: list[str] | None = None) -> DataFrame:
-    """F10 core: ``sorted[floor(q (n-1))]`` per group from a value histogram.
+    """F10 core: ``sorted[floor(q (n-1))]``, by exact selection, or per group from a value histogram.
 
     ``qs`` maps output name -> quantile.  Empty input yields no row (the
     caller decides the default).
     """
-    group = group or []
+    if not group:
+        found = quantiles(df, {value: list(qs.values())}, "floor")[value]
+        row = one_row(df, dict(zip(qs, found)))
+        return row if found[0] is not None else row.limit(0)
     h = df.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("__c"))
     w = Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     wa = Window.partitionBy(*group)
