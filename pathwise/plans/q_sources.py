@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pathwise.functions import constants as K
 from pathwise.functions.expressions import scaled
@@ -175,3 +176,29 @@ UNION ALL SELECT student_id, topic, 0.35, 'extension' FROM st WHERE quiz_score >
           ("learners", "topics"))
 def d07(spark, sf):
     return D.implicit_interactions(C.learners(spark, sf), C.topics(spark, sf))
+
+
+@register("a01b_readers_with_quarantine", """
+SELECT f.fmt, CAST(student_id AS VARCHAR) AS student_id, CASE WHEN student_id % 50 <> 0 THEN quiz_score END AS quiz_score,
+  CASE WHEN student_id % 50 <> 0 THEN attempts END AS attempts, student_id % 50 = 0 AS quarantined
+FROM learners, (VALUES ('csv'), ('json')) f(fmt)""", ("learners",))
+def a01b(spark, sf):
+    """CSV and JSON files in which every fiftieth learner's attempts are no number, read back with a quarantine."""
+    path = new_run_dir(spark, "readers")
+    names = [c for c in io.LEARNER_SCHEMA.names if c != "final_score"]
+    schema = StructType([io.LEARNER_SCHEMA[c] for c in names])
+    rows = C.learners(spark, sf).select(*[F.when(F.col("student_id") % 50 == 0, F.lit("many")).otherwise(F.col(c).cast("string")).alias(c)
+                                          if c == "attempts" else F.col(c) for c in names])
+    rows.write.option("header", True).csv(f"{path}/csv")
+    numbers = rows.withColumn("student_id", F.col("student_id").cast("string"))
+    as_json = F.when(F.col("attempts") == "many", F.to_json(F.struct(*names))).otherwise(F.to_json(F.struct(
+        *[F.col(c).cast("int").alias(c) if c == "attempts" else F.col(c) for c in names])))
+    numbers.select(as_json.alias("value")).write.text(f"{path}/json")
+    out = None
+    for fmt, key in (("csv", F.split("record", ",")[0]), ("json", F.get_json_object("record", "$.student_id"))):
+        good, bad = io.read_checked(spark, f"{path}/{fmt}", fmt, schema, f"{path}/staged-{fmt}")
+        both = good.select(F.lit(fmt).alias("fmt"), "student_id", "quiz_score", "attempts", F.lit(False).alias("quarantined")).unionByName(
+            bad.select(F.lit(fmt).alias("fmt"), key.alias("student_id"), F.lit(None).cast("double").alias("quiz_score"),
+                       F.lit(None).cast("int").alias("attempts"), F.lit(True).alias("quarantined")))
+        out = both if out is None else out.unionByName(both)
+    return out

@@ -44,6 +44,25 @@ def read_learners(spark: SparkSession, path: str, fmt: str = "csv", schema: T.St
     return spark.read.parquet(path)
 
 
+CORRUPT = "_corrupt_record"
+
+
+def read_checked(spark: SparkSession, path: str, fmt: str, schema: T.StructType, staging: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of CSV (header) or JSON lines that fit ``schema``, and a quarantine of those that don't.
+
+    The files are parsed once, into a staging table; the quarantine has ``file`` and ``record`` (the line as it stands).
+    A record is bad if it cannot be parsed or a value has the wrong type; a missing value is NULL.
+    """
+    reader = (spark.read.schema(T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())]))
+              .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT))
+    rows = reader.option("header", True).csv(path) if fmt == "csv" else reader.json(path)
+    rows.select("*", F.col("_metadata.file_path").alias("__file")).write.mode("overwrite").parquet(staging)
+    staged = spark.read.parquet(staging)
+    good = staged.filter(F.col(CORRUPT).isNull()).select(*schema.names)
+    bad = staged.filter(F.col(CORRUPT).isNotNull()).select(F.col("__file").alias("file"), F.col(CORRUPT).alias("record"))
+    return good, bad
+
+
 def read_event_log(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Event log; timestamps parsed as UTC, unparseable -> NULL."""
     df = spark.read.parquet(path) if fmt == "parquet" else (
