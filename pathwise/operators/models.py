@@ -176,12 +176,29 @@ def permutation_importance(model: PipelineModel, df: DataFrame, key: str, label:
 
 
 def select_feature_subset(importance: DataFrame, top: int = 16) -> list[str]:
-    """M9: features with positive importance, best ``top`` (the refit keeps the
-    subset only if its RMSE is not worse - see the training job)."""
+    """M9's candidates: features with positive importance, the best ``top`` (see :func:`refit_on_subset`)."""
     r = importance.filter(F.col("importance_mean") > 0).orderBy(F.col("importance_mean").desc(), "feature").limit(top)
     return [x["feature"] for x in r.collect()]
 
 
+def refit_on_subset(build, model: PipelineModel, train: DataFrame, test: DataFrame, label: str, cols: list[str],
+                    importance: DataFrame, top: int = 16, least: int = 8) -> dict:
+    """M9: fit ``build(features)`` again on the best features and keep that model if its RMSE on ``test`` is not worse.
+
+    Tables of at most ``least`` columns, and those without a feature of positive importance, keep ``model``.  Returns ``model``,
+    ``features``, ``kept_subset``, ``rmse_all`` and ``rmse_subset`` (None without a candidate).
+    """
+    error = lambda m: rmse(predict(m, test, "__p").withColumn("prediction", F.col("__p")), label)
+    out = {"model": model, "features": list(cols), "kept_subset": False, "rmse_all": error(model), "rmse_subset": None}
+    chosen = select_feature_subset(importance, min(top, len(cols))) if len(cols) > least else []
+    if chosen:
+        smaller = build(chosen).fit(train)
+        out["rmse_subset"] = error(smaller)
+        if out["rmse_subset"] <= out["rmse_all"]:
+            out.update(model=smaller, features=chosen, kept_subset=True)
+    return out
+
+
 SEGMENT_NAMES = ["Fast Learner", "Low Engagement", "Struggling Learner"]  # fixed values, by engagement desc
 
 

@@ -92,8 +92,10 @@ def m08(spark, sf):
     model = _rf(20, 6).fit(d.filter("is_train"))
     imp = M.permutation_importance(model, d.filter("NOT is_train"), "student_id", LABEL,
                                    K.NUMERIC_FEATURES)
-    chosen = M.select_feature_subset(imp, 16)
-    return imp.withColumn("selected", F.col("feature").isin(chosen) if chosen else F.lit(False))
+    best = M.refit_on_subset(lambda cols: M.random_forest(LABEL, cols, 20, 6), model, d.filter("is_train"), d.filter("NOT is_train"),
+                             LABEL, K.NUMERIC_FEATURES, imp)
+    return imp.select("*", F.col("feature").isin(best["features"]).alias("selected"), F.lit(best["rmse_all"]).alias("rmse_all"),
+                      F.lit(best["rmse_subset"]).cast("double").alias("rmse_subset"), F.lit(best["kept_subset"]).alias("kept_subset"))
 
 
 _CLUSTER = ["engagement_score", "consistency_score", "learning_efficiency"]

@@ -59,3 +59,18 @@ def test_registered_model_queries_do_the_operators_whole_job(spark, monkeypatch)
     rows = Q.m12(spark, SF).collect()
     assert {r.side for r in rows} == {"user", "item"} and all(len(r.vector) == 32 for r in rows)
     assert len({(r.side, r.id) for r in rows}) == len(rows)
+
+
+def test_subset_is_kept_only_if_not_worse(spark, frame):
+    build = lambda cols: M.random_forest("y", cols, num_trees=10, max_depth=5)
+    train, test = frame.filter("id % 3 > 0"), frame.filter("id % 3 = 0")
+    model = build(["a", "b", "c"]).fit(train)
+    table = lambda **x: spark.createDataFrame(list(x.items()), "feature string, importance_mean double")
+    useless = M.refit_on_subset(build, model, train, test, "y", ["a", "b", "c"], table(a=0.0, b=-1.0, c=1.0), least=2)
+    assert not useless["kept_subset"] and useless["features"] == ["a", "b", "c"] and useless["model"] is model
+    assert useless["rmse_subset"] > useless["rmse_all"]
+    whole = M.refit_on_subset(build, model, train, test, "y", ["a", "b", "c"], table(a=3.0, b=2.0, c=1.0), least=2)
+    assert whole["features"] == ["a", "b", "c"] and whole["kept_subset"] and whole["rmse_subset"] == whole["rmse_all"]
+    none = M.refit_on_subset(build, model, train, test, "y", ["a", "b", "c"], table(a=0.0), least=2)
+    assert none["rmse_subset"] is None and not none["kept_subset"]
+    assert M.refit_on_subset(build, model, train, test, "y", ["a", "b", "c"], table(a=1.0))["rmse_subset"] is None  # few columns
