@@ -33,7 +33,7 @@ def training_frame(spark, sf):
 
 def labelled_frame(spark, sf):
     """The training frame's learners with a label: others can neither train nor measure a model."""
-    return training_frame(spark, sf).filter(F.col(LABEL).isNotNull())
+    return M.labelled(training_frame(spark, sf), LABEL)
 
 
 def _rf(n=40, d=8):
@@ -43,14 +43,14 @@ def _rf(n=40, d=8):
 @register("m01_random_forest")
 def m01(spark, sf):
     d = training_frame(spark, sf)
-    model = _rf().fit(d.filter("is_train"))
+    model = _rf().fit(labelled_frame(spark, sf).filter("is_train"))
     return M.predict(model, d.filter("NOT is_train")).select("student_id", LABEL, "prediction")
 
 
 @register("m02_m03_gbt_early_stopping")
 def m02(spark, sf):
     d = training_frame(spark, sf)
-    tr = d.filter("is_train").withColumn("is_valid", F.conv(F.substring(F.md5(
+    tr = labelled_frame(spark, sf).filter("is_train").withColumn("is_valid", F.conv(F.substring(F.md5(
         F.concat(F.lit("v:"), F.col("student_id").cast("string"))), 1, 4), 16, 10).cast("int") % 5 == 0)
     model = M.gradient_boosting(LABEL, K.NUMERIC_FEATURES, max_iter=40, validation_col="is_valid").fit(tr)
     return M.predict(model, d.filter("NOT is_train")).select("student_id", LABEL, "prediction")
@@ -127,5 +127,5 @@ def m13(spark, sf):
 @register("m14_batch_score")
 def m14(spark, sf):
     d = training_frame(spark, sf)
-    model = M.random_forest(LABEL, INPUT_FEATURES, num_trees=20, max_depth=6).fit(d.filter("is_train"))
+    model = M.random_forest(LABEL, INPUT_FEATURES, num_trees=20, max_depth=6).fit(labelled_frame(spark, sf).filter("is_train"))
     return M.batch_score(model, d).select("student_id", "predicted_score", "risk_level")

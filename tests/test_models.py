@@ -1,8 +1,14 @@
 import numpy as np
+import pandas as pd
 import pytest
+from conftest import SF
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from pathwise.operators import models as M
+from pathwise.plans import common as C
+from pathwise.plans import q_jobs as QJ
+from pathwise.plans import q_models as QM
 
 
 @pytest.fixture(scope="module")
@@ -74,3 +80,34 @@ def test_subset_is_kept_only_if_not_worse(spark, frame):
     none = M.refit_on_subset(build, model, train, test, "y", ["a", "b", "c"], table(a=0.0), least=2)
     assert none["rmse_subset"] is None and not none["kept_subset"]
     assert M.refit_on_subset(build, model, train, test, "y", ["a", "b", "c"], table(a=1.0))["rmse_subset"] is None  # few columns
+
+
+def test_rows_without_a_label_neither_train_nor_measure(spark, frame):
+    """A learner without orders has no label; Spark ML refuses to fit such rows."""
+    holes = frame.unionByName(spark.createDataFrame([(900 + i, 0.1, 0.2, 0.3, y) for i, y in enumerate((None, float("nan")) * 4)],
+                                                    frame.schema))
+    cols = ["a", "b", "c"]
+    forest = M.random_forest("y", cols, num_trees=4, max_depth=3)
+    assert M.kfold_metrics(holes, "id", "y", forest, folds=2).collect() == M.kfold_metrics(frame, "id", "y", forest, folds=2).collect()
+    grid = ParamGridBuilder().addGrid(forest.getStages()[-1].maxDepth, [2, 3]).build()
+    assert M.grid_search(holes, forest, grid, "y", folds=2).count() == 2
+    bases, meta, oof = M.stacking(holes, "id", "y", cols, {"rf": forest}, folds=2)
+    assert oof.count() == 300
+    assert M.stack_predict(bases, meta, holes.na.drop(subset=["y"])).count() == 300
+
+
+@pytest.mark.parametrize("job", [QM.m01, QM.m02, QM.m04, QM.m05, QM.m06, QM.m14, QJ.j02, QJ.j08, QJ.j09, QJ.j13])
+def test_jobs_take_learners_without_orders(spark, monkeypatch, job):
+    rng = np.random.default_rng(9)
+    base = C.learners(spark, SF).limit(60).toPandas()
+    base = pd.concat([base.assign(student_id=np.arange(60) + 60 * i, quiz_score=rng.uniform(0, 100, 60)) for i in range(2)])
+    base.loc[base["student_id"] % 6 == 0, ["attendance", "assignment_score", "previous_score"]] = None
+    rows = [tuple(None if pd.isna(v) else v for v in r) for r in base.itertuples(index=False)]
+    learners = spark.createDataFrame(rows, C.learners(spark, SF).schema).persist()
+    monkeypatch.setattr(C, "learners", lambda *a: learners)
+    assert C.features(spark, SF).filter("final_score IS NULL").count() == 20
+    got = job(spark, SF)
+    assert got.count() > 0
+    if job in (QM.m14, QJ.j02):
+        assert got.count() == 120  # learners without a label are scored as well
+    learners.unpersist()
