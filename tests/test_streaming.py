@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from conftest import SF
@@ -151,3 +152,30 @@ def test_lsh_finds_most_nearest_neighbours(spark):
     exact = {(r.vec_id, r.neighbour) for r in KN.knn(v, 5, "vec_id", metric="cosine").collect()}
     found = {(r.a, r.b) for r in QC.d09(spark, sf).collect()}
     assert len(found & exact) >= 0.9 * len(exact)
+
+
+def test_streams_keep_two_partitions_a_core(spark, tmp_path):
+    """A session of many shuffle partitions does not open as many state stores on every micro-batch."""
+    spark.createDataFrame([(i, i % 3) for i in range(30)], "i long, k long").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("i long, k long").parquet(str(tmp_path / "in")).groupBy("k").count()
+    before = spark.conf.get(G.PARTITIONS)
+    spark.conf.set(G.PARTITIONS, "64")
+    try:
+        got = G.run_updates(spark, stream, str(tmp_path / "run"), ["k"])
+        assert {(r.k, r["count"]) for r in got.collect()} == {(0, 10), (1, 10), (2, 10)}
+        stores = list((tmp_path / "run" / "checkpoint" / "state" / "0").glob("[0-9]*"))
+        assert len(stores) == 2 * spark.sparkContext.defaultParallelism
+        assert spark.conf.get(G.PARTITIONS) == "64"
+    finally:
+        spark.conf.set(G.PARTITIONS, before)
+
+
+def test_a_session_without_new_pairs_returns_no_rows():
+    frame = lambda *rows: pd.DataFrame(rows, columns=["t", "i", "item_id"])
+    fold = ST.fold_pairs(8)
+    state, rows = fold((1, "s"), None, [frame((5, 1, "a"))])
+    assert rows is None and state == ([(5, 1, "a")],)
+    state, rows = fold((1, "s"), state, [frame((5, 1, "a"))])  # held already
+    assert rows is None and state == ([(5, 1, "a")],)
+    state, rows = fold((1, "s"), state, [frame((7, 2, "b"))])
+    assert rows.values.tolist() == [["a", "b", 1]]
