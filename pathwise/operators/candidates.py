@@ -141,24 +141,30 @@ def lsh_neighbours(items: DataFrame, key: str, vec: str, threshold: float,
                    k: int | None = None) -> DataFrame:
     """Approximate neighbours of unit vectors with random-projection LSH.
 
-    Euclidean distance d between unit vectors maps to cosine 1 - d^2/2.  With ``k`` only each
-    vector's k nearest are kept.
+    Euclidean distance d between unit vectors maps to cosine 1 - d^2/2.  With ``k`` (and integer keys) only each
+    vector's k nearest are kept, and no pairs are shuffled (:mod:`lsh`).  Vectors that are null or hold null or
+    non-finite components have no neighbours.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    u = normalize(items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")), "v", "u")
-    u = u.select("id", array_to_vector("u").alias("features"))
+    from pathwise.operators.lsh import FOUND, bucket_neighbours
+
+    v = items.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v")).filter(
+        F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
+    u = normalize(v, "v", "u").select("id", "u", array_to_vector("u").alias("features"))
+    if u.isEmpty():
+        return items.sparkSession.createDataFrame([], f"{FOUND}, cosine double" + ("" if k is None else ", rnk int"))
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", seed=seed,
                                         bucketLength=bucket_length, numHashTables=num_tables).fit(u)
-    j = model.approxSimilarityJoin(u, u, threshold, distCol="dist")
-    pairs = (j.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "dist")
-             .filter(F.col("a") != F.col("b"))
-             .withColumn("cosine", F.lit(1.0) - F.col("dist") * F.col("dist") / 2))
+    cosine = F.lit(1.0) - F.col("dist") * F.col("dist") / 2
     if k is None:
-        return pairs
-    w = Window.partitionBy("a").orderBy("dist", "b")
-    return pairs.withColumn("rnk", F.row_number().over(w).cast("int")).filter(F.col("rnk") <= k)
+        j = model.approxSimilarityJoin(u.drop("u"), u.drop("u"), threshold, distCol="dist")
+        return (j.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), "dist")
+                .filter(F.col("a") != F.col("b")).withColumn("cosine", cosine))
+    buckets = F.array(*[vector_to_array(F.col("hashes")[i])[0].cast("long") for i in range(num_tables)])
+    rows = model.transform(u).select(F.col("id").cast("long").alias("id"), F.col("u").alias("vec"), buckets.alias("buckets"))
+    return bucket_neighbours(rows, k, threshold, num_tables).select("a", "b", "dist", cosine.alias("cosine"), "rnk")
 
 
 # ---------------------------------------------------------- list merging
