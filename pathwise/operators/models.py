@@ -8,6 +8,10 @@ Driver-side loops run over folds, grid points or features - never over data.
 
 from __future__ import annotations
 
+import uuid
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 from pathwise.functions.expressions import clip
 from pathwise.operators.events import fold_assignment
 from pathwise.operators.scoring import risk_level
+from pathwise.session import scratch_path
 
 
 def assembler(cols: list[str], out: str = "features") -> VectorAssembler:
@@ -137,46 +142,82 @@ def kfold_metrics(df: DataFrame, key: str, label: str, pipeline: Pipeline, folds
 
 
 def learning_curve(df: DataFrame, key: str, label: str, pipeline: Pipeline, sizes=(0.2, 0.36, 0.52, 0.68, 0.84, 1.0),
-                   folds: int = 5) -> DataFrame:
-    """M7: train / validation RMSE per training share (nested hash thresholds)."""
+                   folds: int = 5, parallelism: int = 4) -> DataFrame:
+    """M7: train / validation RMSE per training share (nested hash thresholds); ``parallelism`` fits run at a time."""
     d = fold_assignment(df, key, folds)
     h = F.conv(F.substring(F.md5(F.concat(F.lit("lc:"), F.col(key).cast("string"))), 1, 8), 16, 10).cast("bigint") % 1000
-    d = d.withColumn("__h", h)
+    d = d.withColumn("__h", h).persist()  # read by every fit
+
+    def fitted(size, fold):
+        tr = d.filter((F.col("fold") != fold) & (F.col("__h") < int(size * 1000)))
+        m = pipeline.copy().fit(tr)
+        return rmse(m.transform(tr), label), rmse(m.transform(d.filter(F.col("fold") == fold)), label)
+
+    try:
+        with ThreadPool(parallelism) as pool:
+            found = pool.starmap(inheritable_thread_target(df.sparkSession)(fitted), [(s, f) for s in sizes for f in range(folds)],
+                                 chunksize=1)
+    finally:
+        d.unpersist()
     rows = []
-    for s in sizes:
-        tr_r, va_r = [], []
-        for f in range(folds):
-            tr = d.filter((F.col("fold") != f) & (F.col("__h") < int(s * 1000)))
-            va = d.filter(F.col("fold") == f)
-            m = pipeline.fit(tr)
-            tr_r.append(rmse(m.transform(tr), label))
-            va_r.append(rmse(m.transform(va), label))
+    for i, s in enumerate(sizes):
+        tr_r, va_r = zip(*found[i * folds:(i + 1) * folds])
         rows.append((float(s), sum(tr_r) / folds, sum(va_r) / folds))
     out = df.sparkSession.createDataFrame(rows, "train_share double, train_rmse double, valid_rmse double")
     return out.withColumn("gap", F.col("valid_rmse") - F.col("train_rmse"))
 
 
-def permute_column(df: DataFrame, key: str, col: str, repeat: int) -> DataFrame:
-    """Permute ``col``: rows shift cyclically within hash groups of about 4,096 rows, so no task
-    holds more than a group whatever the table's size."""
-    groups = max(1, df.count() // 4096)
+def _shifted(df: DataFrame, key: str, cols: dict[str, str], repeat: int, rows: int) -> DataFrame:
+    """Each column of ``cols`` (name -> output) shifted cyclically within hash groups of about 4,096 of the ``rows`` rows,
+    so no task holds more than a group whatever the table's size."""
+    groups = max(1, rows // 4096)
     h = F.md5(F.concat(F.lit(f"perm{repeat}:"), F.col(key).cast("string")))
     d = df.withColumn("__b", F.conv(F.substring(h, 1, 12), 16, 10).cast("bigint") % groups).withColumn("__o", h)
     w = Window.partitionBy("__b").orderBy("__o")
     wa = Window.partitionBy("__b").orderBy("__o").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    shifted = F.coalesce(F.lead(col).over(w), F.first(col).over(wa))
-    return d.withColumn(col, shifted).drop("__b", "__o")
+    return d.withColumns({out: F.coalesce(F.lead(c).over(w), F.first(c).over(wa)) for c, out in cols.items()}).drop("__b", "__o")
+
+
+def permute_column(df: DataFrame, key: str, col: str, repeat: int) -> DataFrame:
+    """Permute ``col`` (see :func:`_shifted`)."""
+    return _shifted(df, key, {col: col}, repeat, df.count())
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, key: str, label: str, cols: list[str],
                            repeats: int = 5) -> DataFrame:
-    """M8: mean and std increase of RMSE when one feature is permuted."""
-    base = rmse(model.transform(df), label)
+    """M8: mean and std increase of RMSE when one feature is permuted.
+
+    A repeat shifts all columns in one window and measures them, and the model on the rows as they are, in one aggregate.
+    """
+    own, moved = {c: f"__o{i}" for i, c in enumerate(cols)}, {c: f"__p{i}" for i, c in enumerate(cols)}
+    rest = [c for c in df.columns if c not in cols]
+    d = df.persist()  # read by every repeat
+
+    def squares(frame, out):
+        scored = model.transform(frame)
+        return scored.withColumn(out, F.pow(F.col("prediction") - F.col(label).cast("double"), 2)).drop(
+            *[c for c in scored.columns if c not in frame.columns])
+
+    try:
+        n = d.count()
+        deltas = {c: [] for c in cols}
+        for r in range(repeats):
+            p = _shifted(d, key, moved, r, n).select(*rest, *cols, *[F.col(c).alias(own[c]) for c in cols], *moved.values())
+            errors = ["__e"]
+            p = squares(p, "__e")
+            for i, c in enumerate(cols):
+                p = p.select(*rest, *[F.col(moved[x] if x == c else own[x]).alias(x) for x in cols], *own.values(), *moved.values(), *errors)
+                errors.append(f"__e{i}")
+                p = squares(p, errors[-1])
+            mse = p.agg(*[F.avg(e).alias(e) for e in errors]).first()
+            for i, c in enumerate(cols):
+                deltas[c].append(mse[f"__e{i}"] ** 0.5 - mse["__e"] ** 0.5)
+    finally:
+        d.unpersist()
     rows = []
     for c in cols:
-        deltas = [rmse(model.transform(permute_column(df, key, c, r)), label) - base for r in range(repeats)]
-        m = sum(deltas) / len(deltas)
-        sd = (sum((x - m) ** 2 for x in deltas) / len(deltas)) ** 0.5
+        m = sum(deltas[c]) / repeats
+        sd = (sum((x - m) ** 2 for x in deltas[c]) / repeats) ** 0.5
         rows.append((c, m, sd))
     return df.sparkSession.createDataFrame(rows, "feature string, importance_mean double, importance_std double")
 
@@ -271,9 +312,11 @@ def content_vectors(docs: DataFrame, key: str, text: str, k: int = 32, width: in
     ng = NGram(n=2, inputCol="__uni", outputCol="__bi")
     pre = Pipeline(stages=[tok, sw, ng]).fit(docs)
     t = pre.transform(docs.select(key, text)).withColumn("__terms", F.concat("__uni", "__bi"))
-    model = Pipeline(stages=[HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=width),
-                             IDF(inputCol="__tf", outputCol="__tfidf")]).fit(t)
-    v = model.transform(t)
+    # the terms are counted once: the fits below and the result read the counts
+    path = scratch_path(docs.sparkSession, f"content/{uuid.uuid4().hex}")
+    HashingTF(inputCol="__terms", outputCol="__tf", numFeatures=width).transform(t).select(key, "__tf").write.parquet(path)
+    counts = docs.sparkSession.read.parquet(path)
+    v = IDF(inputCol="__tf", outputCol="__tfidf").fit(counts).transform(counts)
     pca = PCA(k=max(1, min(k, width)), inputCol="__tfidf", outputCol="__pca").fit(v)
     from pyspark.ml.functions import vector_to_array
     return pca.transform(v).select(key, vector_to_array("__pca").alias("vector"))

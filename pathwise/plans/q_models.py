@@ -88,12 +88,13 @@ def m07(spark, sf):
 
 @register("m08_m09_permutation_importance")
 def m08(spark, sf):
-    d = labelled_frame(spark, sf)
+    d = labelled_frame(spark, sf).persist()  # read by every fit
     model = _rf(20, 6).fit(d.filter("is_train"))
     imp = M.permutation_importance(model, d.filter("NOT is_train"), "student_id", LABEL,
                                    K.NUMERIC_FEATURES)
     best = M.refit_on_subset(lambda cols: M.random_forest(LABEL, cols, 20, 6), model, d.filter("is_train"), d.filter("NOT is_train"),
                              LABEL, K.NUMERIC_FEATURES, imp)
+    d.unpersist()
     return imp.select("*", F.col("feature").isin(best["features"]).alias("selected"), F.lit(best["rmse_all"]).alias("rmse_all"),
                       F.lit(best["rmse_subset"]).cast("double").alias("rmse_subset"), F.lit(best["kept_subset"]).alias("kept_subset"))
 

@@ -111,3 +111,32 @@ def test_jobs_take_learners_without_orders(spark, monkeypatch, job):
     if job in (QM.m14, QJ.j02):
         assert got.count() == 120  # learners without a label are scored as well
     learners.unpersist()
+
+
+def counted(df, col, kind):
+    """``df`` with a counter of how often ``col`` is computed."""
+    seen = df.sparkSession.sparkContext.accumulator(0)
+    same = F.udf(lambda x: seen.add(1) or x, kind).asNondeterministic()
+    return df.withColumn(col, same(col)), seen
+
+
+def test_fits_and_repeats_read_the_table_once(spark, frame):
+    cols = ["a", "b", "c"]
+    forest = M.random_forest("y", cols, num_trees=3, max_depth=3)
+    table, seen = counted(frame, "a", "double")
+    curve = M.learning_curve(table, "id", "y", forest, sizes=(0.5, 1.0), folds=2).collect()
+    assert seen.value == frame.count() and [r.train_share for r in curve] == [0.5, 1.0]
+    model = forest.fit(frame)
+    table, seen = counted(frame, "a", "double")
+    got = {r.feature: r.importance_mean for r in M.permutation_importance(model, table, "id", "y", cols, 2).collect()}
+    assert seen.value == frame.count()
+    base = M.rmse(model.transform(frame), "y")
+    for c in cols:
+        want = [M.rmse(model.transform(M.permute_column(frame, "id", c, r)), "y") - base for r in range(2)]
+        assert got[c] == pytest.approx(sum(want) / 2, abs=1e-9)
+
+
+def test_texts_are_read_once(spark):
+    docs, seen = counted(spark.createDataFrame([(i, f"alpha beta w{i % 5} w{i % 3}") for i in range(30)], "d long, t string"), "t", "string")
+    assert M.content_vectors(docs, "d", "t", k=2, width=32).count() == 30
+    assert seen.value == 30
