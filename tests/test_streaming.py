@@ -179,3 +179,18 @@ def test_a_session_without_new_pairs_returns_no_rows():
     assert rows is None and state == ([(5, 1, "a")],)
     state, rows = fold((1, "s"), state, [frame((7, 2, "b"))])
     assert rows.values.tolist() == [["a", "b", 1]]
+
+
+def test_folds_leave_a_keys_few_rows_out_of_pandas(monkeypatch):
+    """Sorting and filtering frames per key took most of the time of a batch."""
+    def slow(*a, **kw):
+        raise AssertionError("a frame was sorted")
+    names = ["event_type", "rating", "item_id", "reward"]
+    frame = _frame((2, 20, "recommendation_clicked", np.nan, None, 0.4), (1, 10, "rating_submitted", 3.0, "A", 1.0),
+                   (5, ST.NO_TIME, "lesson_completed", np.nan, "C", 0.2), (3, 20, "rating_submitted", np.nan, "B", np.nan), names=names)
+    monkeypatch.setattr(pd.DataFrame, "sort_values", slow)
+    state, out = ST.fold_features((7,), None, iter([frame]))
+    assert state == (4, 1, 1, 3.0, 10, 1, "lesson_completed", ST.NO_TIME, 5)
+    assert out.iloc[0].tolist() == [7, 4, 1, 1, 3.0, "lesson_completed", ST.NO_TIME, 0.25, 0.25]
+    state, out = ST.fold_recent((7,), None, iter([frame]))
+    assert state[1:] == (20, 3, None) and out["item_id"].tolist() == ["A", "B", "C"] and out["last_reward"].isna().all()
