@@ -178,7 +178,9 @@ def first_wins_merge(lists: DataFrame, key: str, source_order: dict, item: str =
     so = None
     for s, o in source_order.items():
         so = F.when(F.col(source) == s, o) if so is None else so.when(F.col(source) == s, o)
-    t = lists.withColumn("__so", so)
+    # dealt by key first, into all of the session's partitions: both windows sort these, not a whole input split before the shuffle
+    parts = int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    t = lists.withColumn("__so", so).repartition(parts, key)
     first = Window.partitionBy(key, item).orderBy("__so", rnk)
     pos = Window.partitionBy(key).orderBy("__so", rnk)
     return (t.withColumn("__f", F.row_number().over(first)).filter("__f = 1")
