@@ -15,7 +15,7 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import RegressionEvaluator
-from pyspark.ml.feature import (IDF, PCA, HashingTF, NGram, RegexTokenizer, StopWordsRemover,
+from pyspark.ml.feature import (IDF, PCA, HashingTF, Imputer, NGram, RegexTokenizer, StopWordsRemover,
                                 VectorAssembler)
 from pyspark.ml.recommendation import ALS
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -66,6 +66,24 @@ def labelled(df: DataFrame, label: str) -> DataFrame:
     return df.filter(F.col(label).isNotNull() & ~F.isnan(F.col(label).cast("double")))
 
 
+ABOVE_ALL = 1e300  # lies right of every threshold, where trees also send NaN when they score
+
+
+def bounded(df: DataFrame, cols: list[str]) -> DataFrame:
+    """Missing values of ``cols`` at ``ABOVE_ALL`` and infinite ones at the bounds: tree learners refuse both, scoring does not.
+
+    Every split treats these as it treats NaN and infinities in scoring, so a model needs no filled table to predict.
+    """
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
+    return df.withColumns({c: F.least(F.greatest(value(c), F.lit(-ABOVE_ALL)), F.lit(ABOVE_ALL)) for c in cols})  # NaN is above all numbers
+
+
+def fit_trees(pipeline: Pipeline, df: DataFrame) -> PipelineModel:
+    """Fit an M1 or M2 pipeline on every row with a label, also those that miss features (see :func:`bounded`)."""
+    first, last = pipeline.getStages()[0], pipeline.getStages()[-1]
+    return pipeline.fit(bounded(labelled(df, last.getLabelCol()), first.getInputCols()))
+
+
 def rmse(df: DataFrame, label: str, pred: str = "prediction") -> float:
     return RegressionEvaluator(labelCol=label, predictionCol=pred, metricName="rmse").evaluate(df)
 
@@ -79,7 +97,7 @@ def oof_predictions(df: DataFrame, key: str, label: str, estimators: dict, folds
         tr, va = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
         preds = va.select(key, label, *[c for c in df.columns if c not in (key, label)])
         for name, est in estimators.items():
-            m = est.fit(tr)
+            m = fit_trees(est, tr)
             preds = m.transform(preds).withColumnRenamed("prediction", f"oof_{name}").drop("features")
         out = preds if out is None else out.unionByName(preds)
     return out
@@ -92,19 +110,22 @@ def stacking(df: DataFrame, key: str, label: str, cols: list[str], estimators: d
 
     ``alphas`` penalise the summed squared loss of unscaled features; Spark's
     ``regParam`` penalises its mean, so the grid is divided by the row count.
+    The linear model takes the training mean for a missing feature.
     Returns (base models fitted on all rows, meta model, oof frame).
     """
     df = labelled(df, label)
     oof = oof_predictions(df, key, label, estimators, folds)
-    meta_cols = [f"oof_{n}" for n in estimators] + cols
+    filled = [f"__filled_{c}" for c in cols]
+    means = Imputer(inputCols=cols, outputCols=filled, strategy="mean")
+    meta_cols = [f"oof_{n}" for n in estimators] + filled
     lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, standardization=False)
     n = max(1, df.count())
     grid = ParamGridBuilder().addGrid(lr.regParam, [a / n for a in alphas]).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[assembler(meta_cols), lr]), estimatorParamMaps=grid,
+    cv = CrossValidator(estimator=Pipeline(stages=[means, assembler(meta_cols), lr]), estimatorParamMaps=grid,
                         evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
                         numFolds=3, seed=42, parallelism=parallelism)
     meta = cv.fit(oof)
-    bases = {n: e.fit(df) for n, e in estimators.items()}
+    bases = {n: fit_trees(e, df) for n, e in estimators.items()}
     return bases, meta, oof
 
 
@@ -112,7 +133,8 @@ def stack_predict(bases: dict, meta, df: DataFrame) -> DataFrame:
     d = df
     for n, m in bases.items():
         d = m.transform(d).withColumnRenamed("prediction", f"oof_{n}").drop("features")
-    return meta.transform(d).drop("features")
+    out = meta.transform(d)
+    return out.drop("features", *[c for c in out.columns if c.startswith("__filled_")])
 
 
 def grid_search(df: DataFrame, pipeline: Pipeline, grid, label: str, folds: int = 3,
@@ -120,7 +142,7 @@ def grid_search(df: DataFrame, pipeline: Pipeline, grid, label: str, folds: int
     """M5: cross-validated grid search; one row per grid point with its mean metric."""
     cv = CrossValidator(estimator=pipeline, estimatorParamMaps=grid, numFolds=folds, seed=42,
                         evaluator=RegressionEvaluator(labelCol=label, metricName=metric), parallelism=parallelism)
-    m = cv.fit(labelled(df, label))
+    m = cv.fit(bounded(labelled(df, label), pipeline.getStages()[0].getInputCols()))
     rows = []
     for i, (pm, v) in enumerate(zip(grid, m.avgMetrics)):
         rows.append((i, ";".join(f"{p.name}={val}" for p, val in sorted(pm.items(), key=lambda x: x[0].name)), float(v)))
@@ -134,7 +156,7 @@ def kfold_metrics(df: DataFrame, key: str, label: str, pipeline: Pipeline, folds
         d = fold_assignment(labelled(df, label), key, folds, seed=f"{42 + rep}")
         for f in range(folds):
             tr, va = d.filter(F.col("fold") != f), d.filter(F.col("fold") == f)
-            p = pipeline.fit(tr).transform(va)
+            p = fit_trees(pipeline, tr).transform(va)
             ev = RegressionEvaluator(labelCol=label)
             rows.append((rep, f, ev.evaluate(p, {ev.metricName: "rmse"}), ev.evaluate(p, {ev.metricName: "mae"}),
                          ev.evaluate(p, {ev.metricName: "r2"})))
@@ -150,7 +172,7 @@ def learning_curve(df: DataFrame, key: str, label: str, pipeline: Pipeline, size
 
     def fitted(size, fold):
         tr = d.filter((F.col("fold") != fold) & (F.col("__h") < int(size * 1000)))
-        m = pipeline.copy().fit(tr)
+        m = fit_trees(pipeline.copy(), tr)
         return rmse(m.transform(tr), label), rmse(m.transform(d.filter(F.col("fold") == fold)), label)
 
     try:
@@ -239,7 +261,7 @@ def refit_on_subset(build, model: PipelineModel, train: DataFrame, test: DataFra
     out = {"model": model, "features": list(cols), "kept_subset": False, "rmse_all": error(model), "rmse_subset": None}
     chosen = select_feature_subset(importance, min(top, len(cols))) if len(cols) > least else []
     if chosen:
-        smaller = build(chosen).fit(train)
+        smaller = fit_trees(build(chosen), train)
         out["rmse_subset"] = error(smaller)
         if out["rmse_subset"] <= out["rmse_all"]:
             out.update(model=smaller, features=chosen, kept_subset=True)

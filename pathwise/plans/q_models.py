@@ -43,16 +43,16 @@ def _rf(n=40, d=8):
 @register("m01_random_forest")
 def m01(spark, sf):
     d = training_frame(spark, sf)
-    model = _rf().fit(labelled_frame(spark, sf).filter("is_train"))
+    model = M.fit_trees(_rf(), d.filter("is_train"))
     return M.predict(model, d.filter("NOT is_train")).select("student_id", LABEL, "prediction")
 
 
 @register("m02_m03_gbt_early_stopping")
 def m02(spark, sf):
     d = training_frame(spark, sf)
-    tr = labelled_frame(spark, sf).filter("is_train").withColumn("is_valid", F.conv(F.substring(F.md5(
+    tr = d.filter("is_train").withColumn("is_valid", F.conv(F.substring(F.md5(
         F.concat(F.lit("v:"), F.col("student_id").cast("string"))), 1, 4), 16, 10).cast("int") % 5 == 0)
-    model = M.gradient_boosting(LABEL, K.NUMERIC_FEATURES, max_iter=40, validation_col="is_valid").fit(tr)
+    model = M.fit_trees(M.gradient_boosting(LABEL, K.NUMERIC_FEATURES, max_iter=40, validation_col="is_valid"), tr)
     return M.predict(model, d.filter("NOT is_train")).select("student_id", LABEL, "prediction")
 
 
@@ -89,7 +89,7 @@ def m07(spark, sf):
 @register("m08_m09_permutation_importance")
 def m08(spark, sf):
     d = labelled_frame(spark, sf).persist()  # read by every fit
-    model = _rf(20, 6).fit(d.filter("is_train"))
+    model = M.fit_trees(_rf(20, 6), d.filter("is_train"))
     imp = M.permutation_importance(model, d.filter("NOT is_train"), "student_id", LABEL,
                                    K.NUMERIC_FEATURES)
     best = M.refit_on_subset(lambda cols: M.random_forest(LABEL, cols, 20, 6), model, d.filter("is_train"), d.filter("NOT is_train"),
@@ -128,5 +128,5 @@ def m13(spark, sf):
 @register("m14_batch_score")
 def m14(spark, sf):
     d = training_frame(spark, sf)
-    model = M.random_forest(LABEL, INPUT_FEATURES, num_trees=20, max_depth=6).fit(labelled_frame(spark, sf).filter("is_train"))
+    model = M.fit_trees(M.random_forest(LABEL, INPUT_FEATURES, num_trees=20, max_depth=6), d.filter("is_train"))
     return M.batch_score(model, d).select("student_id", "predicted_score", "risk_level")

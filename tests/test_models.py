@@ -6,6 +6,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import functions as F
 
 from pathwise.operators import models as M
+from pathwise.operators import ranking as R
 from pathwise.plans import common as C
 from pathwise.plans import q_jobs as QJ
 from pathwise.plans import q_models as QM
@@ -136,6 +137,29 @@ def test_fits_and_repeats_read_the_table_once(spark, frame):
         assert got[c] == pytest.approx(sum(want) / 2, abs=1e-9)
 
 
+def test_rows_that_miss_features_train_and_are_scored(spark, frame):
+    """A learner with a label may lack a feature (no nation: no age); Spark ML refuses to fit such rows."""
+    cols, nan, inf = ["a", "b", "c"], float("nan"), float("inf")
+    holes = [(900 + i, x, 0.1 * i, y, 30.0) for i, (x, y) in enumerate([(None, 0.1), (nan, 0.2), (inf, None), (0.3, -inf)] * 10)]
+    d = frame.unionByName(spark.createDataFrame(holes, frame.schema))
+    forest = M.random_forest("y", cols, num_trees=4, max_depth=3)
+    model = M.fit_trees(forest, d)
+    got = {r.id: r.prediction for r in model.transform(d).collect()}
+    assert len(got) == 340 and got == {r.id: r.prediction for r in model.transform(M.bounded(d, cols)).collect()}
+    assert min(got[900 + i] for i in range(40) if i % 4 < 3) > np.mean([got[i] for i in range(300)])  # their rows were learned from
+    assert M.fit_trees(forest, frame).stages[-1].toDebugString.split("\n")[1:] == forest.fit(frame).stages[-1].toDebugString.split("\n")[1:]
+    boosted = M.gradient_boosting("y", cols, max_iter=2, max_depth=2)
+    assert M.fit_trees(boosted, d).transform(d).count() == 340
+    assert M.kfold_metrics(d, "id", "y", forest, folds=2).count() == 2 and M.learning_curve(d, "id", "y", forest, sizes=(1.0,), folds=2).count() == 1
+    assert M.grid_search(d, forest, ParamGridBuilder().addGrid(forest.getStages()[-1].maxDepth, [2, 3]).build(), "y", folds=2).count() == 2
+    assert R.learned_ranker(d, "y", cols, 2, 2).transform(d).count() == 340
+    some = d.filter("NOT abs(coalesce(c, 0)) = double('inf') AND NOT coalesce(a, 0) = double('inf')")
+    bases, meta, oof = M.stacking(some, "id", "y", cols, {"rf": forest}, folds=2)
+    scored = M.stack_predict(bases, meta, some).collect()
+    assert oof.count() == len(scored) == 320 and np.isfinite([r.prediction for r in scored]).all()
+    assert set(scored[0].asDict()) == {"id", "y", *cols, "oof_rf", "prediction"}
+
+
 def test_texts_are_read_once(spark):
     docs, seen = counted(spark.createDataFrame([(i, f"alpha beta w{i % 5} w{i % 3}") for i in range(30)], "d long, t string"), "t", "string")
     assert M.content_vectors(docs, "d", "t", k=2, width=32).count() == 30
