@@ -113,19 +113,23 @@ def stacking(df: DataFrame, key: str, label: str, cols: list[str], estimators: d
     The linear model takes the training mean for a missing feature.
     Returns (base models fitted on all rows, meta model, oof frame).
     """
-    df = labelled(df, label)
-    oof = oof_predictions(df, key, label, estimators, folds)
+    df = labelled(df, label).persist()  # read by every fit
+    oof = oof_predictions(df, key, label, estimators, folds).persist()  # read by every fit and measure of the meta-model
     filled = [f"__filled_{c}" for c in cols]
     means = Imputer(inputCols=cols, outputCols=filled, strategy="mean")
     meta_cols = [f"oof_{n}" for n in estimators] + filled
     lr = LinearRegression(labelCol=label, featuresCol="features", elasticNetParam=0.0, standardization=False)
-    n = max(1, df.count())
-    grid = ParamGridBuilder().addGrid(lr.regParam, [a / n for a in alphas]).build()
-    cv = CrossValidator(estimator=Pipeline(stages=[means, assembler(meta_cols), lr]), estimatorParamMaps=grid,
-                        evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
-                        numFolds=3, seed=42, parallelism=parallelism)
-    meta = cv.fit(oof)
-    bases = {n: fit_trees(e, df) for n, e in estimators.items()}
+    try:
+        n = max(1, df.count())
+        grid = ParamGridBuilder().addGrid(lr.regParam, [a / n for a in alphas]).build()
+        cv = CrossValidator(estimator=Pipeline(stages=[means, assembler(meta_cols), lr]), estimatorParamMaps=grid,
+                            evaluator=RegressionEvaluator(labelCol=label, metricName="rmse"),
+                            numFolds=3, seed=42, parallelism=parallelism)
+        meta = cv.fit(oof)
+        bases = {n: fit_trees(e, df) for n, e in estimators.items()}
+    finally:
+        oof.unpersist()
+        df.unpersist()
     return bases, meta, oof
 
 

@@ -160,6 +160,12 @@ def test_rows_that_miss_features_train_and_are_scored(spark, frame):
     assert set(scored[0].asDict()) == {"id", "y", *cols, "oof_rf", "prediction"}
 
 
+def test_stacking_computes_its_table_once(spark, frame):
+    table, seen = counted(frame, "a", "double")
+    M.stacking(table, "id", "y", ["a", "b", "c"], {"rf": M.random_forest("y", ["a", "b", "c"], num_trees=2, max_depth=2)}, folds=2)
+    assert seen.value == frame.count()
+
+
 def test_texts_are_read_once(spark):
     docs, seen = counted(spark.createDataFrame([(i, f"alpha beta w{i % 5} w{i % 3}") for i in range(30)], "d long, t string"), "t", "string")
     assert M.content_vectors(docs, "d", "t", k=2, width=32).count() == 30
