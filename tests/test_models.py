@@ -170,3 +170,16 @@ def test_texts_are_read_once(spark):
     docs, seen = counted(spark.createDataFrame([(i, f"alpha beta w{i % 5} w{i % 3}") for i in range(30)], "d long, t string"), "t", "string")
     assert M.content_vectors(docs, "d", "t", k=2, width=32).count() == 30
     assert seen.value == 30
+
+
+def test_quality_report_has_every_metric(spark, monkeypatch):
+    """The report's MAPE and within-10 share were computed and then dropped."""
+    forest, boosted = M.random_forest, M.gradient_boosting
+    monkeypatch.setattr(M, "random_forest", lambda y, cols, *a, **b: forest(y, cols, num_trees=3, max_depth=3))
+    monkeypatch.setattr(M, "gradient_boosting", lambda y, cols, *a, **b: boosted(y, cols, max_iter=2, max_depth=2))
+    want = {r["model"]: r.asDict() for r in QJ.j08(spark, SF).collect()}
+    got = {(r["model"], r["metric"]): r for r in QJ.j13(spark, SF).collect()}
+    assert got.keys() == {(m, x) for m in want for x in ("rmse", "mae", "r2", "mape", "within_10")}
+    for (m, x), r in got.items():
+        assert r["value"] == pytest.approx(want[m][x]) and r["delta"] == pytest.approx(r["value"] - r["previous_value"])
+    assert all(0 < got[m, "within_10"]["value"] <= 1 for m in want)
