@@ -194,3 +194,30 @@ def test_folds_leave_a_keys_few_rows_out_of_pandas(monkeypatch):
     assert out.iloc[0].tolist() == [7, 4, 1, 1, 3.0, "lesson_completed", ST.NO_TIME, 0.25, 0.25]
     state, out = ST.fold_recent((7,), None, iter([frame]))
     assert state[1:] == (20, 3, None) and out["item_id"].tolist() == ["A", "B", "C"] and out["last_reward"].isna().all()
+
+
+def test_sessions_share_buckets_and_expire_one_by_one():
+    """Each session was a key with a call and a frame of its own on every batch."""
+    fold = ST.fold_sessions(4096, 100)
+    frame = lambda *rows: pd.DataFrame(rows, columns=["session", "t", "i", "item_id"])
+    held, change = fold(0, None, iter([frame(("a", 10, 1, "A"), ("b", 10, 2, "B"), ("a", 30, 3, "C"))]))
+    assert change == {("A", "C"): 1}
+    held, change = fold(60, held, iter([frame(("a", 20, 4, "B"), ("a", 10, 1, "A")), frame(("c", 5, 5, "C"))]))
+    assert change == {("A", "C"): -1, ("A", "B"): 1, ("B", "C"): 1}
+    held, change = fold(120, held, iter([frame(("b", 20, 6, "A"), ("a", 40, 7, "A"))]))  # b has gone, a was written since
+    assert change == {("C", "A"): 1}
+    assert {name: (at, len(history)) for name, at, history in held} == {"a": (120, 4), "b": (120, 1), "c": (60, 1)}
+
+
+def test_session_pairs_of_a_stream(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "BUCKETS", 2)
+    kind = "user_id long, session_id string, event_id long, event_ts timestamp, item_id string"
+    import datetime as dt
+    at = lambda m: dt.datetime(2024, 1, 1, 0, m)
+    src, run = str(tmp_path / "src"), str(tmp_path / "run")
+    for rows in ([(1, "s", 1, at(1), "A"), (1, "s", 3, at(3), "C"), (2, "s", 4, at(1), "A"), (None, "s", 5, at(1), "A"), (1, None, 6, at(2), "B")],
+                 [(1, "s", 2, at(2), "B"), (2, "s", 7, at(2), "C"), (None, "s", 8, at(2), "B"), (1, None, 9, at(3), "A"), (2, "s", 4, at(1), "A")]):
+        spark.createDataFrame(rows, kind).write.mode("append").parquet(src)
+        out = G.run_append_log(spark, ST.session_pairs(spark.readStream.schema(kind).parquet(src)), run, idle=False)
+    got = {(r.left_item, r.right_item): r.n for r in out.groupBy("left_item", "right_item").agg(F.sum("n").alias("n")).collect() if r.n}
+    assert got == {("A", "B"): 2, ("B", "C"): 1, ("A", "C"): 1, ("B", "A"): 1}
